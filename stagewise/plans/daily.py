@@ -67,25 +67,34 @@ def daily_orders(star: Star, keys: Collection[int] | None = None) -> DataFrame:
     return counted.join(spine(star), "date_key").drop("date_key")
 
 
-_WEEK_OUT = (*WEEK, "week_start_date", "is_complete_week")
+def _by_week(daily: DataFrame, *measures: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """Roll days up to weeks.
+
+    Start and completeness are the same on every day of a week, so they are
+    aggregated and not grouped by: the result stays hash-partitioned on the week
+    key alone, which the joins that follow can use without another shuffle.
+    """
+    return daily.groupBy(*WEEK, *also).agg(
+        F.min("week_start_date").alias("week_start_date"),
+        F.min("is_complete_week").alias("is_complete_week"), *measures)
 
 
 def weekly_events(star: Star, stages: Collection[str] | None = None,
                   keys: Collection[int] | None = None) -> DataFrame:
-    return (daily_events(star, stages, keys).groupBy(*_WEEK_OUT, "stage")
-            .agg(F.sum("events").alias("events")))
+    return _by_week(daily_events(star, stages, keys),
+                    F.sum("events").alias("events"), also=("stage",))
 
 
 def weekly_stages(star: Star, keys: Collection[int] | None = None) -> DataFrame:
-    return (daily_stages(star, keys).groupBy(*_WEEK_OUT)
-            .agg(*[F.sum(c).alias(c) for c in ("visits", "leads", "opportunities")]))
+    return _by_week(daily_stages(star, keys),
+                    *[F.sum(c).alias(c) for c in ("visits", "leads", "opportunities")])
 
 
 def weekly_orders(star: Star, keys: Collection[int] | None = None) -> DataFrame:
-    return (daily_orders(star, keys).groupBy(*_WEEK_OUT)
-            .agg(F.sum("orders").alias("orders"),
-                 F.sum("revenue").cast("double").alias("revenue"),
-                 F.sum("units").alias("units")))
+    return _by_week(daily_orders(star, keys),
+                    F.sum("orders").alias("orders"),
+                    F.sum("revenue").cast("double").alias("revenue"),
+                    F.sum("units").alias("units"))
 
 
 def shifted_year(weekly: DataFrame, keep: dict[str, str], by: Collection[str] = ()) -> DataFrame:

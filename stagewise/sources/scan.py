@@ -1,0 +1,102 @@
+"""Evidence of which files a read opens.
+
+A plan shows that a filter was handed to the scan, not that a file was skipped;
+so files are counted.  Two counts that must agree: the files the partition
+predicate leaves, and the ``numFiles`` metric of a scan that ran.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stagewise.sources.ledger import Ledger, layout_column
+
+_STATS = "predicate string, files_total long, files_scanned long"
+
+
+def _count_files(frames: list[DataFrame]) -> int:
+    """Distinct files behind frames that carry partition predicates only.
+
+    A predicate on data would hide files that were opened in vain.
+    """
+    if not frames:
+        return 0
+    paths = [f.select(F.col("_metadata.file_path").alias("file")) for f in frames]
+    return reduce(DataFrame.unionByName, paths).distinct().count()
+
+
+def scan_stats(ledger: Ledger, table: str,
+               ranges: dict[str, tuple[dt.datetime, dt.datetime] | None],
+               snapshot_id: int | None = None) -> DataFrame:
+    """One row per named time range; ``None`` stands for no filter."""
+    total = ledger.timeline(table).at(snapshot_id).total_files
+    rows = []
+    for name, span in ranges.items():
+        opened = total if span is None else _count_files(
+            ledger.in_layout_range(table, *span, snapshot_id=snapshot_id))
+        rows.append((name, total, opened))
+    skipped = F.col("files_total") - F.col("files_scanned")
+    return (ledger.spark.createDataFrame(rows, _STATS)
+            .withColumn("files_skipped", skipped)
+            .withColumn("files_skipped_pct", F.coalesce(
+                F.round(100.0 * skipped / F.nullif(F.col("files_total"), F.lit(0)), 1), F.lit(0.0))))
+
+
+def pruning_report(ledger: Ledger, table: str, day: dt.date) -> DataFrame:
+    """No filter, the month of a day, and the ISO week of a day."""
+    month = day.replace(day=1)
+    next_month = (month + dt.timedelta(days=32)).replace(day=1)
+    monday = day - dt.timedelta(days=day.weekday())
+
+    def midnight(d: dt.date) -> dt.datetime:
+        return dt.datetime.combine(d, dt.time.min, dt.timezone.utc)
+
+    return scan_stats(ledger, table, {
+        "none": None,
+        "month": (midnight(month), midnight(next_month)),
+        "week": (midnight(monday), midnight(monday + dt.timedelta(days=7)))})
+
+
+def layout_counts(ledger: Ledger, table: str) -> DataFrame:
+    """Files per layout of the current snapshot, from the ledger."""
+    live = [c.snapshot_id for c in ledger.timeline(table).live()]
+    return (ledger.log(table).filter(F.col("snapshot_id").isin(*live))
+            .groupBy("spec", "layout").agg(F.sum("added_files").alias("files"),
+                                           F.count(F.lit(1)).alias("commits")))
+
+
+def layout_paths(ledger: Ledger, table: str) -> DataFrame:
+    """The same count taken from the paths of the files themselves."""
+    frames = [f.select(F.col("_metadata.file_path").alias("file"))
+              for _, f in ledger.parts(table)]
+    names = "|".join(layout_column(table, x) for x in ("day", "month"))
+    return (reduce(DataFrame.unionByName, frames).distinct()
+            .groupBy(F.regexp_extract("file", f"({names})=", 1).alias("layout_column"))
+            .agg(F.count(F.lit(1)).alias("files")))
+
+
+def files_opened(frame: DataFrame) -> list[int]:
+    """``numFiles`` of every file scan in the plan of ``frame``, after running it."""
+    jvm_frame = frame._jdf
+    jvm_frame.queryExecution().toRdd().count()
+    plan = jvm_frame.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numFiles")
+        if metric.isDefined() and kind == "FileSourceScanExec":
+            found.append(metric.get().value())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return sorted(found)
