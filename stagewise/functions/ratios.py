@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """A double rounded half up in decimal.
+
+    The tenth decimal absorbs binary noise first, so that a quotient that is a
+    tie on paper is treated as one.
+    """
+    return F.round(value.cast("decimal(38,10)"), digits).cast("double")
+
+
 def _percent(part: Column, whole: Column, digits: int) -> Column:
     whole = whole.cast("double")
-    return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0.0)), digits)
+    return half_up(F.lit(100.0) * part / F.nullif(whole, F.lit(0.0)), digits)
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stagewise.errors import MetricError
 from stagewise.functions.calendar import week_label
-from stagewise.functions.ratios import change, direction, share
+from stagewise.functions.ratios import change, direction, half_up, share
 from stagewise.operators.arguments import stage_name
 from stagewise.operators.measures import FUNNEL, ORDERS
 from stagewise.operators.provenance import provenance
@@ -48,7 +48,7 @@ def _yoy(star: Star, weekly: DataFrame, now: dt.datetime | None) -> DataFrame:
                 F.when(before.isNull(), F.format_string(
                     "week %d of %d holds no data, so the change over the year is "
                     "unknown rather than zero", number, year - 1)).alias("note"),
-                provenance(star, [FUNNEL], ["dim_date"],
+                provenance(star.snapshots, [FUNNEL], ["dim_date"],
                            "events of the stage in the ISO week against the same ISO week of "
                            "the year before; yoy_pct = 100 * (current - prior) / prior",
                            F.col("week_start_date"), F.date_add("week_start_date", 6),
@@ -91,7 +91,7 @@ def _counts(star: Star, keys: list[int] | None = None) -> DataFrame:
                     F.col("visits").alias("visit"), F.col("leads").alias("lead"),
                     F.col("opportunities").alias("opportunity"),
                     F.coalesce("orders", F.lit(0).cast("bigint")).alias("order"),
-                    F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue")))
+                    half_up(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue")))
 
 
 def _conversions() -> list[Column]:
@@ -109,7 +109,7 @@ def _snapshot(star: Star, counts: DataFrame, now: dt.datetime | None) -> DataFra
         *WEEK, week_label(F.col("iso_year"), F.col("iso_week")).alias("week"),
         "week_start_date", "is_complete_week", "visit", "lead", "opportunity", "order",
         "revenue", *_conversions(), *_drop_offs(),
-        provenance(star, [FUNNEL, ORDERS], ["dim_date"],
+        provenance(star.snapshots, [FUNNEL, ORDERS], ["dim_date"],
                    "counts per stage in the ISO week; conversion = 100 * downstream / upstream; "
                    "drop-off = 100 * (upstream - downstream) / upstream",
                    F.col("week_start_date"), F.date_add("week_start_date", 6), now=now))
@@ -144,11 +144,11 @@ def _figures(counts: DataFrame, prefix: str) -> DataFrame:
 
 
 def _message() -> Column:
-    drop = F.round(F.abs("change_pct"), 0).cast("bigint")
+    drop = half_up(F.abs("change_pct"), 0).cast("bigint")
     volume = F.format_string("%s has declined by %d%%, from %,d to %,d", F.col("label"), drop,
                              F.col("previous").cast("bigint"), F.col("current").cast("bigint"))
     rate = F.format_string("%s has declined by %d%%, from %.1f%% to %.1f%%", F.col("label"), drop,
-                           F.round("previous", 1), F.round("current", 1))
+                           half_up(F.col("previous"), 1), half_up(F.col("current"), 1))
     return F.when(F.col("kind") == "conversion_rate", rate).otherwise(volume)
 
 
@@ -168,7 +168,7 @@ def _fallen(star: Star, counts: DataFrame, threshold: float,
         .select(week_label(F.col("iso_year"), F.col("iso_week")).alias("current_week"),
                 "previous_week", "kind", "name", "label", "current", "previous", "change_pct",
                 _message().alias("message"),
-                provenance(star, [FUNNEL, ORDERS], ["dim_date"],
+                provenance(star.snapshots, [FUNNEL, ORDERS], ["dim_date"],
                            "stage counts and conversion rates against the week before; listed "
                            f"when 100 * (current - previous) / previous <= -{threshold:g}",
                            start, F.date_add(start, 6), F.date_sub(start, 7),

@@ -48,8 +48,7 @@ def compare_as_of(ledger: Ledger, as_of: str | dt.date | dt.datetime, stage: str
         counts = counted(latest.snapshot_id, None).withColumn("then", before)
     cutoff, inclusive = parse_moment(as_of)
     day = cutoff if inclusive else cutoff - dt.timedelta(microseconds=1)
-    cited = Star(**{t: counts for t in Star.__dataclass_fields__ if t != "snapshots"},
-                 snapshots={FUNNEL: latest.snapshot()})
+    cited = {FUNNEL: latest.snapshot()}
     return counts.select(
         F.lit(stage).alias("stage"), F.lit(str(as_of)).alias("as_of_requested"),
         F.col("then").alias("historical_events"),
@@ -72,8 +71,7 @@ def snapshot_history(ledger: Ledger, table: str = FUNNEL,
     if not history:
         raise MetricError(f"{table} has no snapshots")
     log = ledger.log(table)
-    cited = Star(**{t: log for t in Star.__dataclass_fields__ if t != "snapshots"},
-                 snapshots={table: history[-1].snapshot()})
+    cited = {table: history[-1].snapshot()}
     return log.select(
         "snapshot_id", F.col("committed_at").alias("snapshot_committed_at"), "operation",
         "added_records", "total_records",
@@ -90,8 +88,7 @@ def explain_scan(ledger: Ledger, star: Star, iso_year: int | None = None,
     start = dt.datetime.combine(week.week_start_date, dt.time.min, dt.timezone.utc)
     end = start + dt.timedelta(days=7)
     stats = scan_stats(ledger, FUNNEL, {week.label: (start, end)})
-    cited = Star(**{t: stats for t in Star.__dataclass_fields__ if t != "snapshots"},
-                 snapshots={FUNNEL: ledger.timeline(FUNNEL).at().snapshot()})
+    cited = {FUNNEL: ledger.timeline(FUNNEL).at().snapshot()}
     text = F.format_string(
         "one week of the table opens %d of %d files; %d (%.1f%%) were skipped by their "
         "partition and never opened", "files_scanned", "files_total", "files_skipped",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.calendar import normalise_period, period_label, period_length
-from stagewise.functions.ratios import change, direction
+from stagewise.functions.ratios import change, direction, half_up
 from stagewise.operators.arguments import grain_name, measure_name
 from stagewise.operators.measures import daily, source_of, value_of
 from stagewise.operators.provenance import provenance
@@ -76,9 +76,9 @@ def _compared(star: Star, pairs: DataFrame, measure: str, grain: str,
             for side in ("current", "previous") for part in _PARTS]
     return pairs.filter(F.col("previous").isNotNull()).select(
         F.lit(measure).alias("measure"), F.lit(grain).alias("grain"), *flat,
-        F.round(current - previous, 2).alias("delta"),
+        half_up(current - previous, 2).alias("delta"),
         pct.alias("pct_change"), direction(pct).alias("direction"), _note().alias("note"),
-        provenance(star, [source_of(measure)], ["dim_date"],
+        provenance(star.snapshots, [source_of(measure)], ["dim_date"],
                    f"{measure} per {grain}; pct_change = 100 * (current - previous) / previous",
                    F.col("current.start"), F.col("current.end"),
                    F.col("previous.start"), F.col("previous.end"), now=now))

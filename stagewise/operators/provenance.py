@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.errors import MetricError
-from stagewise.star import Star
+from stagewise.star import Snapshot
 
 SNAPSHOT = ("struct<snapshot_id:string,snapshot_committed_at:timestamp,operation:string,"
             "total_records:bigint,source_tables:array<string>,measures:array<string>>")
@@ -23,14 +23,14 @@ REQUIRED = ("snapshot_id", "snapshot_committed_at", "as_of_date", "date_range",
             "source_tables", "calculation")
 
 
-def provenance(star: Star, facts: Sequence[str], dims: Sequence[str], calculation: str | Column,
+def provenance(snapshots: Mapping[str, Snapshot], facts: Sequence[str], dims: Sequence[str], calculation: str | Column,
                start: Column, end: Column, prior_start: Column | None = None,
                prior_end: Column | None = None, now: dt.datetime | None = None,
                scan: Column | None = None,
                measures: Mapping[str, Sequence[str]] | None = None) -> Column:
     """One struct column.  ``facts`` name the tables whose snapshots are cited."""
     none = F.lit(None)
-    cited = [star.snapshots[f] for f in facts if f in star.snapshots]
+    cited = [snapshots[f] for f in facts if f in snapshots]
     entries = [
         F.struct(
             F.lit(str(s.snapshot_id)).alias("snapshot_id"),

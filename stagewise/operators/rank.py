@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stagewise.errors import MetricError
 from stagewise.functions.calendar import week_label
+from stagewise.functions.ratios import half_up
 from stagewise.operators.arguments import MAX_RANKED, clamp
 from stagewise.operators.measures import ORDERS
 from stagewise.operators.provenance import provenance
@@ -58,15 +59,15 @@ def _ranked(frame: DataFrame, measure: str) -> DataFrame:
 
 
 def _shown() -> list[Column]:
-    return [F.round("exact", 2).alias("value"), F.col("orders"),
-            F.round("revenue", 2).alias("revenue"),
-            F.round("avg_deal_size", 2).alias("avg_deal_size")]
+    return [half_up(F.col("exact"), 2).alias("value"), F.col("orders"),
+            half_up(F.col("revenue"), 2).alias("revenue"),
+            half_up(F.col("avg_deal_size"), 2).alias("avg_deal_size")]
 
 
 def _receipts(star: Star, dimension: str, measure: str, limit: int, start: Column,
               now: dt.datetime | None) -> Column:
     table, _, label = DIMENSIONS[dimension]
-    return provenance(star, [ORDERS], ["dim_date", table],
+    return provenance(star.snapshots, [ORDERS], ["dim_date", table],
                       f"{measure} per {label} in the ISO week, highest first, top {limit}; "
                       "avg_deal_size = revenue / order lines",
                       start, F.date_add(start, 6), now=now)

@@ -12,6 +12,8 @@ that the calendar and the date keys are literals in every later plan.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,26 @@ from stagewise.session import use_utc
 from stagewise.star import Star
 
 
-def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+# The columns read, stated so that no file is opened to infer them.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+              "props string",
+}
+
+
+def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return use_utc(spark).read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def _span(frame: DataFrame, column: str) -> tuple[dt.date, dt.date]:
@@ -39,103 +59,120 @@ def _channel_key(priority: Column) -> Column:
     return F.substring(priority, 1, 1).cast("int") - 1
 
 
-def _dimensions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    nation, region = _read(spark, root, "nation"), _read(spark, root, "region")
+def _customers(spark: SparkSession, root: str) -> DataFrame:
+    nation, region = read_source(spark, root, "nation"), read_source(spark, root, "region")
     place = (nation.join(region, nation.n_regionkey == region.r_regionkey)
              .select("n_nationkey", F.col("r_name").alias("region")))
-    customer = _read(spark, root, "customer")
-    name = F.col("o_orderpriority")
-    return {
-        "dim_customer": (
-            customer.join(place, customer.c_nationkey == place.n_nationkey)
+    customer = read_source(spark, root, "customer")
+    return (customer.join(place, customer.c_nationkey == place.n_nationkey)
             .select(F.col("c_custkey").alias("customer_key"),
                     F.col("c_name").alias("customer_id"),
                     F.col("c_name").alias("name"),
                     F.col("c_mktsegment").alias("segment"),
                     "region",
-                    F.lit(None).cast("date").alias("signup_date"))),
-        "dim_channel": (
-            _read(spark, root, "orders").select(name).distinct()
+                    F.lit(None).cast("date").alias("signup_date")))
+
+
+def _channels(spark: SparkSession, root: str) -> DataFrame:
+    name = F.col("o_orderpriority")
+    return (read_source(spark, root, "orders").select(name).distinct()
             .select(_channel_key(name).alias("channel_key"),
                     name.alias("channel_name"),
                     F.when(F.substring(name, 1, 2).isin("1-", "2-"), "Paid")
-                    .otherwise("Organic").alias("channel_group"))),
-        "dim_product": (
-            _read(spark, root, "part")
-            .select(F.col("p_partkey").alias("product_key"),
-                    F.col("p_name").alias("product_name"),
-                    F.col("p_type").alias("category"),
-                    F.col("p_retailprice").alias("unit_price"))),
-    }
+                    .otherwise("Organic").alias("channel_group")))
 
 
-def orders_star(spark: SparkSession, root: str) -> Star:
-    use_utc(spark)
-    orders = _read(spark, root, "orders")
-    first, last = _span(orders, "o_orderdate")
-    ts = F.col("o_orderdate").cast("timestamp")
+def _products(spark: SparkSession, root: str) -> DataFrame:
+    return read_source(spark, root, "part").select(
+        F.col("p_partkey").alias("product_key"),
+        F.col("p_name").alias("product_name"),
+        F.col("p_type").alias("category"),
+        F.col("p_retailprice").alias("unit_price"))
+
 
+def _star(spark: SparkSession, root: str, first: dt.date, last: dt.date,
+          **facts: Callable[[], DataFrame]) -> Star:
+    return Star(dim_date=partial(calendar, spark, first, last),
+                dim_customer=partial(_customers, spark, root),
+                dim_channel=partial(_channels, spark, root),
+                dim_product=partial(_products, spark, root), **facts)
+
+
+def _order_funnel(orders: DataFrame, first: dt.date) -> DataFrame:
+    ts = F.col("o_orderdate").cast("timestamp")
     stages = (F.when(F.col("o_orderstatus") == "F",
                      F.array(F.lit("visit"), F.lit("lead"), F.lit("opportunity")))
               .when(F.col("o_orderstatus") == "P", F.array(F.lit("visit"), F.lit("lead")))
               .otherwise(F.array(F.lit("visit"))))
-    funnel = (
-        orders.select("*", F.posexplode(stages).alias("ordinal", "stage"))
-        .select((F.col("o_orderkey") * 3 + F.col("ordinal")).alias("event_key"),
-                _date_key(ts, first).alias("date_key"),
-                F.col("o_custkey").alias("customer_key"),
-                _channel_key(F.col("o_orderpriority")).alias("channel_key"),
-                "stage",
-                ts.alias("event_ts")))
-
-    lines = _read(spark, root, "lineitem").filter(F.col("l_linenumber") == 1)
+    return (orders.select("*", F.posexplode(stages).alias("ordinal", "stage"))
+            .select((F.col("o_orderkey") * 3 + F.col("ordinal")).alias("event_key"),
+                    _date_key(ts, first).alias("date_key"),
+                    F.col("o_custkey").alias("customer_key"),
+                    _channel_key(F.col("o_orderpriority")).alias("channel_key"),
+                    "stage",
+                    ts.alias("event_ts")))
+
+
+def _order_lines(orders: DataFrame, lineitem: DataFrame, first: dt.date) -> DataFrame:
+    """First lines of finished orders.  No hint on the join: both sides grow with
+    the data, so the engine picks the strategy and splits a hot order at run time."""
+    ts = F.col("o_orderdate").cast("timestamp")
+    lines = lineitem.filter(F.col("l_linenumber") == 1)
     won = orders.filter(F.col("o_orderstatus") == "F")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    sales = (
-        lines.join(won, lines.l_orderkey == won.o_orderkey)
-        .select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
-                           "l_extendedprice", "l_quantity").alias("order_line_key"),
-                _date_key(ts, first).alias("date_key"),
-                F.col("o_custkey").alias("customer_key"),
-                _channel_key(F.col("o_orderpriority")).alias("channel_key"),
-                F.col("l_partkey").alias("product_key"),
-                F.round(net, 4).cast(MONEY).cast("double").alias("revenue"),
-                F.col("l_quantity").cast("int").alias("quantity"),
-                ts.alias("order_ts")))
-
-    return Star(dim_date=calendar(spark, first, last), fact_funnel_event=funnel,
-                fact_orders=sales, **_dimensions(spark, root))
+    return (lines.join(won, lines.l_orderkey == won.o_orderkey)
+            .select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
+                               "l_extendedprice", "l_quantity").alias("order_line_key"),
+                    _date_key(ts, first).alias("date_key"),
+                    F.col("o_custkey").alias("customer_key"),
+                    _channel_key(F.col("o_orderpriority")).alias("channel_key"),
+                    F.col("l_partkey").alias("product_key"),
+                    F.round(net, 4).cast(MONEY).cast("double").alias("revenue"),
+                    F.col("l_quantity").cast("int").alias("quantity"),
+                    ts.alias("order_ts")))
+
+
+def orders_star(spark: SparkSession, root: str) -> Star:
+    orders = read_source(spark, root, "orders")
+    first, last = _span(orders, "o_orderdate")
+    return _star(spark, root, first, last,
+                 fact_funnel_event=lambda: _order_funnel(orders, first),
+                 fact_orders=lambda: _order_lines(
+                     orders, read_source(spark, root, "lineitem"), first))
 
 
 # event type -> funnel stage
 EVENT_STAGES = {"view": "visit", "click": "lead", "signup": "opportunity"}
 
 
-def event_star(spark: SparkSession, root: str) -> Star:
-    use_utc(spark)
-    events = _read(spark, root, "events")
-    first, last = _span(events, "ts")
+def _event_funnel(events: DataFrame, first: dt.date) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     stage = F.create_map(*[F.lit(x) for pair in EVENT_STAGES.items() for x in pair])
+    return (events.filter(F.col("event_type").isin(*EVENT_STAGES))
+            .select(F.col("event_id").alias("event_key"),
+                    _date_key(ts, first).alias("date_key"),
+                    F.col("user_id").alias("customer_key"),
+                    F.pmod("event_id", F.lit(5)).cast("int").alias("channel_key"),
+                    stage[F.col("event_type")].alias("stage"),
+                    ts.alias("event_ts")))
 
-    funnel = (
-        events.filter(F.col("event_type").isin(*EVENT_STAGES))
-        .select(F.col("event_id").alias("event_key"),
-                _date_key(ts, first).alias("date_key"),
-                F.col("user_id").alias("customer_key"),
-                F.pmod("event_id", F.lit(5)).cast("int").alias("channel_key"),
-                stage[F.col("event_type")].alias("stage"),
-                ts.alias("event_ts")))
-    sales = (
-        events.filter(F.col("event_type") == "purchase")
-        .select(F.col("event_id").alias("order_line_key"),
-                _date_key(ts, first).alias("date_key"),
-                F.col("user_id").alias("customer_key"),
-                F.pmod("event_id", F.lit(5)).cast("int").alias("channel_key"),
-                F.pmod("event_id", F.lit(97)).alias("product_key"),
-                F.col("value").alias("revenue"),
-                F.lit(1).alias("quantity"),
-                ts.alias("order_ts")))
-
-    return Star(dim_date=calendar(spark, first, last), fact_funnel_event=funnel,
-                fact_orders=sales, **_dimensions(spark, root))
+
+def _event_purchases(events: DataFrame, first: dt.date) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return (events.filter(F.col("event_type") == "purchase")
+            .select(F.col("event_id").alias("order_line_key"),
+                    _date_key(ts, first).alias("date_key"),
+                    F.col("user_id").alias("customer_key"),
+                    F.pmod("event_id", F.lit(5)).cast("int").alias("channel_key"),
+                    F.pmod("event_id", F.lit(97)).alias("product_key"),
+                    F.col("value").alias("revenue"),
+                    F.lit(1).alias("quantity"),
+                    ts.alias("order_ts")))
+
+
+def event_star(spark: SparkSession, root: str) -> Star:
+    events = read_source(spark, root, "events")
+    first, last = _span(events, "ts")
+    return _star(spark, root, first, last,
+                 fact_funnel_event=lambda: _event_funnel(events, first),
+                 fact_orders=lambda: _event_purchases(events, first))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,13 +38,9 @@ LEDGER = T.StructType([
     T.StructField("total_records", T.LongType()),
     T.StructField("batch", T.StringType()),
 ])
-SPECS = T.StructType([
-    T.StructField("table_name", T.StringType()),
-    T.StructField("spec", T.IntegerType()),
-    T.StructField("layout", T.StringType()),
-])
 COMMIT_ID = T.StructField("commit_id", T.IntegerType())
 LAYOUTS = ("none", "day", "month")
+EVOLVE = "evolve"
 MAX_ROWS_PER_FILE = 20_000_000
 
 
@@ -97,10 +93,11 @@ def layout_value(ts: Column, layout: str) -> Column:
 
 @dataclass(frozen=True)
 class Timeline:
-    """The commits of one table, oldest first."""
+    """The commits of one table, oldest first, and the layouts it has had."""
 
     table: str
     commits: tuple[Commit, ...]
+    layouts: tuple[tuple[int, str], ...] = ()
 
     def __iter__(self):
         return iter(self.commits)
@@ -108,6 +105,12 @@ class Timeline:
     def __len__(self) -> int:
         return len(self.commits)
 
+    @property
+    def layout(self) -> tuple[int, str]:
+        """``(spec, layout)`` that the next commit is written with."""
+        default = "day" if self.table in FACT_TIME else "none"
+        return self.layouts[-1] if self.layouts else (0, default)
+
     def _held(self) -> tuple[Commit, ...]:
         if not self.commits:
             raise LedgerError(f"{self.table} has no snapshots")
@@ -159,19 +162,22 @@ class Ledger:
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
-    def _records(self, name: str, schema: T.StructType) -> DataFrame:
-        path = f"{self.root}/{name}"
+    def _records(self) -> DataFrame:
+        path = f"{self.root}/ledger"
         if not self._children(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(path)
 
-    def _record(self, name: str, schema: T.StructType, rows: list[tuple]) -> None:
-        (self.spark.createDataFrame(rows, schema).coalesce(1)
-         .write.mode("append").parquet(f"{self.root}/{name}"))
+    def _record(self, rows: list[Commit]) -> None:
+        """Add ledger rows in one file, all or none."""
+        entries = [F.struct(*[F.lit(getattr(r, f.name)).cast(f.dataType).alias(f.name)
+                              for f in LEDGER]) for r in rows]
+        (self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
+         .write.mode("append").parquet(f"{self.root}/ledger"))
 
     def log(self, table: str | None = None) -> DataFrame:
-        """The ledger as a frame, oldest commit first when one table is asked for."""
-        frame = self._records("ledger", LEDGER)
+        """The commits as a frame, oldest first when one table is asked for."""
+        frame = self._records().filter(F.col("operation") != EVOLVE)
         if table is None:
             return frame
         return frame.filter(F.col("table_name") == table).orderBy("committed_at", "snapshot_id")
@@ -179,28 +185,27 @@ class Ledger:
     def timeline(self, table: str) -> Timeline:
         # epoch microseconds: a collected timestamp would be shifted to the
         # time zone of the driver
-        rows = (self._records("ledger", LEDGER).filter(F.col("table_name") == table)
+        rows = (self._records().filter(F.col("table_name") == table)
                 .withColumn("committed_at", F.unix_micros("committed_at")).collect())
         epoch = dt.datetime(1970, 1, 1, tzinfo=UTC)
-        commits = [Commit(**{**r.asDict(),
+        entries = [Commit(**{**r.asDict(),
                              "committed_at": epoch + dt.timedelta(microseconds=r.committed_at)})
                    for r in rows]
-        return Timeline(table, tuple(sorted(commits, key=lambda c: (c.committed_at, c.snapshot_id))))
+        commits = sorted((c for c in entries if c.operation != EVOLVE),
+                         key=lambda c: (c.committed_at, c.snapshot_id))
+        return Timeline(table, tuple(commits),
+                        tuple(sorted({(c.spec, c.layout) for c in entries})))
 
-    def specs(self, table: str) -> dict[int, str]:
-        rows = self._records("specs", SPECS).filter(F.col("table_name") == table).collect()
-        return {r.spec: r.layout for r in sorted(rows, key=lambda r: r.spec)}
-
-    def evolve(self, table: str, layout: str) -> int:
+    def evolve(self, table: str, layout: str) -> tuple[int, str]:
         """Later commits use ``layout``; files already written stay as they are."""
         if layout not in LAYOUTS:
             raise LedgerError(f"layout must be one of {', '.join(LAYOUTS)}, got {layout!r}")
-        held = self.specs(table)
-        newest = max(held, default=-1)
-        if held.get(newest) == layout:
-            return newest
-        self._record("specs", SPECS, [(table, newest + 1, layout)])
-        return newest + 1
+        line = self.timeline(table)
+        if line.layouts and line.layout[1] == layout:
+            return line.layout
+        used = (line.layout[0] + 1 if line.layouts else 0, layout)
+        self._record([Commit(table, 0, dt.datetime.now(UTC), EVOLVE, *used, 0, 0, 0, 0, 0, None)])
+        return used
 
     # --- snapshots ------------------------------------------------------------
 
@@ -219,7 +224,7 @@ class Ledger:
             "cutoff", F.when(bare, end_of_day).otherwise(text.try_cast("timestamp")))
         asked = asked.withColumn("day", F.to_date("cutoff"))
         last_day = asked.agg(F.max("day").alias("d")).scalar()
-        spans = (self._records("ledger", LEDGER).filter(F.col("table_name") == table)
+        spans = (self.log().filter(F.col("table_name") == table)
                  .withColumn("until", F.lead("committed_at")
                              .over(Window.partitionBy("table_name").orderBy("committed_at")))
                  .withColumn("from_day", F.to_date("committed_at"))
@@ -302,45 +307,44 @@ class Ledger:
         """All six tables as of a moment, or now, with the snapshots they were read at."""
         lines = {t: self.timeline(t) for t in TABLES}
         at = {t: line.at() if moment is None else line.as_of(moment) for t, line in lines.items()}
-        frames = {t: self.read(t, c.snapshot_id, timeline=lines[t]) for t, c in at.items()}
-        return Star(**frames, snapshots={t: c.snapshot() for t, c in at.items()})
+        frames = {t: partial(self.read, t, c.snapshot_id, timeline=lines[t])
+                  for t, c in at.items()}
+        return Star({t: c.snapshot() for t, c in at.items()}, **frames)
 
     # --- writes ---------------------------------------------------------------
 
-    def _next_id(self, table: str) -> int:
+    def _next_id(self, line: Timeline) -> int:
         """Past every id in the ledger and every id a failed write left on disk."""
+        base = f"{self.root}/{line.table}"
         on_disk = [int(name.split("=")[1])
-                   for spec in self._children(f"{self.root}/{table}") if spec.startswith("spec=")
-                   for name in self._children(f"{self.root}/{table}/{spec}")
-                   if name.startswith("commit_id=")]
-        return 1 + max([*on_disk, *[c.snapshot_id for c in self.timeline(table)]], default=0)
+                   for spec in self._children(base) if spec.startswith("spec=")
+                   for name in self._children(f"{base}/{spec}") if name.startswith("commit_id=")]
+        return 1 + max([*on_disk, *[c.snapshot_id for c in line]], default=0)
 
-    def _write(self, table: str, frame: DataFrame) -> tuple[int, str]:
-        """Write rows into the directories of their ``commit_id``; ``(spec, layout)`` used.
+    def _write(self, line: Timeline, frame: DataFrame,
+               ids: list[int]) -> dict[int, tuple[int, int]]:
+        """Write rows into the directories of their ``commit_id``; ``{id: (files, rows)}``.
 
         The rebalance brings the rows of one partition directory together, and
         lets the engine split a directory that is too large for one task.  Rows
-        lie in time order, so that the statistics of a month file prune within it.
+        lie in time order, so that the statistics of a month file prune within
+        it.  Files and rows are counted from what then lies in storage; a write
+        of no rows makes no directory.
         """
-        spec, layout = max(self.specs(table).items())
-        column = layout_column(table, layout)
+        spec, layout = line.layout
+        column = layout_column(line.table, layout)
         by = ["commit_id", column] if column else ["commit_id"]
-        rows = frame.select(*TABLES[table].fieldNames(), "commit_id")
+        rows = frame.select(*TABLES[line.table].fieldNames(), "commit_id")
+        ordered = list(by)
         if column:
-            rows = rows.withColumn(column, layout_value(F.col(FACT_TIME[table]), layout))
-        path = f"{self.root}/{table}/spec={spec}"
-        ordered = [*by, FACT_TIME[table]] if column else by
+            ts = FACT_TIME[line.table]
+            rows = rows.withColumn(column, layout_value(F.col(ts), layout))
+            ordered.append(ts)
+        base = f"{self.root}/{line.table}/spec={spec}"
         (rows.hint("rebalance", *by).sortWithinPartitions(*ordered)
          .write.mode("append").partitionBy(*by)
-         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(path))
-        return spec, layout
-
-    def _written(self, table: str, spec: int, ids: list[int]) -> dict[int, tuple[int, int]]:
-        """Files and rows per commit, counted from what lies in storage.
+         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(base))
 
-        A write of no rows makes no directory.
-        """
-        base = f"{self.root}/{table}/spec={spec}"
         present = set(self._children(base))
         paths = [f"{base}/commit_id={i}" for i in ids if f"commit_id={i}" in present]
         if not paths:
@@ -353,53 +357,41 @@ class Ledger:
                                                     F.sum("rows").alias("rows"))
         return {r.commit_id: (r["files"], r["rows"]) for r in counted.collect()}
 
-    def _committed(self, table: str, batch: str | None) -> Commit | None:
-        if batch is None:
-            return None
-        return next((c for c in self.timeline(table) if c.batch == batch), None)
-
-    def _commit(self, table: str, used: tuple[int, str],
+    def _commit(self, line: Timeline,
                 entries: list[tuple[int, dt.datetime, str, str | None]],
                 counts: dict[int, tuple[int, int]]) -> list[Commit]:
         """Ledger rows for written commits, in order; this is what makes them visible."""
-        history = self.timeline(table).commits
-        files = history[-1].total_files if history else 0
-        records = history[-1].total_records if history else 0
+        last = line.commits[-1] if len(line) else None
+        files, records = (last.total_files, last.total_records) if last else (0, 0)
+        previous = last.committed_at if last else None
         rows = []
         for snapshot_id, at, operation, batch in entries:
+            if previous is not None and at <= previous:
+                raise LedgerError(f"commit of {line.table} at {at.isoformat()} is not after "
+                                  f"the one at {previous.isoformat()}")
+            previous = at
             added_files, added = counts.get(snapshot_id, (0, 0))
             deleted = files if operation == "overwrite" else 0
             files = files - deleted + added_files
             records = added + (0 if operation == "overwrite" else records)
-            rows.append(Commit(table, snapshot_id, at, operation, *used, added_files, deleted,
-                               files, added, records, batch))
-        previous = history[-1].committed_at if history else None
-        for row in rows:
-            if previous is not None and row.committed_at <= previous:
-                raise LedgerError(f"commit of {table} at {row.committed_at.isoformat()} is not "
-                                  f"after the one at {previous.isoformat()}")
-            previous = row.committed_at
-        self._record("ledger", LEDGER, [tuple(getattr(r, f) for f in LEDGER.fieldNames()) for r in rows])
+            rows.append(Commit(line.table, snapshot_id, at, operation, *line.layout, added_files,
+                               deleted, files, added, records, batch))
+        self._record(rows)
         return rows
 
-    def _ensure_spec(self, table: str, layout: str) -> None:
-        if not self.specs(table):
-            self.evolve(table, layout)
-
     def append(self, table: str, frame: DataFrame, committed_at: dt.datetime | None = None,
                batch: str | None = None, operation: str = "append") -> Commit:
         """One commit.  A ``batch`` that was committed before is not committed again."""
-        done = self._committed(table, batch)
+        line = self.timeline(table)
+        done = next((c for c in line if batch is not None and c.batch == batch), None)
         if done:
             return done
-        self._ensure_spec(table, "day" if table in FACT_TIME else "none")
-        snapshot_id = self._next_id(table)
-        if not len(self.timeline(table)):
+        if not len(line):
             operation = "overwrite"
-        used = self._write(table, frame.withColumn("commit_id", F.lit(snapshot_id)))
-        counts = self._written(table, used[0], [snapshot_id])
+        snapshot_id = self._next_id(line)
+        counts = self._write(line, frame.withColumn("commit_id", F.lit(snapshot_id)), [snapshot_id])
         at = _aware(committed_at) if committed_at else dt.datetime.now(UTC)
-        return self._commit(table, used, [(snapshot_id, at, operation, batch)], counts)[0]
+        return self._commit(line, [(snapshot_id, at, operation, batch)], counts)[0]
 
     def overwrite(self, table: str, frame: DataFrame,
                   committed_at: dt.datetime | None = None) -> Commit:
@@ -417,7 +409,6 @@ class Ledger:
         belongs to, instead of one filtered pass over the input per month.
         Commit times step by a millisecond up to ``committed_at``.
         """
-        self._ensure_spec(table, "day")
         month = F.date_format(F.col(FACT_TIME[table]), "yyyy-MM")
         held = frame.groupBy(month.alias("month")).count().orderBy("month").collect()
         if not held:
@@ -425,19 +416,19 @@ class Ledger:
         if held[0].month is None:
             raise LedgerError(f"{held[0]['count']} rows of {table} have no time; "
                               "set them aside before loading")
-        first = self._next_id(table)
+        line = self.timeline(table)
+        first = self._next_id(line)
         ids = {row.month: first + i for i, row in enumerate(held)}
         # one row per calendar month
         months = self.spark.createDataFrame(list(ids.items()), "commit_month string, commit_id int")
         rows = (frame.withColumn("commit_month", month)
                 .join(F.broadcast(months), "commit_month"))
-        used = self._write(table, rows)
-        counts = self._written(table, used[0], list(ids.values()))
+        counts = self._write(line, rows, list(ids.values()))
         last = _aware(committed_at) if committed_at else dt.datetime.now(UTC)
         entries = [(i, last - dt.timedelta(milliseconds=len(ids) - 1 - n),
                     "overwrite" if n == 0 else "append", m)
                    for n, (m, i) in enumerate(ids.items())]
-        return self._commit(table, used, entries, counts)
+        return self._commit(line, entries, counts)
 
 
 def _aware(moment: dt.datetime) -> dt.datetime:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,30 +22,55 @@ class Snapshot:
     total_records: int
 
 
-@dataclass(frozen=True)
 class Star:
     """Facts and dimensions as lazy frames.
 
+    A table may be given as a function; it is then built when it is first asked
+    for, so that a question about two tables costs nothing for the other four.
     ``snapshots`` is empty for tables that are not versioned; the provenance of
     an answer then names no snapshot.
     """
 
-    dim_date: DataFrame
-    dim_customer: DataFrame
-    dim_channel: DataFrame
-    dim_product: DataFrame
-    fact_funnel_event: DataFrame
-    fact_orders: DataFrame
-    snapshots: Mapping[str, Snapshot] = field(default_factory=dict)
+    def __init__(self, snapshots: Mapping[str, Snapshot] | None = None,
+                 **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(TABLES):
+            raise ValueError(f"a star has the tables {', '.join(TABLES)}")
+        self._tables = tables
+        self.snapshots = dict(snapshots or {})
+
+    def table(self, name: str) -> DataFrame:
+        held = self._tables[name]
+        if not isinstance(held, DataFrame):
+            held = self._tables[name] = held()
+        return held
+
+    def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> Star:
+        return Star(self.snapshots, **{**self._tables, **tables})
 
     @property
     def spark(self) -> SparkSession:
         return self.dim_date.sparkSession
 
-    def table(self, name: str) -> DataFrame:
-        if name not in TABLES:
-            raise KeyError(name)
-        return getattr(self, name)
+    @property
+    def dim_date(self) -> DataFrame:
+        return self.table("dim_date")
+
+    @property
+    def dim_customer(self) -> DataFrame:
+        return self.table("dim_customer")
 
-    def with_tables(self, **tables: DataFrame) -> Star:
-        return replace(self, **tables)
+    @property
+    def dim_channel(self) -> DataFrame:
+        return self.table("dim_channel")
+
+    @property
+    def dim_product(self) -> DataFrame:
+        return self.table("dim_product")
+
+    @property
+    def fact_funnel_event(self) -> DataFrame:
+        return self.table("fact_funnel_event")
+
+    @property
+    def fact_orders(self) -> DataFrame:
+        return self.table("fact_orders")
