@@ -11,7 +11,9 @@ What reaches the driver is the ledger itself: one row per commit, never data.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import json
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -162,30 +164,36 @@ class Ledger:
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
-    def _records(self) -> DataFrame:
-        path = f"{self.root}/ledger"
+    def _records(self, table: str | None = None) -> DataFrame:
+        """Ledger rows of one table, or of all.  Each table has a folder of its own,
+        so that writers of different tables do not meet."""
+        path = f"{self.root}/ledger" + (f"/{table}" if table else "")
         if not self._children(path):
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(path)
+        return self.spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(path)
 
-    def _record(self, rows: list[Commit]) -> None:
-        """Add ledger rows in one file, all or none."""
-        entries = [F.struct(*[F.lit(getattr(r, f.name)).cast(f.dataType).alias(f.name)
-                              for f in LEDGER]) for r in rows]
-        (self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
-         .write.mode("append").parquet(f"{self.root}/ledger"))
+    def _record(self, table: str, rows: list[Commit]) -> None:
+        """Add ledger rows of a table in one file, all or none."""
+        epoch = dt.datetime(1970, 1, 1, tzinfo=UTC)
+        micro = dt.timedelta(microseconds=1)
+        text = json.dumps([{**asdict(r), "committed_at": (r.committed_at - epoch) // micro}
+                           for r in rows])
+        kinds = T.StructType([T.StructField(f.name, T.LongType()) if f.name == "committed_at" else f
+                              for f in LEDGER])
+        (self.spark.range(0, 1, 1, 1)
+         .select(F.inline(F.from_json(F.lit(text), T.ArrayType(kinds))))
+         .withColumn("committed_at", F.timestamp_micros("committed_at"))
+         .write.mode("append").parquet(f"{self.root}/ledger/{table}"))
 
     def log(self, table: str | None = None) -> DataFrame:
         """The commits as a frame, oldest first when one table is asked for."""
-        frame = self._records().filter(F.col("operation") != EVOLVE)
-        if table is None:
-            return frame
-        return frame.filter(F.col("table_name") == table).orderBy("committed_at", "snapshot_id")
+        frame = self._records(table).filter(F.col("operation") != EVOLVE)
+        return frame if table is None else frame.orderBy("committed_at", "snapshot_id")
 
     def timeline(self, table: str) -> Timeline:
         # epoch microseconds: a collected timestamp would be shifted to the
         # time zone of the driver
-        rows = (self._records().filter(F.col("table_name") == table)
+        rows = (self._records(table)
                 .withColumn("committed_at", F.unix_micros("committed_at")).collect())
         epoch = dt.datetime(1970, 1, 1, tzinfo=UTC)
         entries = [Commit(**{**r.asDict(),
@@ -204,7 +212,7 @@ class Ledger:
         if line.layouts and line.layout[1] == layout:
             return line.layout
         used = (line.layout[0] + 1 if line.layouts else 0, layout)
-        self._record([Commit(table, 0, dt.datetime.now(UTC), EVOLVE, *used, 0, 0, 0, 0, 0, None)])
+        self._record(table, [Commit(table, 0, dt.datetime.now(UTC), EVOLVE, *used, 0, 0, 0, 0, 0, None)])
         return used
 
     # --- snapshots ------------------------------------------------------------
@@ -224,7 +232,7 @@ class Ledger:
             "cutoff", F.when(bare, end_of_day).otherwise(text.try_cast("timestamp")))
         asked = asked.withColumn("day", F.to_date("cutoff"))
         last_day = asked.agg(F.max("day").alias("d")).scalar()
-        spans = (self.log().filter(F.col("table_name") == table)
+        spans = (self.log(table)
                  .withColumn("until", F.lead("committed_at")
                              .over(Window.partitionBy("table_name").orderBy("committed_at")))
                  .withColumn("from_day", F.to_date("committed_at"))
@@ -341,9 +349,10 @@ class Ledger:
             rows = rows.withColumn(column, layout_value(F.col(ts), layout))
             ordered.append(ts)
         base = f"{self.root}/{line.table}/spec={spec}"
-        (rows.hint("rebalance", *by).sortWithinPartitions(*ordered)
-         .write.mode("append").partitionBy(*by)
-         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(base))
+        with _all_cores(self.spark):
+            (rows.hint("rebalance", *by).sortWithinPartitions(*ordered)
+             .write.mode("append").partitionBy(*by)
+             .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(base))
 
         present = set(self._children(base))
         paths = [f"{base}/commit_id={i}" for i in ids if f"commit_id={i}" in present]
@@ -376,7 +385,7 @@ class Ledger:
             records = added + (0 if operation == "overwrite" else records)
             rows.append(Commit(line.table, snapshot_id, at, operation, *line.layout, added_files,
                                deleted, files, added, records, batch))
-        self._record(rows)
+        self._record(line.table, rows)
         return rows
 
     def append(self, table: str, frame: DataFrame, committed_at: dt.datetime | None = None,
@@ -431,5 +440,24 @@ class Ledger:
         return self._commit(line, entries, counts)
 
 
+@contextmanager
+def _all_cores(spark: SparkSession):
+    """Keep a small write of many directories from being merged into one task.
+
+    The time such a write takes is that of opening files, not of its bytes.  A
+    directory still goes to one task, so there are no more files than before.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "1b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _aware(moment: dt.datetime) -> dt.datetime:
     return moment if moment.tzinfo else moment.replace(tzinfo=UTC)
