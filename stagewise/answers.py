@@ -32,6 +32,8 @@ ON_LEDGER: dict[str, Callable[..., DataFrame]] = {
     "compare_as_of": history.compare_as_of,
     "snapshot_history": history.snapshot_history,
 }
+# an empty list is itself the answer of these
+MAY_BE_EMPTY = ("funnel_anomalies", "weekly_trend")
 METRICS = (*ON_STAR, *ON_LEDGER, "explain_scan")
 
 
@@ -55,7 +57,7 @@ def answer(metric: str, star: Star, ledger: Ledger | None = None, **arguments) -
     of a running total; the audit trail has one row per commit.
     """
     rows = [r.asDict(recursive=True) for r in frame(metric, star, ledger, **arguments).collect()]
-    if rows or metric == "funnel_anomalies":
+    if rows or metric in MAY_BE_EMPTY:
         return rows
     if metric == "period_compare":
         raise MetricError(periods.unknown_period(

@@ -1,0 +1,103 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from stagewise.functions.calendar import calendar
+from stagewise.sources import generate as g
+
+SPAN = (dt.date(2025, 1, 1), dt.date(2026, 12, 31))
+
+
+@pytest.fixture(scope="module")
+def simulated(spark):
+    days = g.base_volume(calendar(spark, *SPAN).filter("year = 2025"))
+    events, orders = g.simulate(days, 3000, g.BASE_RATES, g.BASE_CHANNELS)
+    return days.cache(), events.cache(), orders.cache()
+
+
+def test_volume_follows_growth_and_season(spark):
+    days = g.base_volume(calendar(spark, *g.BASE_SPAN))
+    for r in days.filter(F.col("date").isin(dt.date(2022, 6, 1), dt.date(2024, 3, 8), dt.date(2025, 11, 30))).collect():
+        growth = {2022: 1.0, 2023: 1.08, 2024: 1.15}.get(r.year, 1.25)
+        level = 120 * growth * (1 + 0.15 * (r.iso_week % 8) / 8)
+        assert int(level * 0.9) <= r.visits <= int(level * 1.1)
+
+
+def test_batch_volume_follows_the_months(spark):
+    days = g.batch_volume(calendar(spark, *g.BATCH_SPAN))
+    want = {1: 85, 3: 140, 5: 207, 7: 180, 9: 160, 12: 165}
+    got = {r.month: r.v for r in days.groupBy("month").agg(F.avg("visits").alias("v")).collect()}
+    assert all(abs(got[m] / v - 1) < 0.06 for m, v in want.items())
+
+
+def test_stages_are_nested_and_share_their_visit(simulated):
+    days, events, _ = simulated
+    visits = events.withColumn("visit", F.expr("event_key div 3"))
+    wide = visits.groupBy("visit").agg(
+        F.sort_array(F.collect_list("stage")).alias("stages"),
+        F.count_distinct("customer_key", "channel_key", "event_ts", "date_key").alias("kinds"))
+    seen = {tuple(r.stages) for r in wide.select("stages").distinct().collect()}
+    assert seen == {("visit",), ("lead", "visit"), ("lead", "opportunity", "visit")}
+    assert wide.agg(F.max("kinds")).first()[0] == 1
+    total = days.agg(F.sum("visits")).first()[0]
+    assert visits.filter("stage = 'visit'").count() == total
+    assert events.select("event_key").distinct().count() == events.count()
+
+
+def test_rates(simulated):
+    _, events, orders = simulated
+    n = {(r.channel_key, r.stage): r.n for r in events.groupBy("channel_key", "stage").agg(F.count("*").alias("n")).collect()}
+    for i, name in enumerate(g.CHANNELS):
+        assert abs(n[i, "lead"] / n[i, "visit"] - g.BASE_RATES.lead[name]) < 0.02
+    total = {s: sum(v for (_, stage), v in n.items() if stage == s) for s in ("visit", "lead", "opportunity")}
+    assert abs(total["opportunity"] / total["lead"] - .30) < .02
+    assert abs(orders.count() / total["opportunity"] - .35) < .03
+    price = {i: p[2] for i, p in enumerate(g.PRODUCTS)}
+    for r in orders.select("product_key", "quantity", "revenue").distinct().collect():
+        assert 1 <= r.quantity <= 3 and r.revenue == price[r.product_key] * r.quantity
+
+
+def test_batch_mix(spark):
+    days = g.batch_volume(calendar(spark, *g.BATCH_SPAN), F.lit(4.0))
+    events, orders = g.simulate(days, 3000, g.BATCH_RATES, g.BATCH_CHANNELS, g.BATCH_KEYS)
+    assert events.agg(F.min("event_key")).first()[0] == 500_000
+    assert orders.agg(F.min("order_line_key")).first()[0] >= 100_000
+    june = events.filter((F.month("event_ts") == 6) & (F.col("stage") == "visit"))
+    share = {r.channel_key: r.n / june.count() for r in june.groupBy("channel_key").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(share[i] - w) < .03 for i, w in enumerate((.15, .25, .20, .40)))
+    mix = {r.product_key: r.n / orders.count() for r in orders.groupBy("product_key").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(mix[i] - w) < .04 for i, w in enumerate((.30, .45, .25)))
+    assert {r.quantity for r in orders.select("quantity").distinct().collect()} == {1, 2, 3, 4}
+
+
+def test_rows_do_not_depend_on_partitioning(spark, simulated):
+    _, events, orders = simulated
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        days = g.base_volume(calendar(spark, *SPAN).filter("year = 2025").repartition(5))
+        again = g.simulate(days, 3000, g.BASE_RATES, g.BASE_CHANNELS)
+        assert again[0].exceptAll(events).isEmpty() and events.exceptAll(again[0]).isEmpty()
+        assert again[1].exceptAll(orders).isEmpty() and again[1].count() == orders.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_busy_days_are_cut_into_chunks(spark):
+    days = calendar(spark, dt.date(2025, 1, 1), dt.date(2025, 1, 2)).withColumn(
+        "visits", F.lit(2 * g.CHUNK + 1))
+    rows = g._visits(days)
+    assert rows.count() == 2 * (2 * g.CHUNK + 1)
+    span = rows.agg(F.min("visit"), F.max("visit"), F.count_distinct("visit")).first()
+    assert tuple(span) == (0, 4 * g.CHUNK + 1, 4 * g.CHUNK + 2)
+
+
+def test_dimensions(spark):
+    rows = g.customers(spark.range(g.BASE_CUSTOMERS)).collect()
+    assert len({r.customer_id for r in rows}) == g.BASE_CUSTOMERS
+    assert {r.segment for r in rows} == set(g.SEGMENTS)
+    assert all(g.BASE_SPAN[0] <= r.signup_date <= g.BASE_SPAN[1] for r in rows)
+    assert {(r.channel_name, r.channel_group) for r in g.channels(spark).collect()} == {
+        ("Paid Search", "Paid"), ("Email", "Organic"), ("Organic", "Organic"), ("Social", "Organic")}
+    assert [r.unit_price for r in g.products(spark).orderBy("product_key").collect()] == [29.0, 99.0, 299.0]
