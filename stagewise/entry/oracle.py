@@ -530,11 +530,50 @@ def as_of(cutoff: str, requested: str, stage: str) -> str:
                TIMESTAMP '2024-02-04 06:00:00' AS current_committed_at, now - past AS events_added_since FROM n, t"""
 
 
+# At this size a partition directory holds one file: the first four batches are
+# laid out by day, the last by month.
+FILES = f"""{EVENTS},
+files AS (
+  SELECT DISTINCT batch, CASE WHEN batch < 4 THEN 'day' ELSE 'month' END AS layout,
+         CAST(CASE WHEN batch < 4 THEN date_trunc('day', ts) ELSE date_trunc('month', ts) END AS DATE) AS part
+  FROM e WHERE stage IS NOT NULL),
+asked(name, a, b) AS (VALUES <ranges>),
+counted AS (
+  SELECT name, (SELECT count(*) FROM files) AS total, count(part) AS scanned
+  FROM asked LEFT JOIN files
+    ON CASE layout WHEN 'day' THEN part + INTERVAL 1 DAY ELSE part + INTERVAL 1 MONTH END > a AND part < b
+  GROUP BY ALL),
+stats AS (
+  SELECT name AS predicate, total AS files_total, scanned AS files_scanned, total - scanned AS files_skipped,
+         {rounded('100e0 * (total - scanned) / total', 1)} AS files_skipped_pct FROM counted)"""
+
+
+def scans(spans: str) -> dict[str, str]:
+    def files(*ranges: tuple[str, str, str]) -> str:
+        return FILES.replace("<ranges>", ", ".join(
+            f"('{name}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for name, a, b in ranges))
+
+    whole = ("none", "2000-01-01", "2100-01-01")
+    return {
+        "scan_stats": f"{FILES.replace('<ranges>', spans)} SELECT * FROM stats",
+        "pruning_report": files(whole, ("month", "2024-01-01", "2024-02-01"), ("week", "2024-01-08", "2024-01-15"))
+        + " SELECT * FROM stats",
+        "layout_counts": files(whole) + """
+            SELECT 'event_ts_' || layout AS layout_column, count(*) AS files FROM files GROUP BY ALL""",
+        "explain_scan": files(("2024-W04", "2024-01-22", "2024-01-29")) + """
+            SELECT predicate AS week, 'event_ts >= ''2024-01-22T00:00:00+00:00'' AND event_ts < ''2024-01-29T00:00:00+00:00''' AS row_filter,
+                   files_total, files_scanned, files_skipped, files_skipped_pct,
+                   printf('one week of the table opens %d of %d files; %d (%.1f%%) were skipped by their partition and never opened',
+                          files_scanned, files_total, files_skipped, files_skipped_pct) AS explanation FROM stats""",
+    }
+
+
 def versions() -> dict[str, str]:
     ranges = {"one week": ("2024-01-08", "2024-01-15"), "inside days": ("2024-01-15 12:00:00", "2024-01-20 06:00:00"),
               "everything": ("2024-01-01", "2024-02-01"), "nothing": ("2023-05-01", "2023-06-01")}
     spans = ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in ranges.items())
     return {
+        **scans(spans),
         "csv_roundtrip": f"{EVENTS} {EVENT_ROWS}",
         "evolved_read": f"{EVENTS} {EVENT_ROWS}",
         "read_snapshot": f"{EVENTS} {EVENT_ROWS} AND batch < 3",

@@ -21,6 +21,13 @@ def _rule(name: str, rows: DataFrame, violated: Column) -> DataFrame:
         F.lit(name).alias("check"), "rows_checked", "violations")
 
 
+def _stacked(summed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """One row of sums as one row per rule ``(check, rows column, violations column)``."""
+    cells = ", ".join(f"'{check}', {rows}, {bad}" for check, rows, bad in rules)
+    return summed.selectExpr(
+        f"stack({len(rules)}, {cells}) AS (`check`, rows_checked, violations)")
+
+
 def _together(rules: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
@@ -51,13 +58,10 @@ def yoy_pair_check(star: Star) -> DataFrame:
         (F.col("prior_year_week") != expected).alias("mispaired"),
         (prior.isNull() & ~unknown).alias("invented"),
         (prior.isNotNull() & F.col("note").isNotNull()).alias("spurious"))
-    counted = flags.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count_if(F.col(c)).alias(c) for c in flags.columns])
-    names = {"mispaired": "yoy_pairs_same_week", "invented": "yoy_missing_prior_is_unknown",
-             "spurious": "yoy_note_only_when_unknown"}
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(rule).alias("check"), F.col("n").alias("rows_checked"),
-                 F.col(flag).alias("violations")) for flag, rule in names.items()])))
+    summed = flags.selectExpr("count(1) AS n", *[f"count_if({c}) AS {c}" for c in flags.columns])
+    return _stacked(summed, [("yoy_pairs_same_week", "n", "mispaired"),
+                             ("yoy_missing_prior_is_unknown", "n", "invented"),
+                             ("yoy_note_only_when_unknown", "n", "spurious")])
 
 
 _RATES = (("visit_to_lead_pct", "leads", "visits"),
@@ -68,29 +72,21 @@ _RATES = (("visit_to_lead_pct", "leads", "visits"),
 
 def rate_null_check(star: Star) -> DataFrame:
     """A rate is null exactly when its denominator is zero; a real zero stays 0."""
-    weeks = vw_funnel_weekly(star)
-    flags = []
+    rules, sums = [], []
     for rate, part, whole in _RATES:
-        undefined = F.col(rate).isNull() != (F.col(whole) == 0)
-        zero = (F.col(part) == 0) & (F.col(whole) > 0) & (F.col(rate) != 0.0)
-        flags += [(f"{rate}_null_iff_no_base", undefined), (f"{rate}_zero_stays_zero", zero)]
-    counted = weeks.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count_if(flag).alias(name) for name, flag in flags])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("check"), F.col("n").alias("rows_checked"),
-                 F.col(name).alias("violations")) for name, _ in flags])))
+        sums += [f"count_if(({rate} IS NULL) <> ({whole} = 0)) AS {rate}_wrong",
+                 f"count_if({part} = 0 AND {whole} > 0 AND {rate} <> 0) AS {rate}_lost"]
+        rules += [(f"{rate}_null_iff_no_base", "n", f"{rate}_wrong"),
+                  (f"{rate}_zero_stays_zero", "n", f"{rate}_lost")]
+    return _stacked(vw_funnel_weekly(star).selectExpr("count(1) AS n", *sums), rules)
 
 
 def not_null_check(star: Star, table: str) -> DataFrame:
     """One rule per column, one pass over the table."""
     columns = TABLES[table].fieldNames()
-    counted = star.table(table).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(f"{table}.{c} not null").alias("check"),
-                 F.col("n").alias("rows_checked"),
-                 F.col(f"missing_{c}").alias("violations")) for c in columns])))
+    summed = star.table(table).selectExpr(
+        "count(1) AS n", *[f"count_if({c} IS NULL) AS missing_{c}" for c in columns])
+    return _stacked(summed, [(f"{table}.{c} not null", "n", f"missing_{c}") for c in columns])
 
 
 def foreign_key_check(star: Star, table: str) -> DataFrame:
@@ -99,30 +95,20 @@ def foreign_key_check(star: Star, table: str) -> DataFrame:
     Keys are counted before they are matched, so a hot key is one row.
     """
     keys = [(key, parent) for child, key, parent in FOREIGN_KEYS if child == table]
-
-    def named(key: str) -> list[Column]:
-        return [F.lit(key).alias("name"), F.col(key).cast("long").alias("key")]
-
-    counts = (star.table(table)
-              .select(F.inline(F.array(*[F.struct(*named(key)) for key, _ in keys])))
+    pairs = ", ".join(f"'{key}', CAST({key} AS BIGINT)" for key, _ in keys)
+    counts = (star.table(table).selectExpr(f"stack({len(keys)}, {pairs}) AS (name, key)")
               .groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")))
-    parents = reduce(DataFrame.unionByName,
-                     [star.table(parent).select(*named(key)) for key, parent in keys])
+    parents = reduce(DataFrame.unionByName, [
+        star.table(parent).selectExpr(f"'{key}' AS name", f"CAST({key} AS BIGINT) AS key")
+        for key, parent in keys])
     matched = counts.join(parents.distinct().withColumn("held", F.lit(True)),
                           ["name", "key"], "left")
-    orphan = F.col("held").isNull() & F.col("key").isNotNull()
-
-    def total(name: str, where: Column) -> Column:
-        n = F.sum(F.when((F.col("name") == name) & where, F.col("n")))
-        return F.coalesce(n, F.lit(0).cast("bigint"))
-
-    summed = matched.agg(
-        *[total(key, F.lit(True)).alias(f"rows_{key}") for key, _ in keys],
-        *[total(key, orphan).alias(f"orphans_{key}") for key, _ in keys])
-    return summed.select(F.inline(F.array(*[
-        F.struct(F.lit(f"{table}.{key} in {parent}").alias("check"),
-                 F.col(f"rows_{key}").alias("rows_checked"),
-                 F.col(f"orphans_{key}").alias("violations")) for key, parent in keys])))
+    summed = matched.selectExpr(*[
+        f"coalesce(sum(n) FILTER (WHERE name = '{key}'{orphan}), 0L) AS {column}_{key}"
+        for key, _ in keys
+        for column, orphan in (("total", ""), ("orphans", " AND held IS NULL AND key IS NOT NULL"))])
+    return _stacked(summed, [(f"{table}.{key} in {parent}", f"total_{key}", f"orphans_{key}")
+                             for key, parent in keys])
 
 
 def unique_key_check(star: Star, table: str, column: str) -> DataFrame:

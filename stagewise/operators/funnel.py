@@ -128,13 +128,13 @@ def funnel_snapshot(star: Star, iso_year: int | None = None, iso_week: int | Non
 
 # --- what fell since the week before -------------------------------------------
 
-def _figures(counts: DataFrame, prefix: str) -> DataFrame:
+def _figures(counts: DataFrame) -> DataFrame:
     """One row per week and figure: four volumes and four conversion rates."""
     rates = counts.select("*", *_conversions())
 
     def entry(kind: str, name: str, label: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"),
-                        F.lit(label).alias("label"), value.cast("double").alias(prefix))
+                        F.lit(label).alias("label"), value.cast("double").alias("current"))
 
     volumes = [entry("stage_volume", s, f"{s} volume", F.col(s))
                for s in ("visit", "lead", "opportunity", "order")]
@@ -155,11 +155,11 @@ def _message() -> Column:
 def _fallen(star: Star, counts: DataFrame, threshold: float,
             now: dt.datetime | None) -> DataFrame:
     """Weeks against the week that starts seven days earlier, drops only."""
-    current = _figures(counts, "current")
-    before = _figures(counts, "previous").select(
+    current = _figures(counts)
+    before = current.select(
         F.date_add("week_start_date", 7).alias("week_start_date"),
         week_label(F.col("iso_year"), F.col("iso_week")).alias("previous_week"),
-        "kind", "name", "previous")
+        "kind", "name", F.col("current").alias("previous"))
     start = F.col("week_start_date")
     return (
         current.join(before, ["week_start_date", "kind", "name"])

@@ -93,19 +93,11 @@ def top_dimension_all(star: Star, dimension: str = "channel", measure: str = "or
     """The highest labels of every week."""
     _check(dimension, measure)
     limit = clamp(limit, MAX_RANKED)
-    _, key, _ = DIMENSIONS[dimension]
-    # days meet the calendar after a first aggregation by day and key
-    per_day = star.fact_orders.groupBy("date_key", key).agg(
-        F.count(F.lit(1)).alias("n"), money_sum().alias("amount"))
+    # the calendar is joined first: grouping by day and key would give the
+    # shuffle up to seven times the rows
     days = spine(star).select("date_key", *WEEK, "week_start_date")
-    table, _, label = DIMENSIONS[dimension]
-    names = star.table(table).select(key, F.col(label).alias("name"))
-    labelled = (per_day.join(days, "date_key")
-                .groupBy(*WEEK, "week_start_date", key)
-                .agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
-                .join(names, key).groupBy(*WEEK, "week_start_date", "name")
-                .agg(F.sum("n").alias("orders"),
-                     F.sum("amount").cast("double").alias("revenue")))
+    weekly = star.fact_orders.join(days, "date_key")
+    labelled = _labelled(star, dimension, weekly, (*WEEK, "week_start_date"))
     order = Window.partitionBy(*WEEK).orderBy(F.desc("exact"), F.col("name"))
     return (_ranked(labelled, measure).withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= limit)

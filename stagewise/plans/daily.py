@@ -34,37 +34,53 @@ def spine(star: Star) -> DataFrame:
             .select(*_SPINE))
 
 
-def _only_days(fact: DataFrame, keys: Collection[int] | None) -> DataFrame:
-    return fact if keys is None else fact.filter(F.col("date_key").isin(*keys))
+def _only_days(frame: DataFrame, keys: Collection[int] | None) -> DataFrame:
+    return frame if keys is None else frame.filter(F.col("date_key").isin(*keys))
+
+
+def _count_events(fact: DataFrame) -> DataFrame:
+    return fact.groupBy("date_key", "stage").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _count_orders(fact: DataFrame) -> DataFrame:
+    return fact.groupBy("date_key").agg(F.count(F.lit(1)).alias("orders"),
+                                        money_sum().alias("revenue"),
+                                        F.sum("quantity").alias("units"))
+
+
+def _on_calendar(star: Star, counted: DataFrame) -> DataFrame:
+    return counted.join(spine(star), "date_key").drop("date_key")
 
 
 def daily_events(star: Star, stages: Collection[str] | None = None,
                  keys: Collection[int] | None = None) -> DataFrame:
     """Events per day and stage."""
-    fact = _only_days(star.fact_funnel_event, keys)
+    kept = star.keep("events", lambda: _count_events(star.fact_funnel_event))
+    rows = _only_days(star.fact_funnel_event if kept is None else kept, keys)
     if stages is not None:
-        fact = fact.filter(F.col("stage").isin(*stages))
-    counted = fact.groupBy("date_key", "stage").agg(F.count(F.lit(1)).alias("events"))
-    return counted.join(spine(star), "date_key").drop("date_key")
+        rows = rows.filter(F.col("stage").isin(*stages))
+    return _on_calendar(star, _count_events(rows) if kept is None else rows)
 
 
 def daily_stages(star: Star, keys: Collection[int] | None = None) -> DataFrame:
     """Events per day with one column per stage: a third of the rows of the long form."""
-    fact = _only_days(star.fact_funnel_event, keys)
-    counted = fact.groupBy("date_key").agg(
-        F.count_if(F.col("stage") == "visit").alias("visits"),
-        F.count_if(F.col("stage") == "lead").alias("leads"),
-        F.count_if(F.col("stage") == "opportunity").alias("opportunities"))
-    return counted.join(spine(star), "date_key").drop("date_key")
+    kept = star.keep("events", lambda: _count_events(star.fact_funnel_event))
+    rows = _only_days(star.fact_funnel_event if kept is None else kept, keys)
+    columns = []
+    for stage, name in (("visit", "visits"), ("lead", "leads"), ("opportunity", "opportunities")):
+        of_stage = F.col("stage") == stage
+        counted = (F.count_if(of_stage) if kept is None
+                   else F.sum(F.when(of_stage, F.col("events")).otherwise(0)))
+        columns.append(counted.alias(name))
+    return _on_calendar(star, rows.groupBy("date_key").agg(*columns))
 
 
 def daily_orders(star: Star, keys: Collection[int] | None = None) -> DataFrame:
     """Order lines, revenue and units per day; revenue stays decimal for rolling up."""
-    counted = (_only_days(star.fact_orders, keys).groupBy("date_key")
-               .agg(F.count(F.lit(1)).alias("orders"),
-                    money_sum().alias("revenue"),
-                    F.sum("quantity").alias("units")))
-    return counted.join(spine(star), "date_key").drop("date_key")
+    kept = star.keep("orders", lambda: _count_orders(star.fact_orders))
+    if kept is not None:
+        return _on_calendar(star, _only_days(kept, keys))
+    return _on_calendar(star, _count_orders(_only_days(star.fact_orders, keys)))
 
 
 def _by_week(daily: DataFrame, *measures: Column, also: tuple[str, ...] = ()) -> DataFrame:

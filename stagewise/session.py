@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.enableVectorizedReader": "true",
+    # call sites are looked up for every column, and plans here have hundreds
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

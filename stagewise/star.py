@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ class Star:
         if set(tables) != set(TABLES):
             raise ValueError(f"a star has the tables {', '.join(TABLES)}")
         self._tables = tables
+        self._kept: dict[str, DataFrame] | None = None
         self.snapshots = dict(snapshots or {})
 
     def table(self, name: str) -> DataFrame:
@@ -47,6 +49,29 @@ class Star:
     def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> Star:
         return Star(self.snapshots, **{**self._tables, **tables})
 
+    @contextmanager
+    def kept(self) -> Iterator[Star]:
+        """A star whose daily aggregates are computed once and kept.
+
+        For many questions about the same snapshot.  What is kept has a row per
+        day and stage, however large the facts are; the facts are never kept.
+        """
+        star = Star(self.snapshots, **self._tables)
+        star._kept = {}
+        try:
+            yield star
+        finally:
+            for frame in star._kept.values():
+                frame.unpersist()
+
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame | None:
+        """The kept aggregate of that name, or nothing if this star keeps none."""
+        if self._kept is None:
+            return None
+        if name not in self._kept:
+            self._kept[name] = build().persist()
+        return self._kept[name]
+
     @property
     def spark(self) -> SparkSession:
         return self.dim_date.sparkSession
