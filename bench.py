@@ -1,6 +1,6 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``: one JSON line.
 
-Each query is planned and run from its source files; one warm-up, then the
+Each query is planned and run from its source files, nothing cached; one warm-up, then the
 median of three.  Opened and total files and shuffled bytes of the pruned read
 are reported beside the seconds.
 """

@@ -21,6 +21,7 @@ from stagewise.plans.catalogue import catalogue, run_catalogue
 from stagewise.plans.daily import weekly_stages
 from stagewise.plans.views import VIEWS, publish_views, vw_funnel_weekly
 from stagewise.schemas import DIMENSIONS, FACT_TIME
+from stagewise.session import use_utc
 from stagewise.sources import generate, scan
 from stagewise.sources.bindings import event_star, orders_star, read_source
 from stagewise.sources.ledger import Ledger
@@ -34,8 +35,21 @@ FUNNEL, ORDERS = "fact_funnel_event", "fact_orders"
 UTC = dt.timezone.utc
 
 
+_stars: dict[tuple[str, str], Star] = {}
+
+
+def the_star(spark: SparkSession, root: str) -> Star:
+    """The orders star of this session and folder: lazy frames and the span of its
+    calendar, no data."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _stars:
+        _stars[key] = orders_star(spark, root)
+    use_utc(spark)
+    return _stars[key]
+
+
 def on_star(build: Callable[[Star], DataFrame]) -> Query:
-    return lambda spark, root: build(orders_star(spark, root)).drop("provenance")
+    return lambda spark, root: build(the_star(spark, root)).drop("provenance")
 
 
 def on_ledger(build: Callable[[Ledger], DataFrame]) -> Query:
@@ -56,7 +70,7 @@ def ship_days(spark: SparkSession, root: str) -> DataFrame:
 
 
 def dim_date_extend(spark: SparkSession, root: str) -> DataFrame:
-    star = orders_star(spark, root)
+    star = the_star(spark, root)
     return extend_calendar(star.dim_date, ship_days(spark, root))
 
 
@@ -69,7 +83,7 @@ def latest_week(basis: str) -> Query:
 
 
 def resolve_week(spark: SparkSession, root: str) -> DataFrame:
-    star = orders_star(spark, root)
+    star = the_star(spark, root)
     asked = ship_days(spark, root).select(
         F.extract(F.lit("YEAROFWEEK"), "date").cast("int").alias("iso_year"),
         F.weekofyear("date").alias("iso_week")).distinct()
@@ -77,7 +91,7 @@ def resolve_week(spark: SparkSession, root: str) -> DataFrame:
 
 
 def week_containing(spark: SparkSession, root: str) -> DataFrame:
-    return weeks.weeks_containing(orders_star(spark, root), ship_days(spark, root))
+    return weeks.weeks_containing(the_star(spark, root), ship_days(spark, root))
 
 
 def normalised(spark: SparkSession, root: str) -> DataFrame:
@@ -143,7 +157,7 @@ def dim_load(ledger: Ledger) -> DataFrame:
 
 def fact_load_by_month(spark: SparkSession, root: str) -> DataFrame:
     ledger = Ledger(spark, fresh_folder(spark, "monthly"))
-    ledger.load_by_month(ORDERS, orders_star(spark, root).fact_orders)
+    ledger.load_by_month(ORDERS, the_star(spark, root).fact_orders)
     return ledger.log(ORDERS).select(
         "snapshot_id", F.col("batch").alias("month"), "operation", "added_records",
         "total_records")
@@ -187,12 +201,12 @@ def append_stream(spark: SparkSession, root: str) -> DataFrame:
 
 def serve_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     path = fresh_folder(spark, "served")
-    serve_files(orders_star(spark, root), path)
+    serve_files(the_star(spark, root), path)
     return vw_funnel_weekly(served_files(spark, path))
 
 
 def published_views(spark: SparkSession, root: str) -> DataFrame:
-    publish_views(orders_star(spark, root))
+    publish_views(the_star(spark, root))
     return spark.sql("""
         SELECT t.iso_year, t.iso_week, t.stage, t.events, t.yoy_pct, o.revenue, o.revenue_yoy_pct
         FROM vw_funnel_stage_trend t JOIN vw_orders_trend o USING (iso_year, iso_week)
@@ -289,14 +303,14 @@ def _per_day(events: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def gen_funnel(spark: SparkSession, root: str) -> DataFrame:
-    days = _base_days(orders_star(spark, root))
+    days = _base_days(the_star(spark, root))
     return _per_day(*generate.simulate(days, _customer_count(spark, root), generate.BASE_RATES,
                                        generate.BASE_CHANNELS))
 
 
 def gen_batch(spark: SparkSession, root: str) -> DataFrame:
     """The year after the star's calendar, at a level scaled to its visits per day."""
-    star = orders_star(spark, root)
+    star = the_star(spark, root)
     last = star.dim_date.agg(F.max("date")).first()[0]
     span = (last + dt.timedelta(days=1), last + dt.timedelta(days=365))
     extended = extend_calendar(star.dim_date, calendar(spark, *span))
