@@ -80,7 +80,7 @@ def top_dimension(star: Star, dimension: str = "channel", measure: str = "orders
     _check(dimension, measure)
     limit = clamp(limit, MAX_RANKED)
     week = resolve_week(star, iso_year, iso_week)
-    facts = star.fact_orders.filter(F.col("date_key").isin(*week.date_keys))
+    facts = star.on_days("fact_orders", week.date_keys)
     top = (_ranked(_labelled(star, dimension, facts, ()), measure)
            .orderBy(F.desc("exact"), "name").limit(limit))
     return top.select(F.lit(week.label).alias("week"), "name", *_shown(),

@@ -56,7 +56,7 @@ def daily_events(star: Star, stages: Collection[str] | None = None,
                  keys: Collection[int] | None = None) -> DataFrame:
     """Events per day and stage."""
     kept = star.keep("events", lambda: _count_events(star.fact_funnel_event))
-    rows = _only_days(star.fact_funnel_event if kept is None else kept, keys)
+    rows = star.on_days("fact_funnel_event", keys) if kept is None else _only_days(kept, keys)
     if stages is not None:
         rows = rows.filter(F.col("stage").isin(*stages))
     return _on_calendar(star, _count_events(rows) if kept is None else rows)
@@ -65,7 +65,7 @@ def daily_events(star: Star, stages: Collection[str] | None = None,
 def daily_stages(star: Star, keys: Collection[int] | None = None) -> DataFrame:
     """Events per day with one column per stage: a third of the rows of the long form."""
     kept = star.keep("events", lambda: _count_events(star.fact_funnel_event))
-    rows = _only_days(star.fact_funnel_event if kept is None else kept, keys)
+    rows = star.on_days("fact_funnel_event", keys) if kept is None else _only_days(kept, keys)
     columns = []
     for stage, name in (("visit", "visits"), ("lead", "leads"), ("opportunity", "opportunities")):
         of_stage = F.col("stage") == stage
@@ -80,7 +80,7 @@ def daily_orders(star: Star, keys: Collection[int] | None = None) -> DataFrame:
     kept = star.keep("orders", lambda: _count_orders(star.fact_orders))
     if kept is not None:
         return _on_calendar(star, _only_days(kept, keys))
-    return _on_calendar(star, _count_orders(_only_days(star.fact_orders, keys)))
+    return _on_calendar(star, _count_orders(star.on_days("fact_orders", keys)))
 
 
 def _by_week(daily: DataFrame, *measures: Column, also: tuple[str, ...] = ()) -> DataFrame:

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Collection
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,7 @@ LEDGER = T.StructType([
     T.StructField("added_records", T.LongType()),
     T.StructField("total_records", T.LongType()),
     T.StructField("batch", T.StringType()),
+    T.StructField("day_from_key", T.ArrayType(T.IntegerType())),
 ])
 COMMIT_ID = T.StructField("commit_id", T.IntegerType())
 LAYOUTS = ("none", "day", "month")
@@ -62,6 +64,9 @@ class Commit:
     added_records: int
     total_records: int
     batch: str | None
+    # least and greatest distance from a row's date key to the day of its time;
+    # none if it is not known for every row
+    day_from_key: list[int] | None = None
 
     def snapshot(self) -> Snapshot:
         return Snapshot(self.table_name, self.snapshot_id, self.committed_at,
@@ -148,6 +153,17 @@ class Timeline:
         start = max((i for i, c in enumerate(upto) if c.operation == "overwrite"), default=0)
         return upto[start:]
 
+    def day_span(self, keys: Collection[int],
+                 snapshot_id: int | None = None) -> tuple[dt.date, dt.date] | None:
+        """Days outside which no live row has one of the date keys, if that is known."""
+        held = [c.day_from_key for c in self.live(snapshot_id) if c.added_records]
+        if not held or not keys or any(d is None for d in held):
+            return None
+        epoch = dt.date(1970, 1, 1)
+        first = min(keys) + min(low for low, _ in held)
+        last = max(keys) + max(high for _, high in held)
+        return epoch + dt.timedelta(days=first), epoch + dt.timedelta(days=last)
+
 
 class Ledger:
     """Versioned tables below one folder."""
@@ -286,10 +302,12 @@ class Ledger:
         return out if with_commit else out.drop("commit_id")
 
     def in_layout_range(self, table: str, start: dt.datetime, end: dt.datetime,
-                        snapshot_id: int | None = None) -> list[DataFrame]:
+                        snapshot_id: int | None = None,
+                        timeline: Timeline | None = None) -> list[DataFrame]:
         """Per layout, the files a half-open time range can touch: partition predicate only."""
+        timeline = timeline or self.timeline(table)
         out = []
-        for layout, frame in self._parts(table, self.timeline(table).live(snapshot_id)):
+        for layout, frame in self._parts(table, timeline.live(snapshot_id)):
             column = layout_column(table, layout)
             if column:
                 low = layout_value(F.lit(start), layout)
@@ -298,6 +316,24 @@ class Ledger:
             out.append(frame)
         return out
 
+    def on_days(self, table: str, keys: Collection[int], snapshot_id: int | None = None,
+                timeline: Timeline | None = None) -> DataFrame:
+        """Rows with one of the date keys, opening only the files that can hold any.
+
+        Each commit records how far a date key lies from the day of its row, so
+        keys bound the partitions without trusting the two to agree.
+        """
+        timeline = timeline or self.timeline(table)
+        span = timeline.day_span(keys, snapshot_id)
+        if span is None:
+            rows = self.read(table, snapshot_id, timeline=timeline)
+        else:
+            start = dt.datetime.combine(span[0], dt.time.min, UTC)
+            end = dt.datetime.combine(span[1] + dt.timedelta(days=1), dt.time.min, UTC)
+            rows = self._union(table, self.in_layout_range(
+                table, start, end, snapshot_id, timeline)).drop("commit_id")
+        return rows.filter(F.col("date_key").isin(*keys))
+
     def time_range(self, table: str, start: dt.datetime, end: dt.datetime,
                    snapshot_id: int | None = None) -> DataFrame:
         """Rows with ``start <= time < end``; files outside the range are not opened.
@@ -317,7 +353,9 @@ class Ledger:
         at = {t: line.at() if moment is None else line.as_of(moment) for t, line in lines.items()}
         frames = {t: partial(self.read, t, c.snapshot_id, timeline=lines[t])
                   for t, c in at.items()}
-        return Star({t: c.snapshot() for t, c in at.items()}, **frames)
+        narrow = {t: partial(self.on_days, t, snapshot_id=at[t].snapshot_id, timeline=lines[t])
+                  for t in FACT_TIME}
+        return Star({t: c.snapshot() for t, c in at.items()}, narrow, **frames)
 
     # --- writes ---------------------------------------------------------------
 
@@ -330,8 +368,10 @@ class Ledger:
         return 1 + max([*on_disk, *[c.snapshot_id for c in line]], default=0)
 
     def _write(self, line: Timeline, frame: DataFrame,
-               ids: list[int]) -> dict[int, tuple[int, int]]:
-        """Write rows into the directories of their ``commit_id``; ``{id: (files, rows)}``.
+               ids: list[int]) -> tuple[dict[int, tuple[int, int]], list[int] | None]:
+        """Write rows into the directories of their ``commit_id``.
+
+        Returns ``{id: (files, rows)}`` and the distance from date key to day.
 
         The rebalance brings the rows of one partition directory together, and
         lets the engine split a directory that is too large for one task.  Rows
@@ -344,10 +384,16 @@ class Ledger:
         by = ["commit_id", column] if column else ["commit_id"]
         rows = frame.select(*TABLES[line.table].fieldNames(), "commit_id")
         ordered = list(by)
+        seen = None
         if column:
             ts = FACT_TIME[line.table]
             rows = rows.withColumn(column, layout_value(F.col(ts), layout))
             ordered.append(ts)
+            # extremes stay right when a task runs twice, which a sum would not
+            seen = Observation()
+            distance = F.unix_date(F.to_date(ts)) - F.col("date_key")
+            rows = rows.observe(seen, F.min(distance).alias("low"), F.max(distance).alias("high"),
+                                F.max(F.col(ts).isNull()).alias("untimed"))
         base = f"{self.root}/{line.table}/spec={spec}"
         with _all_cores(self.spark):
             (rows.hint("rebalance", *by).sortWithinPartitions(*ordered)
@@ -357,22 +403,26 @@ class Ledger:
         present = set(self._children(base))
         paths = [f"{base}/commit_id={i}" for i in ids if f"commit_id={i}" in present]
         if not paths:
-            return {}
+            return {}, None
+        held = seen.get if seen else {"untimed": True}
+        known = not held["untimed"] and held["low"] is not None
+        distances = [held["low"], held["high"]] if known else None
         per_file = (self.spark.read.schema(T.StructType([COMMIT_ID]))
                     .option("basePath", base).parquet(*paths)
                     .groupBy("commit_id", F.col("_metadata.file_path").alias("file"))
                     .agg(F.count(F.lit(1)).alias("rows")))
         counted = per_file.groupBy("commit_id").agg(F.count(F.lit(1)).alias("files"),
                                                     F.sum("rows").alias("rows"))
-        return {r.commit_id: (r["files"], r["rows"]) for r in counted.collect()}
+        return {r.commit_id: (r["files"], r["rows"]) for r in counted.collect()}, distances
 
     def _commit(self, line: Timeline,
                 entries: list[tuple[int, dt.datetime, str, str | None]],
-                counts: dict[int, tuple[int, int]]) -> list[Commit]:
+                written: tuple[dict[int, tuple[int, int]], list[int] | None]) -> list[Commit]:
         """Ledger rows for written commits, in order; this is what makes them visible."""
         last = line.commits[-1] if len(line) else None
         files, records = (last.total_files, last.total_records) if last else (0, 0)
         previous = last.committed_at if last else None
+        counts, distances = written
         rows = []
         for snapshot_id, at, operation, batch in entries:
             if previous is not None and at <= previous:
@@ -384,7 +434,7 @@ class Ledger:
             files = files - deleted + added_files
             records = added + (0 if operation == "overwrite" else records)
             rows.append(Commit(line.table, snapshot_id, at, operation, *line.layout, added_files,
-                               deleted, files, added, records, batch))
+                               deleted, files, added, records, batch, distances))
         self._record(line.table, rows)
         return rows
 
@@ -398,9 +448,9 @@ class Ledger:
         if not len(line):
             operation = "overwrite"
         snapshot_id = self._next_id(line)
-        counts = self._write(line, frame.withColumn("commit_id", F.lit(snapshot_id)), [snapshot_id])
+        written = self._write(line, frame.withColumn("commit_id", F.lit(snapshot_id)), [snapshot_id])
         at = _aware(committed_at) if committed_at else dt.datetime.now(UTC)
-        return self._commit(line, [(snapshot_id, at, operation, batch)], counts)[0]
+        return self._commit(line, [(snapshot_id, at, operation, batch)], written)[0]
 
     def overwrite(self, table: str, frame: DataFrame,
                   committed_at: dt.datetime | None = None) -> Commit:
@@ -432,12 +482,12 @@ class Ledger:
         months = self.spark.createDataFrame(list(ids.items()), "commit_month string, commit_id int")
         rows = (frame.withColumn("commit_month", month)
                 .join(F.broadcast(months), "commit_month"))
-        counts = self._write(line, rows, list(ids.values()))
+        written = self._write(line, rows, list(ids.values()))
         last = _aware(committed_at) if committed_at else dt.datetime.now(UTC)
         entries = [(i, last - dt.timedelta(milliseconds=len(ids) - 1 - n),
                     "overwrite" if n == 0 else "append", m)
                    for n, (m, i) in enumerate(ids.items())]
-        return self._commit(line, entries, counts)
+        return self._commit(line, entries, written)
 
 
 @contextmanager

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stagewise.schemas import TABLES
 
@@ -29,15 +30,18 @@ class Star:
     A table may be given as a function; it is then built when it is first asked
     for, so that a question about two tables costs nothing for the other four.
     ``snapshots`` is empty for tables that are not versioned; the provenance of
-    an answer then names no snapshot.
+    an answer then names no snapshot.  ``narrow`` may give a cheaper way to the
+    rows of a fact on a few days.
     """
 
     def __init__(self, snapshots: Mapping[str, Snapshot] | None = None,
+                 narrow: Mapping[str, Callable[[Collection[int]], DataFrame]] | None = None,
                  **tables: DataFrame | Callable[[], DataFrame]):
         if set(tables) != set(TABLES):
             raise ValueError(f"a star has the tables {', '.join(TABLES)}")
         self._tables = tables
         self._kept: dict[str, DataFrame] | None = None
+        self._narrow = dict(narrow or {})
         self.snapshots = dict(snapshots or {})
 
     def table(self, name: str) -> DataFrame:
@@ -46,8 +50,17 @@ class Star:
             held = self._tables[name] = held()
         return held
 
+    def on_days(self, fact: str, keys: Collection[int] | None) -> DataFrame:
+        """The rows of a fact on days given by their date keys; all rows for none."""
+        if keys is None:
+            return self.table(fact)
+        if fact in self._narrow:
+            return self._narrow[fact](keys)
+        return self.table(fact).filter(F.col("date_key").isin(*keys))
+
     def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> Star:
-        return Star(self.snapshots, **{**self._tables, **tables})
+        narrow = {t: f for t, f in self._narrow.items() if t not in tables}
+        return Star(self.snapshots, narrow, **{**self._tables, **tables})
 
     @contextmanager
     def kept(self) -> Iterator[Star]:
@@ -56,7 +69,7 @@ class Star:
         For many questions about the same snapshot.  What is kept has a row per
         day and stage, however large the facts are; the facts are never kept.
         """
-        star = Star(self.snapshots, **self._tables)
+        star = Star(self.snapshots, self._narrow, **self._tables)
         star._kept = {}
         try:
             yield star

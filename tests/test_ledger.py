@@ -276,3 +276,35 @@ def test_day_keys_reach_the_scan(spark, tmp_path):
     from stagewise.operators.funnel import funnel_yoy
     plan = funnel_yoy(held.star(), "visit")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "In(date_key" in plan
+
+
+def test_a_week_opens_only_its_files_without_trusting_keys(spark, tmp_path):
+    """Keys bound the days to open; a row whose key and time disagree is still counted."""
+    from stagewise.operators.funnel import funnel_snapshot
+    source = make_star(spark, "2026-01-05", "2026-02-01", events=[
+        (f"2026-01-{d:02d}", "visit", 1) for d in range(5, 32)], orders=[("2026-01-13", 5)])
+    held = Ledger(spark, str(tmp_path))
+    held.load_dimensions(source)
+    held.append(FUNNEL, source.fact_funnel_event)
+    held.append("fact_orders", source.fact_orders)
+    line = held.timeline(FUNNEL)
+    origin = (dt.date(2026, 1, 5) - dt.date(1970, 1, 1)).days
+    assert line.at().day_from_key == [origin, origin]
+    assert line.day_span([7, 13]) == (dt.date(2026, 1, 12), dt.date(2026, 1, 18))
+    week = held.on_days(FUNNEL, range(7, 14))
+    assert sum(scan.files_opened(week)) == 7 and week.count() == 7
+    one = funnel_snapshot(held.star(), 2026, 3)
+    assert one.first().visit == 7 and one.first()["order"] == 1
+    assert sum(scan.files_opened(one.drop("provenance"))) <= 7 + 1 + 2 * 1  # weeks read dim_date twice
+
+    # three rows of day 30 Jan carry the key of 13 Jan
+    stray = source.fact_funnel_event.limit(3).withColumn("date_key", F.lit(8)).withColumn(
+        "event_ts", F.lit("2026-01-30 12:00:00").cast("timestamp"))
+    held.append(FUNNEL, stray)
+    assert held.timeline(FUNNEL).at().day_from_key == [origin + 17, origin + 17]
+    assert funnel_snapshot(held.star(), 2026, 3).first().visit == 10
+    # without a time nothing is known, and everything is read
+    held.append(FUNNEL, stray.withColumn("event_ts", F.lit(None).cast("timestamp")))
+    assert held.timeline(FUNNEL).at().day_from_key is None
+    assert held.timeline(FUNNEL).day_span([7]) is None
+    assert funnel_snapshot(held.star(), 2026, 3).first().visit == 13
