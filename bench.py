@@ -25,7 +25,7 @@ HEADLINE = (
     "revenue_yoy", "funnel_yoy", "funnel_snapshot", "funnel_snapshot_week",
     "funnel_anomalies_weeks", "weekly_trend_lead", "running_total_multi", "top_product",
     "top_region_weeks", "period_compare_month", "daily_trend", "compare_as_of", "read_snapshot",
-    "cross_spec_read", "contract_check",
+    "stored_funnel_weekly", "stored_funnel_snapshot", "cross_spec_read", "contract_check",
 )
 RUNS = 3
 

@@ -626,6 +626,33 @@ def versions() -> dict[str, str]:
     }
 
 
+def stored() -> dict[str, str]:
+    """The funnel over the stored click stream, now and as known earlier."""
+    def weeks(events: str, orders: str) -> str:
+        return f"""{EVENTS},
+days AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM first),
+wk AS (
+  SELECT CAST(isoyear(date) AS INTEGER) AS iso_year, CAST(week(date) AS INTEGER) AS iso_week,
+         CAST(min(date_trunc('week', date)) AS DATE) AS week_start_date, count(*) AS days_observed,
+         count(*) = 7 AS is_complete_week
+  FROM days GROUP BY 1, 2),
+week_stages AS (
+  SELECT isoyear(ts) AS iso_year, week(ts) AS iso_week, count(*) FILTER (stage = 'visit') AS visits,
+         count(*) FILTER (stage = 'lead') AS leads, count(*) FILTER (stage = 'opportunity') AS opportunities
+  FROM e WHERE stage IS NOT NULL AND batch {events} GROUP BY 1, 2),
+week_orders AS (
+  SELECT isoyear(ts) AS iso_year, week(ts) AS iso_week, count(*) AS orders,
+         CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue
+  FROM e WHERE event_type = 'purchase' AND batch {orders} GROUP BY 1, 2)"""
+
+    now, then = weeks("< 5", "< 5"), weeks("< 3", "< 4")
+    return {
+        "stored_funnel_weekly": now + FUNNEL_WEEKLY,
+        "stored_funnel_weekly_as_of": then + FUNNEL_WEEKLY,
+        "stored_funnel_snapshot": f"{now},{SNAPSHOTS},{LAST_WEEK} SELECT z.* FROM ({SNAPSHOT_ROWS}) z JOIN last_week USING (iso_year, iso_week)",
+    }
+
+
 def smoke() -> dict[str, str]:
     parts = []
     for name in catalogue():
@@ -639,4 +666,4 @@ def smoke() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    return {**views(), **catalogue(), **smoke(), **metrics(), **checks(), **versions()}
+    return {**views(), **catalogue(), **smoke(), **metrics(), **checks(), **versions(), **stored()}

@@ -404,6 +404,12 @@ def all_queries() -> dict[str, Query]:
         lambda ledger: scan.pruning_report(ledger, FUNNEL, dt.date(2024, 1, 10)))
     named["layout_counts"] = on_ledger(lambda ledger: scan.layout_paths(ledger, FUNNEL))
 
+    named["stored_funnel_weekly"] = on_ledger(lambda ledger: vw_funnel_weekly(ledger.star()))
+    named["stored_funnel_weekly_as_of"] = on_ledger(
+        lambda ledger: vw_funnel_weekly(ledger.star("2024-02-02")))
+    named["stored_funnel_snapshot"] = on_ledger(
+        lambda ledger: funnel.funnel_snapshot(ledger.star()))
+
     named["iso_week_span"] = on_star(checks.iso_week_span)
     named["yoy_pair_check"] = on_star(checks.yoy_pair_check)
     named["rate_null_check"] = on_star(checks.rate_null_check)
