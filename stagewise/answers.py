@@ -24,7 +24,9 @@ ON_STAR: dict[str, Callable[..., DataFrame]] = {
     "funnel_anomalies": funnel.funnel_anomalies,
     "weekly_trend": trends.weekly_trend,
     "running_total": trends.running_total,
+    "running_total_latest": trends.running_total_latest,
     "daily_trend": trends.daily_trend_summary,
+    "daily_trend_points": trends.daily_trend,
     "top_dimension": rank.top_dimension,
     "period_compare": periods.period_compare,
 }

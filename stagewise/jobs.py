@@ -126,7 +126,7 @@ def _pairs(texts: list[str]) -> dict[str, object]:
     """``key=value`` arguments; numbers and lists ``a,b`` are recognised."""
     out: dict[str, object] = {}
     for key, value in (t.split("=", 1) for t in texts):
-        whole = value.lstrip("-").isdigit() and key not in ("current", "previous", "as_of")
+        whole = value.lstrip("-").isdigit() and key not in ("current", "previous", "as_of_date")
         out[key] = int(value) if whole else value.split(",") if "," in value else value
     return out
 

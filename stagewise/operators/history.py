@@ -17,7 +17,7 @@ from stagewise.sources.scan import scan_stats
 from stagewise.star import Star
 
 
-def compare_as_of(ledger: Ledger, as_of: str | dt.date | dt.datetime, stage: str = "lead",
+def compare_as_of(ledger: Ledger, as_of_date: str | dt.date | dt.datetime, stage: str = "lead",
                   now: dt.datetime | None = None) -> DataFrame:
     """Events of a stage in the snapshot live at a moment, and in the current one.
 
@@ -28,7 +28,7 @@ def compare_as_of(ledger: Ledger, as_of: str | dt.date | dt.datetime, stage: str
     stage = stage_name(stage)
     timeline = ledger.timeline(FUNNEL)
     try:
-        then = timeline.as_of(as_of)
+        then = timeline.as_of(as_of_date)
     except LedgerError as error:
         raise MetricError(str(error)) from error
     latest = timeline.at()
@@ -46,11 +46,11 @@ def compare_as_of(ledger: Ledger, as_of: str | dt.date | dt.datetime, stage: str
     else:
         before = counted(then.snapshot_id, None).select("then").scalar()
         counts = counted(latest.snapshot_id, None).withColumn("then", before)
-    cutoff, inclusive = parse_moment(as_of)
+    cutoff, inclusive = parse_moment(as_of_date)
     day = cutoff if inclusive else cutoff - dt.timedelta(microseconds=1)
     cited = {FUNNEL: latest.snapshot()}
     return counts.select(
-        F.lit(stage).alias("stage"), F.lit(str(as_of)).alias("as_of_requested"),
+        F.lit(stage).alias("stage"), F.lit(str(as_of_date)).alias("as_of_requested"),
         F.col("then").alias("historical_events"),
         F.lit(then.snapshot_id).alias("historical_snapshot_id"),
         F.lit(then.committed_at).alias("historical_committed_at"),

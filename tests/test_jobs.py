@@ -54,7 +54,7 @@ def test_questions(spark, flow):
     assert row["prior_year_week"] == "2025-W03" and row["prior_year_events"] > 0
     assert row["provenance"]["snapshot_id"] == "4"
     commits = flow[2].timeline(FUNNEL).commits
-    then = jobs.ask(spark, root, "compare_as_of", as_of=commits[-2].committed_at.isoformat(), stage="visit")[0]
+    then = jobs.ask(spark, root, "compare_as_of", as_of_date=commits[-2].committed_at.isoformat(), stage="visit")[0]
     assert then["events_added_since"] > 0
     assert jobs.ask(spark, root, "explain_scan", iso_year=2025, iso_week=2)[0]["files_scanned"] == 7
 
@@ -93,7 +93,7 @@ def test_unreadable_times_stop_a_load(spark, flow, tmp_path):
 
 
 def test_arguments():
-    assert jobs._pairs(["stage=lead", "iso_year=2026", "measures=visit,orders", "current=2026"]) == {
-        "stage": "lead", "iso_year": 2026, "measures": ["visit", "orders"], "current": "2026"}
+    assert jobs._pairs(["stage=lead", "iso_year=2026", "measure=visit,orders", "current=2026"]) == {
+        "stage": "lead", "iso_year": 2026, "measure": ["visit", "orders"], "current": "2026"}
     with pytest.raises(SystemExit):
         jobs.main(["load"])

@@ -248,15 +248,15 @@ def test_provenance_names_the_snapshots_behind_a_number(spark, tmp_path):
     held.append(FUNNEL, source.fact_funnel_event, at("2026-02-01T00:00:00"))
     held.append("fact_orders", source.fact_orders, at("2026-02-02T00:00:00"))
     star = held.star()
-    asked = {"funnel_yoy": {"stage": "visit"}, "compare_as_of": {"as_of": "2026-02-03", "stage": "visit"},
+    asked = {"funnel_yoy": {"stage": "visit"}, "compare_as_of": {"as_of_date": "2026-02-03", "stage": "visit"},
              "period_compare": {"measure": "visit", "grain": "week", "current": "2026-W03"},
-             "running_total": {"measures": ["visit", "orders"]}, "daily_trend": {"measure": "visit"},
+             "running_total": {"measure": ["visit", "orders"]}, "daily_trend": {"measure": "visit"}, "daily_trend_points": {"measure": "visit"},
              "weekly_trend": {"measure": "visit"}, "funnel_anomalies": {"threshold_pct": 1}}
     for metric in answers.METRICS:
         for row in answers.answer(metric, star, held, **asked.get(metric, {})):
             assert set(REQUIRED) <= set(row["provenance"])
             assert row["provenance"]["snapshot_id"]
-    row = answers.answer("running_total", star, measures=["visit", "orders"])[0]["provenance"]
+    row = answers.answer("running_total", star, measure=["visit", "orders"])[0]["provenance"]
     assert {(s["snapshot_id"], s["snapshot_committed_at"], tuple(s["measures"])) for s in row["snapshots"]} == {
         ("1", dt.datetime(2026, 2, 1), ("visit",)), ("1", dt.datetime(2026, 2, 2), ("orders",))}
     with pytest.raises(LedgerError):
