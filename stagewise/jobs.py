@@ -31,7 +31,7 @@ from stagewise.session import build_session
 from stagewise.sources import generate as g
 from stagewise.sources import scan
 from stagewise.sources.ledger import Ledger
-from stagewise.sources.raw import load_table, write_csv
+from stagewise.sources.raw import load_csv, load_table, parse_time, write_csv
 from stagewise.sources.serve import serve_files, serve_jdbc
 
 FUNNEL = "fact_funnel_event"
@@ -73,8 +73,11 @@ def load(spark: SparkSession, raw: str, root: str) -> Ledger:
     ledger = Ledger(spark, root)
     for table in DIMENSIONS:
         ledger.overwrite(table, load_table(spark, f"{raw}/{table}", table)[0])
-    for table in FACT_TIME:
-        ledger.load_by_month(table, _typed(spark, f"{raw}/{table}", table))
+    for table, ts in FACT_TIME.items():
+        # the load itself counts and refuses rows without a time, so the raw
+        # files are not read once more to look for them
+        rows = load_csv(spark, f"{raw}/{table}", table)
+        ledger.load_by_month(table, rows.withColumn(ts, parse_time(F.col(ts))))
     return ledger
 
 

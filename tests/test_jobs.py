@@ -90,6 +90,11 @@ def test_unreadable_times_stop_a_load(spark, flow, tmp_path):
     (raw / "a.csv").write_text("event_key,date_key,customer_key,channel_key,stage,event_ts\n1,0,0,0,visit,soon\n")
     with pytest.raises(LedgerError, match="1 rows"):
         jobs._typed(spark, str(raw), FUNNEL)
+    for name in ("dim_date", "dim_customer", "dim_channel", "dim_product"):
+        (tmp_path / name).symlink_to(f"{flow[0]}/{name}")
+    (tmp_path / FUNNEL).symlink_to(raw)
+    with pytest.raises(LedgerError, match="1 rows"):
+        jobs.load(spark, str(tmp_path), str(tmp_path / "tables"))
 
 
 def test_arguments():
