@@ -206,19 +206,25 @@ class Ledger:
         frame = self._records(table).filter(F.col("operation") != EVOLVE)
         return frame if table is None else frame.orderBy("committed_at", "snapshot_id")
 
-    def timeline(self, table: str) -> Timeline:
+    def _timelines(self, tables: Collection[str], records: DataFrame) -> dict[str, Timeline]:
         # epoch microseconds: a collected timestamp would be shifted to the
         # time zone of the driver
-        rows = (self._records(table)
-                .withColumn("committed_at", F.unix_micros("committed_at")).collect())
+        rows = records.withColumn("committed_at", F.unix_micros("committed_at")).collect()
         epoch = dt.datetime(1970, 1, 1, tzinfo=UTC)
         entries = [Commit(**{**r.asDict(),
                              "committed_at": epoch + dt.timedelta(microseconds=r.committed_at)})
                    for r in rows]
-        commits = sorted((c for c in entries if c.operation != EVOLVE),
-                         key=lambda c: (c.committed_at, c.snapshot_id))
-        return Timeline(table, tuple(commits),
-                        tuple(sorted({(c.spec, c.layout) for c in entries})))
+        out = {}
+        for table in tables:
+            own = [c for c in entries if c.table_name == table]
+            commits = sorted((c for c in own if c.operation != EVOLVE),
+                             key=lambda c: (c.committed_at, c.snapshot_id))
+            out[table] = Timeline(table, tuple(commits),
+                                  tuple(sorted({(c.spec, c.layout) for c in own})))
+        return out
+
+    def timeline(self, table: str) -> Timeline:
+        return self._timelines([table], self._records(table))[table]
 
     def evolve(self, table: str, layout: str) -> tuple[int, str]:
         """Later commits use ``layout``; files already written stay as they are."""
@@ -349,7 +355,7 @@ class Ledger:
 
     def star(self, moment: str | dt.date | dt.datetime | None = None) -> Star:
         """All six tables as of a moment, or now, with the snapshots they were read at."""
-        lines = {t: self.timeline(t) for t in TABLES}
+        lines = self._timelines(TABLES, self._records())
         at = {t: line.at() if moment is None else line.as_of(moment) for t, line in lines.items()}
         frames = {t: partial(self.read, t, c.snapshot_id, timeline=lines[t])
                   for t, c in at.items()}
