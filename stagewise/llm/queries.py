@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.llm.common import ship
 from stagewise.llm.minhash import near_duplicates
+from stagewise.llm.packing import pack
+from stagewise.llm.rans import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +18,31 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The tokenizer of the contracts; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_minmax_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+def op7_rans_files(spark: SparkSession, root: str) -> DataFrame:
+    return token_files(table(spark, root, "documents"), tokenizer_file(), end_id=2, with_ids=False).drop("ids")
+
+
+def op8_min_slack_packing(spark: SparkSession, root: str) -> DataFrame:
+    return pack(table(spark, root, "documents"), tokenizer_file(), end_id=1).drop("ids")
+
+
 SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Query] = {
     "op1_minmax_dedup": op1_minmax_dedup,
+    "op7_rans_files": op7_rans_files,
+    "op8_min_slack_packing": op8_min_slack_packing,
 }
 
 
