@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.llm.common import ship
+from stagewise.llm.language import identify
 from stagewise.llm.minhash import near_duplicates
 from stagewise.llm.packing import pack
+from stagewise.llm.quality import quality, quality_sql
 from stagewise.llm.rans import token_files
+from stagewise.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +32,14 @@ def op1_minmax_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+def op4_grammar_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return score_documents(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+def op5_host_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality(table(spark, root, "documents"))
+
+
 def op7_rans_files(spark: SparkSession, root: str) -> DataFrame:
     return token_files(table(spark, root, "documents"), tokenizer_file(), end_id=2, with_ids=False).drop("ids")
 
@@ -37,12 +48,21 @@ def op8_min_slack_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(table(spark, root, "documents"), tokenizer_file(), end_id=1).drop("ids")
 
 
-SQL: dict[str, str] = {}
+def op10_centroid_language(spark: SparkSession, root: str) -> DataFrame:
+    return identify(table(spark, root, "documents"))
+
+
+SQL: dict[str, str] = {
+    "op5_host_quality": quality_sql(),
+}
 
 QUERIES: dict[str, Query] = {
     "op1_minmax_dedup": op1_minmax_dedup,
+    "op4_grammar_toxicity": op4_grammar_toxicity,
+    "op5_host_quality": op5_host_quality,
     "op7_rans_files": op7_rans_files,
     "op8_min_slack_packing": op8_min_slack_packing,
+    "op10_centroid_language": op10_centroid_language,
 }
 
 
