@@ -12,6 +12,7 @@ from stagewise.llm.minhash import near_duplicates
 from stagewise.llm.packing import pack
 from stagewise.llm.quality import quality, quality_sql
 from stagewise.llm.rans import token_files
+from stagewise.llm.secrets import scan_secrets
 from stagewise.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,10 @@ def op5_host_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality(table(spark, root, "documents"))
 
 
+def op6_crf_secrets(spark: SparkSession, root: str) -> DataFrame:
+    return scan_secrets(table(spark, root, "documents"))
+
+
 def op7_rans_files(spark: SparkSession, root: str) -> DataFrame:
     return token_files(table(spark, root, "documents"), tokenizer_file(), end_id=2, with_ids=False).drop("ids")
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op4_grammar_toxicity": op4_grammar_toxicity,
     "op5_host_quality": op5_host_quality,
+    "op6_crf_secrets": op6_crf_secrets,
     "op7_rans_files": op7_rans_files,
     "op8_min_slack_packing": op8_min_slack_packing,
     "op10_centroid_language": op10_centroid_language,
