@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.llm.common import ship
+from stagewise.llm.decontam import decontaminate
+from stagewise.llm.html import extract
 from stagewise.llm.language import identify
 from stagewise.llm.minhash import near_duplicates
 from stagewise.llm.packing import pack
@@ -14,6 +16,7 @@ from stagewise.llm.quality import quality, quality_sql
 from stagewise.llm.rans import token_files
 from stagewise.llm.secrets import scan_secrets
 from stagewise.llm.toxicity import score_documents
+from stagewise.llm.urls import URLS_SQL, captures_of, filter_urls, journal_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +36,15 @@ def op1_minmax_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+def op2_dated_url_lists(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages")
+    return filter_urls(captures_of(pages), journal_of(pages))
+
+
+def op3_wrapper_extraction(spark: SparkSession, root: str) -> DataFrame:
+    return extract(table(spark, root, "pages"))
+
+
 def op4_grammar_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return score_documents(table(spark, root, "documents"), table(spark, root, "labels"))
 
@@ -53,21 +65,29 @@ def op8_min_slack_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(table(spark, root, "documents"), tokenizer_file(), end_id=1).drop("ids")
 
 
+def op9_string_tiling(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def op10_centroid_language(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents"))
 
 
 SQL: dict[str, str] = {
+    "op2_dated_url_lists": URLS_SQL,
     "op5_host_quality": quality_sql(),
 }
 
 QUERIES: dict[str, Query] = {
     "op1_minmax_dedup": op1_minmax_dedup,
+    "op2_dated_url_lists": op2_dated_url_lists,
+    "op3_wrapper_extraction": op3_wrapper_extraction,
     "op4_grammar_toxicity": op4_grammar_toxicity,
     "op5_host_quality": op5_host_quality,
     "op6_crf_secrets": op6_crf_secrets,
     "op7_rans_files": op7_rans_files,
     "op8_min_slack_packing": op8_min_slack_packing,
+    "op9_string_tiling": op9_string_tiling,
     "op10_centroid_language": op10_centroid_language,
 }
 
