@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not pos or pos == n:
         return Model({}, np.zeros(len(CLASSES) + 4), False)
     odds = (F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - pos + 1.0)))
-    least = max(2, min(MIN_DOCS, pos // 20))
+    least = max(MIN_DOCS, pos // 200)
     strong = (terms.filter(F.col("pos") >= least).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
               .orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(MAX_LEXICON).select("term", "odds"))
     lexicon = {r.term: float(r.odds) for r in strong.collect()}
