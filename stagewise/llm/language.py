@@ -48,13 +48,14 @@ def _letters() -> np.ndarray:
 
 def counts(texts: list[str]) -> np.ndarray:
     """Per text the counts of its hashed n-grams, as a dense table."""
-    joined = " ".join(t.lower() for t in texts) + " "
+    lower = [t.lower() for t in texts]
+    joined = "".join(f" {t} " for t in lower)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
+    lengths = np.fromiter((len(t) + 2 for t in lower), np.int64, len(lower))
     points = np.where(_letters()[np.minimum(points, 0x2FFFF)], points, 32)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64) * DIMENSIONS, lengths)
-    # runs of other characters are one blank; the blank before a text's first letter is the one that ends the last text
-    keep = np.flatnonzero((points[1:] != 32) | (points[:-1] != 32)) + 1
+    # runs of other characters in a text are one blank
+    keep = np.flatnonzero(np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32) | (doc[1:] != doc[:-1])]))
     points, doc = points[keep].astype(U64), doc[keep]
     out = np.zeros(len(texts) * DIMENSIONS, np.float32)
     shift = U64(64 - 12)
