@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 
 from stagewise.errors import MetricError
 from stagewise.operators import funnel, history, periods, rank, trends
-from stagewise.operators.arguments import MAX_ROWS
 from stagewise.operators.provenance import require_provenance
 from stagewise.sources.ledger import Ledger
 from stagewise.star import Star
@@ -36,7 +35,7 @@ ON_LEDGER: dict[str, Callable[..., DataFrame]] = {
 }
 # an empty list is itself the answer of these
 MAY_BE_EMPTY = ("funnel_anomalies", "weekly_trend")
-METRICS = (*ON_STAR, *ON_LEDGER, "explain_scan")
+METRICS = (*ON_STAR, *ON_LEDGER)
 
 
 def frame(metric: str, star: Star, ledger: Ledger | None = None, **arguments) -> DataFrame:
@@ -47,26 +46,24 @@ def frame(metric: str, star: Star, ledger: Ledger | None = None, **arguments) ->
         raise MetricError(f"unknown metric {metric!r}; use one of {', '.join(METRICS)}")
     if ledger is None:
         raise MetricError(f"{metric} needs versioned tables")
-    if metric == "explain_scan":
-        return require_provenance(history.explain_scan(ledger, star, **arguments))
     return require_provenance(ON_LEDGER[metric](ledger, **arguments))
 
 
 def answer(metric: str, star: Star, ledger: Ledger | None = None, **arguments) -> list[dict]:
     """The rows of a metric.
 
-    Answers are bounded by their arguments: at most 500 rows, or 500 per measure
-    of a running total; the audit trail has one row per commit.
+    Answers are bounded by the calendar and their arguments; the audit trail has one
+    row per commit.
     """
     rows = [r.asDict(recursive=True) for r in frame(metric, star, ledger, **arguments).collect()]
     if rows or metric in MAY_BE_EMPTY:
         return rows
     if metric == "period_compare":
-        raise MetricError(periods.unknown_period(
+        raise MetricError(periods.why_not_compared(
             star, arguments.get("measure", "revenue"), arguments.get("grain", "month"),
-            arguments.get("current") or "the newest period"))
+            arguments.get("current"), arguments.get("previous")))
     asked = ", ".join(f"{k}={v}" for k, v in arguments.items()) or "its defaults"
     raise MetricError(f"no data for {metric} with {asked}")
 
 
-__all__ = ["MAX_ROWS", "METRICS", "answer", "frame"]
+__all__ = ["METRICS", "answer", "frame"]

@@ -36,7 +36,7 @@ fact_orders AS (
          CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18,4)) AS revenue,
          CAST(l_quantity AS INTEGER) AS quantity, o_orderdate AS order_ts
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey CROSS JOIN span
-  WHERE o_orderstatus = 'F' AND l_linenumber = 1),
+  WHERE o_orderstatus = 'F'),
 dim_customer AS (
   SELECT c_custkey AS customer_key, c_name AS customer_id, c_name AS name, c_mktsegment AS segment,
          r_name AS region, CAST(NULL AS DATE) AS signup_date
@@ -228,9 +228,9 @@ fallen AS (
   FROM figures c JOIN figures p ON p.kind = c.kind AND p.name = c.name AND p.week_start_date + 7 = c.week_start_date),
 told AS (
   SELECT current_week, previous_week, kind, name, label, current, previous, change_pct,
-         printf('%s has declined by %d%%, from ', label, CAST(round(abs(change_pct)) AS BIGINT)) ||
-         CASE kind WHEN 'stage_volume' THEN printf('%,d to %,d', CAST(previous AS BIGINT), CAST(current AS BIGINT))
-              ELSE printf('%.1f%% to %.1f%%', {rounded('previous', 1)}, {rounded('current', 1)}) END AS message,
+         printf('%s: down %d%% ', label, CAST(round(abs(change_pct)) AS BIGINT)) ||
+         CASE kind WHEN 'stage_volume' THEN printf('(%,d before, %,d now)', CAST(previous AS BIGINT), CAST(current AS BIGINT))
+              ELSE printf('(%.1f%% before, %.1f%% now)', {rounded('previous', 1)}, {rounded('current', 1)}) END AS message,
          iso_year, iso_week
   FROM fallen WHERE change_pct <= -20)"""
 
@@ -298,9 +298,10 @@ def running_ctes(measures: tuple[str, ...], period: str, year: int | None) -> st
               FROM m {where})"""
 
 
-def running_total(measures: tuple[str, ...], period: str, year: int | None = None) -> str:
-    return star_with(running_ctes(measures, period, year), """
-        SELECT measure, period, date, value, running_total, newest = 1 AS is_latest FROM r WHERE newest <= 500""")
+def running_total(measures: tuple[str, ...], period: str, year: int | None = None, days: int | None = None) -> str:
+    newest = f"WHERE newest <= {days}" if days else ""
+    return star_with(running_ctes(measures, period, year), f"""
+        SELECT measure, period, date, value, running_total, newest = 1 AS is_latest FROM r {newest}""")
 
 
 DIMENSIONS = {"channel": ("dim_channel", "channel_key", "channel_name"),
@@ -351,9 +352,9 @@ def compared(measure: str, grain: str, pairs: str, strict: bool = False) -> str:
                {change('x.value', 'y.value')} AS pct_change,
                {direction(change('x.value', 'y.value'))} AS direction,
                CASE WHEN NOT x.complete OR NOT y.complete THEN
-                      concat_ws(', ', CASE WHEN NOT x.complete THEN x.period END, CASE WHEN NOT y.complete THEN y.period END)
-                      || ' is not fully covered by the loaded data, so its total is unknown rather than zero and the comparison is not like for like'
-                    WHEN coalesce(y.value, 0) = 0 THEN y.period || ' recorded none of this measure, so a percentage change against it is undefined rather than zero'
+                      'incomplete in the data: ' || concat_ws(', ', CASE WHEN NOT x.complete THEN x.period END, CASE WHEN NOT y.complete THEN y.period END)
+                      || '; totals of such periods are partial and their change means little'
+                    WHEN coalesce(y.value, 0) = 0 THEN 'no change can be given: ' || y.period || ' has nothing of this measure'
                END AS note
         FROM pairs JOIN p x ON x.period = pairs.c JOIN p y ON y.period = pairs.b""")
 
@@ -442,9 +443,23 @@ def metrics() -> dict[str, str]:
             SELECT 'revenue' AS measure, 30 AS days_requested, n AS days_returned, a AS first_date, b AS last_date,
                    {rounded('total', 2)} AS total, {rounded('total / n', 2)} AS average_per_day,
                    x AS first_value, y AS last_value, {change('y', 'x')} AS change_pct,
-                   CASE WHEN n < 30 THEN printf('the data ends on %s, so this covers the %d newest days held rather than %d days', CAST(b AS VARCHAR), n, 30) END AS note
+                   CASE WHEN n < 30 THEN printf('up to %s there are %d days with data; %d were asked for', CAST(b AS VARCHAR), n, 30) END AS note
             FROM u"""),
     }
+    out["order_line_totals"] = """
+        SELECT count(*) AS lines, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+               CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS units, count(DISTINCT l_partkey) AS products
+        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
+    asked = ("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS c, strftime(o_orderdate - INTERVAL 1 YEAR, '%Y-%m') AS b FROM orders")
+    out["period_compare_requests"] = f"""
+        WITH a AS ({asked}), f AS ({compared("revenue", "month", asked)}),
+        known AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders)
+        SELECT c AS request, 'revenue' AS measure, 'month' AS grain, c AS current, b AS previous, current_start, current_end,
+               current_value, current_complete, previous_start, previous_end, previous_value, previous_complete, delta, pct_change,
+               direction, CASE WHEN b NOT IN (SELECT m FROM known) THEN 'unknown previous month: ' || b ELSE note END AS note
+        FROM a LEFT JOIN f ON f.current = a.c AND f.previous = a.b"""
+    for d in (30, 400):
+        out[f"running_total_newest_{d}"] = running_total(FIVE, "mtd", days=d)
     for m in FIVE:
         out[f"weekly_trend_{m}"] = weekly_trend(m, 12)
     for p in RESETS:
@@ -530,50 +545,11 @@ def as_of(cutoff: str, requested: str, stage: str) -> str:
                TIMESTAMP '2024-02-04 06:00:00' AS current_committed_at, now - past AS events_added_since FROM n, t"""
 
 
-# At this size a partition directory holds one file: the first four batches are
-# laid out by day, the last by month.
-FILES = f"""{EVENTS},
-files AS (
-  SELECT DISTINCT batch, CASE WHEN batch < 4 THEN 'day' ELSE 'month' END AS layout,
-         CAST(CASE WHEN batch < 4 THEN date_trunc('day', ts) ELSE date_trunc('month', ts) END AS DATE) AS part
-  FROM e WHERE stage IS NOT NULL),
-asked(name, a, b) AS (VALUES <ranges>),
-counted AS (
-  SELECT name, (SELECT count(*) FROM files) AS total, count(part) AS scanned
-  FROM asked LEFT JOIN files
-    ON CASE layout WHEN 'day' THEN part + INTERVAL 1 DAY ELSE part + INTERVAL 1 MONTH END > a AND part < b
-  GROUP BY ALL),
-stats AS (
-  SELECT name AS predicate, total AS files_total, scanned AS files_scanned, total - scanned AS files_skipped,
-         {rounded('100e0 * (total - scanned) / total', 1)} AS files_skipped_pct FROM counted)"""
-
-
-def scans(spans: str) -> dict[str, str]:
-    def files(*ranges: tuple[str, str, str]) -> str:
-        return FILES.replace("<ranges>", ", ".join(
-            f"('{name}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for name, a, b in ranges))
-
-    whole = ("none", "2000-01-01", "2100-01-01")
-    return {
-        "scan_stats": f"{FILES.replace('<ranges>', spans)} SELECT * FROM stats",
-        "pruning_report": files(whole, ("month", "2024-01-01", "2024-02-01"), ("week", "2024-01-08", "2024-01-15"))
-        + " SELECT * FROM stats",
-        "layout_counts": files(whole) + """
-            SELECT 'event_ts_' || layout AS layout_column, count(*) AS files FROM files GROUP BY ALL""",
-        "explain_scan": files(("2024-W04", "2024-01-22", "2024-01-29")) + """
-            SELECT predicate AS week, 'event_ts >= ''2024-01-22T00:00:00+00:00'' AND event_ts < ''2024-01-29T00:00:00+00:00''' AS row_filter,
-                   files_total, files_scanned, files_skipped, files_skipped_pct,
-                   printf('one week of the table opens %d of %d files; %d (%.1f%%) were skipped by their partition and never opened',
-                          files_scanned, files_total, files_skipped, files_skipped_pct) AS explanation FROM stats""",
-    }
-
-
 def versions() -> dict[str, str]:
     ranges = {"one week": ("2024-01-08", "2024-01-15"), "inside days": ("2024-01-15 12:00:00", "2024-01-20 06:00:00"),
               "everything": ("2024-01-01", "2024-02-01"), "nothing": ("2023-05-01", "2023-06-01")}
     spans = ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in ranges.items())
     return {
-        **scans(spans),
         "csv_roundtrip": f"{EVENTS} {EVENT_ROWS}",
         "evolved_read": f"{EVENTS} {EVENT_ROWS}",
         "read_snapshot": f"{EVENTS} {EVENT_ROWS} AND batch < 3",
@@ -598,7 +574,9 @@ def versions() -> dict[str, str]:
             SELECT 'fact_funnel_event' AS table_name, event_id % 5 AS channel_key, count(*) AS added FROM e WHERE batch = 4 AND stage IS NOT NULL GROUP BY ALL
             UNION ALL SELECT 'fact_orders', event_id % 5, count(*) FROM e WHERE batch = 4 AND event_type = 'purchase' GROUP BY ALL""",
         "append_stream": f"""{EVENTS}
-            SELECT CAST(ts AS DATE) AS day, stage, count(*) AS events FROM e WHERE stage IS NOT NULL GROUP BY ALL""",
+            SELECT CASE WHEN event_id % 50 = 7 THEN 'rejected' ELSE 'stored' END AS status,
+                   CASE WHEN event_id % 50 <> 7 THEN CAST(ts AS DATE) END AS day, stage, count(*) AS events
+            FROM e WHERE stage IS NOT NULL GROUP BY ALL""",
         "serve_roundtrip": star(FUNNEL_WEEKLY),
         "current_snapshot": f"""{EVENTS}
             SELECT 'fact_funnel_event' AS table_name, 5 AS snapshot_id, TIMESTAMP '2024-02-04 06:00:00' AS committed_at,
@@ -619,10 +597,8 @@ def versions() -> dict[str, str]:
                    CAST(sum(added_records) OVER (ORDER BY snapshot_id) AS BIGINT) AS total_records, snapshot_id = 5 AS is_current FROM log""",
         "compare_as_of": as_of("2024-02-01 23:59:59.999999", "2024-02-01", "lead"),
         "compare_as_of_moment": as_of("2024-02-01 06:00:00", "2024-02-01T06:00:00Z", "visit"),
-        "immutability_report": f"{EVENTS} SELECT snapshot_id, operation, 0 AS deleted_files, true AS files_untouched FROM log",
         "cross_spec_read": f"""{EVENTS}, spans(name, a, b) AS (VALUES {spans})
             SELECT name AS time_range, stage, count(*) AS events FROM e JOIN spans ON ts >= a AND ts < b WHERE stage IS NOT NULL GROUP BY ALL""",
-        "suggested_moment": f"{EVENTS} SELECT snapshot_id, committed_at AS moment FROM log ORDER BY committed_at DESC LIMIT 1 OFFSET 1",
     }
 
 

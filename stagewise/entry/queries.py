@@ -13,16 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.entry.published import fresh_folder, published
-from stagewise.functions.calendar import (GRAINS, calendar, extend_calendar, normalise_period,
-                                          period_label)
+from stagewise.functions.calendar import GRAINS, extend_calendar, normalise_period, period_label
 from stagewise.functions.ratios import change, direction, share
 from stagewise.operators import checks, funnel, history, periods, rank, trends, weeks
 from stagewise.plans.catalogue import catalogue, run_catalogue
 from stagewise.plans.daily import weekly_stages
 from stagewise.plans.views import VIEWS, publish_views, vw_funnel_weekly
-from stagewise.schemas import DIMENSIONS, FACT_TIME
+from stagewise.schemas import DIMENSIONS, FACT_TIME, MONEY
 from stagewise.session import use_utc
-from stagewise.sources import generate, scan
 from stagewise.sources.bindings import event_star, orders_star, read_source
 from stagewise.sources.ledger import Ledger
 from stagewise.sources.raw import load_table, normalise_times, write_csv
@@ -35,17 +33,10 @@ FUNNEL, ORDERS = "fact_funnel_event", "fact_orders"
 UTC = dt.timezone.utc
 
 
-_stars: dict[tuple[str, str], Star] = {}
-
-
 def the_star(spark: SparkSession, root: str) -> Star:
-    """The orders star of this session and folder: lazy frames and the span of its
-    calendar, no data."""
-    key = (spark.sparkContext.applicationId, root)
-    if key not in _stars:
-        _stars[key] = orders_star(spark, root)
+    """The orders star of a folder as it is now: lazy frames, nothing kept."""
     use_utc(spark)
-    return _stars[key]
+    return orders_star(spark, root)
 
 
 def on_star(build: Callable[[Star], DataFrame]) -> Query:
@@ -126,8 +117,25 @@ _PLAIN_EVENT = ("event_key", "date_key", "customer_key", "channel_key", "stage")
 def csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     path = fresh_folder(spark, "raw")
     write_csv(event_star(spark, root).fact_funnel_event, path, FUNNEL)
-    good, _ = load_table(spark, path, FUNNEL)
-    return good.select(*_PLAIN_EVENT, moment("event_ts").alias("event_ts"))
+    good, bad = load_table(spark, path, FUNNEL)
+    return good.unionByName(bad.withColumn("event_ts", F.lit(None).cast("timestamp"))).select(
+        *_PLAIN_EVENT, moment("event_ts").alias("event_ts"))
+
+
+def order_line_totals(star: Star) -> DataFrame:
+    """All that the order fact holds, against the lines it is made of."""
+    return star.fact_orders.agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("revenue").cast(MONEY)).cast("double").alias("revenue"),
+        F.sum("quantity").alias("units"), F.count_distinct("product_key").alias("products"))
+
+
+def compare_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Each order month against the month a year before, which the first year does not have."""
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    asked = read_source(spark, root, "orders").select(month.alias("m")).distinct().select(
+        F.date_format("m", "yyyy-MM").alias("request"), F.concat_ws("-", F.year("m"), F.month("m")).alias("current"),
+        F.date_format(F.add_months("m", -12), "yyyy-MM").alias("previous"))
+    return periods.compare_requests(the_star(spark, root), asked, "revenue", "month").drop("provenance")
 
 
 def ts_normalise(spark: SparkSession, root: str) -> DataFrame:
@@ -187,16 +195,18 @@ def append_batch(ledger: Ledger) -> DataFrame:
 
 
 def append_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Raw files appended by a stream that is started twice; rows per commit of each file set."""
+    """Raw files appended by a stream that is started twice: rows stored, and rows without a readable time."""
     source = event_star(spark, root).fact_funnel_event
     base = fresh_folder(spark, "stream")
-    write_csv(source.repartitionByRange(4, "event_ts"), f"{base}/raw", FUNNEL)
+    unread = source.withColumn("event_ts", F.when(F.col("event_key") % 50 != 7, F.col("event_ts")))
+    write_csv(unread.repartitionByRange(4, "event_key"), f"{base}/raw", FUNNEL)
     ledger = Ledger(spark, f"{base}/tables")
     for _ in range(2):
-        append_files(ledger, FUNNEL, f"{base}/raw", f"{base}/checkpoint", "raw",
+        append_files(ledger, FUNNEL, f"{base}/raw", f"{base}/checkpoint", "raw", f"{base}/rejects",
                      max_files=2).awaitTermination()
-    return (ledger.read(FUNNEL).groupBy(F.to_date("event_ts").alias("day"), "stage")
-            .agg(F.count(F.lit(1)).alias("events")))
+    stored = ledger.read(FUNNEL).select(F.lit("stored").alias("status"), F.to_date("event_ts").alias("day"), "stage")
+    refused = spark.read.parquet(f"{base}/rejects").select(F.lit("rejected").alias("status"), F.lit(None).cast("date").alias("day"), "stage")
+    return stored.unionByName(refused).groupBy("status", "day", "stage").agg(F.count(F.lit(1)).alias("events"))
 
 
 def serve_roundtrip(spark: SparkSession, root: str) -> DataFrame:
@@ -245,11 +255,6 @@ def compare_as_of(as_of: str, stage: str) -> Query:
                      .withColumn("current_committed_at", moment("current_committed_at")))
 
 
-def immutability(ledger: Ledger) -> DataFrame:
-    return history.immutability_report(ledger).select(
-        "snapshot_id", "operation", "deleted_files", "files_untouched")
-
-
 RANGES = {
     "one week": (dt.datetime(2024, 1, 8, tzinfo=UTC), dt.datetime(2024, 1, 15, tzinfo=UTC)),
     "inside days": (dt.datetime(2024, 1, 15, 12, tzinfo=UTC), dt.datetime(2024, 1, 20, 6, tzinfo=UTC)),
@@ -266,62 +271,6 @@ def cross_spec_read(ledger: Ledger) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def suggested(ledger: Ledger) -> DataFrame:
-    return history.suggested_moment(ledger).select("snapshot_id", moment("moment").alias("moment"))
-
-
-# --- generated data -----------------------------------------------------------------
-
-def _generated_customers(spark: SparkSession, root: str) -> DataFrame:
-    return generate.customers(read_source(spark, root, "customer")
-                              .select(F.col("c_custkey").alias("id")))
-
-
-def gen_dims(spark: SparkSession, root: str) -> DataFrame:
-    return _generated_customers(spark, root)
-
-
-def _base_days(star: Star) -> DataFrame:
-    """Calendar days with the visits really seen on them as the base volume."""
-    seen = (star.fact_funnel_event.filter(F.col("stage") == "visit")
-            .groupBy("date_key").agg(F.count(F.lit(1)).alias("seen")))
-    days = star.dim_date.join(seen, "date_key", "left")
-    return generate.base_volume(days, F.coalesce("seen", F.lit(0)))
-
-
-def _customer_count(spark: SparkSession, root: str) -> Column:
-    customers = read_source(spark, root, "customer")
-    return customers.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-
-def _per_day(events: DataFrame, orders: DataFrame) -> DataFrame:
-    stages = events.groupBy("date_key", "channel_key").agg(
-        *[F.count_if(F.col("stage") == s).alias(s) for s in ("visit", "lead", "opportunity")])
-    sales = orders.groupBy("date_key", "channel_key").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue"))
-    return stages.join(sales, ["date_key", "channel_key"], "left")
-
-
-def gen_funnel(spark: SparkSession, root: str) -> DataFrame:
-    days = _base_days(the_star(spark, root))
-    return _per_day(*generate.simulate(days, _customer_count(spark, root), generate.BASE_RATES,
-                                       generate.BASE_CHANNELS))
-
-
-def gen_batch(spark: SparkSession, root: str) -> DataFrame:
-    """The year after the star's calendar, at a level scaled to its visits per day."""
-    star = the_star(spark, root)
-    last = star.dim_date.agg(F.max("date")).first()[0]
-    span = (last + dt.timedelta(days=1), last + dt.timedelta(days=365))
-    extended = extend_calendar(star.dim_date, calendar(spark, *span))
-    seen = star.fact_funnel_event.filter(F.col("stage") == "visit").agg(
-        (F.count(F.lit(1)) / F.nullif(F.count_distinct("date_key"), F.lit(0))
-         / generate.BASE_VISITS).alias("scale")).scalar()
-    days = generate.batch_volume(extended.filter(F.col("date") >= F.lit(span[0])), seen)
-    return _per_day(*generate.simulate(days, _customer_count(spark, root), generate.BATCH_RATES,
-                                       generate.BATCH_CHANNELS, generate.BATCH_KEYS))
-
-
 # --- the registry -------------------------------------------------------------------
 
 FIVE = ("visit", "lead", "opportunity", "orders", "revenue")
@@ -379,6 +328,11 @@ def all_queries() -> dict[str, Query]:
     named["daily_trend_dense"] = on_star(lambda s: trends.daily_trend(s, "orders", 30, dense=True))
     named["daily_trend_summary"] = on_star(lambda s: trends.daily_trend_summary(s, "revenue", 30))
 
+    named["period_compare_requests"] = compare_requests
+    named["order_line_totals"] = on_star(order_line_totals)
+    for d in (30, 400):
+        named[f"running_total_newest_{d}"] = on_star(lambda s, d=d: trends.running_total(s, FIVE, "mtd", days=d))
+
     named["csv_roundtrip"] = csv_roundtrip
     named["ts_normalise"] = ts_normalise
     named["dim_load"] = on_ledger(dim_load)
@@ -395,14 +349,7 @@ def all_queries() -> dict[str, Query]:
     named["snapshot_history"] = on_ledger(snapshot_history)
     named["compare_as_of"] = compare_as_of("2024-02-01", "lead")
     named["compare_as_of_moment"] = compare_as_of("2024-02-01T06:00:00Z", "visit")
-    named["immutability_report"] = on_ledger(immutability)
     named["cross_spec_read"] = on_ledger(cross_spec_read)
-    named["suggested_moment"] = on_ledger(suggested)
-    named["explain_scan"] = on_ledger(lambda ledger: history.explain_scan(ledger, ledger.star()))
-    named["scan_stats"] = on_ledger(lambda ledger: scan.scan_stats(ledger, FUNNEL, RANGES))
-    named["pruning_report"] = on_ledger(
-        lambda ledger: scan.pruning_report(ledger, FUNNEL, dt.date(2024, 1, 10)))
-    named["layout_counts"] = on_ledger(lambda ledger: scan.layout_paths(ledger, FUNNEL))
 
     named["stored_funnel_weekly"] = on_ledger(lambda ledger: vw_funnel_weekly(ledger.star()))
     named["stored_funnel_weekly_as_of"] = on_ledger(
@@ -415,8 +362,4 @@ def all_queries() -> dict[str, Query]:
     named["rate_null_check"] = on_star(checks.rate_null_check)
     named["contract_check"] = on_star(checks.contract_check)
 
-    named["gen_dims"] = gen_dims
-    named["gen_daily_volume"] = on_star(_base_days)
-    named["gen_funnel"] = gen_funnel
-    named["gen_batch"] = gen_batch
     return named

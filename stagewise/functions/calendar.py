@@ -40,6 +40,14 @@ def calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     return days.select("id", day.alias("day")).select(*date_row(F.col("id"), F.col("day")))
 
 
+def calendar_of(times: DataFrame) -> DataFrame:
+    """One row per day between the first and the last moment of a one-column frame."""
+    moment = F.col(times.columns[0])
+    span = times.agg(F.to_date(F.min(moment)).alias("lo"), F.to_date(F.max(moment)).alias("hi"))
+    days = span.filter("lo IS NOT NULL").select(F.posexplode(F.sequence("lo", "hi")).alias("id", "day"))
+    return days.select(*date_row(F.col("id"), F.col("day")))
+
+
 def extend_calendar(existing: DataFrame, days: DataFrame) -> DataFrame:
     """Add the dates of ``days`` that are missing.
 
@@ -81,27 +89,27 @@ def period_length(grain: str, start: Column) -> Column:
     return F.datediff(F.add_months(first, step), first)
 
 
-# How a period may be written, per grain: pattern, group holding the year, group
-# holding the part, and the canonical form.
-_SPELLINGS = {
-    "week": (("^([0-9]{4})-?W([0-9]{1,2})$", 1, 2, "%d-W%02d"),),
-    "month": (("^([0-9]{4})-([0-9]{1,2})$", 1, 2, "%d-%02d"),),
-    "quarter": (("^([0-9]{4})-?Q([0-9])$", 1, 2, "%d-Q%d"),
-                ("^Q([0-9])-([0-9]{4})$", 2, 1, "%d-Q%d")),
-    "year": (("^([0-9]{4})$", 1, None, "%d"),),
-}
+# The letter that names a grain's part, the canonical form, and the largest number of digits of the part.
+_PARTS = {"week": ("W", "%s-W%02d", 2), "month": ("", "%s-%02d", 2), "quarter": ("Q", "%s-Q%d", 1)}
 
 
 def normalise_period(text: Column, grain: str) -> Column:
     """``2026-3``, ``q1 2026``, ``2026-w5`` as the period label they mean.
 
-    Text in no known form comes back folded to upper case, so that it can be
-    reported as an unknown period.
+    The text is taken apart into numbers and one letter, and these are checked against what
+    the grain is made of.  A quarter may come before its year.  Text in no known form comes
+    back in upper case, words joined by hyphens, so that it can be named as unknown.
     """
-    folded = F.replace(F.upper(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(" "), F.lit("-"))
-    out = folded
-    for pattern, year, part, form in reversed(_SPELLINGS.get(grain, ())):
-        numbers = [F.regexp_extract(folded, pattern, g).try_cast("int")
-                   for g in (year, part) if g is not None]
-        out = F.when(folded.rlike(pattern), F.format_string(form, *numbers)).otherwise(out)
-    return out
+    shown = F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, r"\s", " "))), " ", "-")
+    numbers = F.regexp_extract_all(shown, F.lit("[0-9]+"), 0)
+    rest = F.regexp_replace(shown, "[0-9]+", "#")  # what stands between and around the numbers
+    if grain == "year":
+        return F.when((rest == "#") & (F.length(F.get(numbers, F.lit(0))) == 4), F.get(numbers, F.lit(0))).otherwise(shown)
+    if grain not in _PARTS:
+        return shown
+    letter, form, digits = _PARTS[grain]
+    after = rest.isin(*{f"#-{letter}#", f"#{letter}#"} - {"##"})
+    before = rest == f"{letter}#-#" if grain == "quarter" else F.lit(False)
+    year, part = F.when(before, F.get(numbers, F.lit(1))).otherwise(F.get(numbers, F.lit(0))), F.when(before, F.get(numbers, F.lit(0))).otherwise(F.get(numbers, F.lit(1)))
+    fits = (after | before) & (F.length(year) == 4) & F.length(part).between(1, digits)
+    return F.when(fits, F.format_string(form, year, part.try_cast("int"))).otherwise(shown)

@@ -8,8 +8,6 @@ from stagewise.errors import MetricError
 from stagewise.functions.calendar import GRAINS
 from stagewise.schemas import STAGES
 
-MAX_ROWS = 500
-MAX_RANKED = 50
 MEASURES = (*STAGES, "orders", "revenue", "avg_deal_size")
 
 
@@ -31,8 +29,11 @@ def grain_name(value: str | None) -> str:
     return _one_of("grain", (value or "month").strip().lower(), GRAINS)
 
 
-def clamp(value: int, high: int = MAX_ROWS) -> int:
-    return max(1, min(int(value), high))
+def how_many(kind: str, value: int) -> int:
+    """A number of rows asked for: as many as there are may be asked for, but not none."""
+    if int(value) < 1:
+        raise MetricError(f"{kind} must be 1 or more, got {value}")
+    return int(value)
 
 
 def week_number(value: int) -> int:

@@ -145,9 +145,9 @@ def _figures(counts: DataFrame) -> DataFrame:
 
 def _message() -> Column:
     drop = half_up(F.abs("change_pct"), 0).cast("bigint")
-    volume = F.format_string("%s has declined by %d%%, from %,d to %,d", F.col("label"), drop,
+    volume = F.format_string("%s: down %d%% (%,d before, %,d now)", F.col("label"), drop,
                              F.col("previous").cast("bigint"), F.col("current").cast("bigint"))
-    rate = F.format_string("%s has declined by %d%%, from %.1f%% to %.1f%%", F.col("label"), drop,
+    rate = F.format_string("%s: down %d%% (%.1f%% before, %.1f%% now)", F.col("label"), drop,
                            half_up(F.col("previous"), 1), half_up(F.col("current"), 1))
     return F.when(F.col("kind") == "conversion_rate", rate).otherwise(volume)
 

@@ -1,20 +1,17 @@
-"""What was known when: time travel, the audit trail and scan evidence."""
+"""What was known when: time travel and the audit trail."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.errors import LedgerError, MetricError
 from stagewise.operators.arguments import stage_name
 from stagewise.operators.measures import FUNNEL
 from stagewise.operators.provenance import provenance
-from stagewise.operators.weeks import resolve_week
 from stagewise.sources.ledger import Ledger, parse_moment
-from stagewise.sources.scan import scan_stats
-from stagewise.star import Star
 
 
 def compare_as_of(ledger: Ledger, as_of_date: str | dt.date | dt.datetime, stage: str = "lead",
@@ -79,59 +76,3 @@ def snapshot_history(ledger: Ledger, table: str = FUNNEL,
         provenance(cited, [table], [], "every commit of the table, oldest to newest",
                    F.lit(history[0].committed_at.date()),
                    F.lit(history[-1].committed_at.date()), now=now))
-
-
-def explain_scan(ledger: Ledger, star: Star, iso_year: int | None = None,
-                 iso_week: int | None = None, now: dt.datetime | None = None) -> DataFrame:
-    """How many files a read of one week opens and how many it skips."""
-    week = resolve_week(star, iso_year, iso_week)
-    start = dt.datetime.combine(week.week_start_date, dt.time.min, dt.timezone.utc)
-    end = start + dt.timedelta(days=7)
-    stats = scan_stats(ledger, FUNNEL, {week.label: (start, end)})
-    cited = {FUNNEL: ledger.timeline(FUNNEL).at().snapshot()}
-    text = F.format_string(
-        "one week of the table opens %d of %d files; %d (%.1f%%) were skipped by their "
-        "partition and never opened", "files_scanned", "files_total", "files_skipped",
-        "files_skipped_pct")
-    return stats.select(
-        F.col("predicate").alias("week"),
-        F.lit(f"event_ts >= '{start.isoformat()}' AND event_ts < '{end.isoformat()}'")
-        .alias("row_filter"),
-        "files_total", "files_scanned", "files_skipped", "files_skipped_pct",
-        text.alias("explanation"),
-        provenance(cited, [FUNNEL], [], "files under the partition predicate of the week "
-                   "against all files of the snapshot",
-                   F.lit(week.week_start_date), F.lit(week.week_end), now=now,
-                   scan=F.struct("files_total", "files_scanned", "files_skipped")))
-
-
-def immutability_report(ledger: Ledger, table: str = FUNNEL) -> DataFrame:
-    """Files added and deleted per commit, and whether older files were left alone."""
-    order = Window.partitionBy("table_name").orderBy("committed_at")
-    before = F.coalesce(F.lag("total_files").over(order), F.lit(0))
-    grew = F.col("total_files") == before + F.col("added_files")
-    return (ledger.log(table)
-            .withColumn("files_untouched", (F.col("deleted_files") == 0) & grew)
-            .select("snapshot_id", "committed_at", "operation", "spec", "added_files",
-                    "deleted_files", "total_files", "files_untouched"))
-
-
-def suggested_moments(ledger: Ledger, table: str = FUNNEL) -> DataFrame:
-    """A readable moment for each commit but the newest that still selects that commit.
-
-    Rounded up to a second, since rounding down would select the commit before;
-    kept exact if the rounded moment reaches the next commit.
-    """
-    order = Window.partitionBy("table_name").orderBy("committed_at")
-    at = F.col("committed_at")
-    second = F.date_trunc("second", at)
-    up = F.when(second == at, at).otherwise(second + F.expr("interval 1 second"))
-    return (ledger.log(table).withColumn("next_at", F.lead("committed_at").over(order))
-            .filter(F.col("next_at").isNotNull())
-            .select("snapshot_id", "committed_at", "next_at",
-                    F.when(up < F.col("next_at"), up).otherwise(at).alias("moment")))
-
-
-def suggested_moment(ledger: Ledger, table: str = FUNNEL) -> DataFrame:
-    """The moment of the second-newest commit: the newest comparison that shows a change."""
-    return suggested_moments(ledger, table).orderBy(F.desc("committed_at")).limit(1)

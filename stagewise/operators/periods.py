@@ -60,12 +60,10 @@ def _note() -> Column:
     names = [F.when(~F.col(f"{p}.complete"), F.col(f"{p}.period")) for p in ("current", "previous")]
     partial = F.concat_ws(", ", *names)
     base = F.col("previous.value")
-    return (F.when(partial != "", F.concat(partial, F.lit(
-                " is not fully covered by the loaded data, so its total is unknown rather than "
-                "zero and the comparison is not like for like")))
-            .when(base.isNull() | (base == 0), F.concat("previous.period", F.lit(
-                " recorded none of this measure, so a percentage change against it is "
-                "undefined rather than zero"))))
+    return (F.when(partial != "", F.concat(F.lit("incomplete in the data: "), partial, F.lit(
+                "; totals of such periods are partial and their change means little")))
+            .when(base.isNull() | (base == 0), F.concat(F.lit("no change can be given: "), F.col("previous.period"),
+                                                        F.lit(" has nothing of this measure"))))
 
 
 def _compared(star: Star, pairs: DataFrame, measure: str, grain: str,
@@ -124,27 +122,48 @@ def _canonical(text: str, grain: str) -> Column:
 
 def compare_requests(star: Star, requests: DataFrame, measure: str, grain: str,
                      now: dt.datetime | None = None) -> DataFrame:
-    """Bulk form: ``requests(current, previous)`` as text in any known spelling."""
+    """Bulk form: every row of ``requests(request, current, previous)`` as text in any known spelling.
+
+    No request is lost: one with an unknown period keeps its row, and ``note`` says which side.
+    """
     measure, grain = measure_name(measure), grain_name(grain)
     frame = periods(star, measure, grain)
-    sides = [frame.select(F.col("period").alias(f"{s}_key"), F.struct(*_PARTS).alias(s))
-             for s in ("current", "previous")]
-    asked = requests.select(normalise_period(F.col("current"), grain).alias("current_key"),
-                            normalise_period(F.col("previous"), grain).alias("previous_key"))
-    pairs = asked.distinct().join(sides[0], "current_key").join(sides[1], "previous_key")
-    return _compared(star, pairs, measure, grain, now)
-
-
-def unknown_period(star: Star, measure: str, grain: str, asked: str) -> str:
-    """Why a period cannot be compared, and which ones can: at most twelve are named."""
-    grain = grain_name(grain)
-    complete = periods(star, measure, grain).filter("complete").select("period", "start")
-    first = [r.period for r in complete.orderBy("start").limit(13).collect()]
-    if not first:
-        return f"no complete {grain} of {measure} is loaded, so {asked} cannot be compared"
-    if len(first) > 12:
-        last = [r.period for r in complete.orderBy(F.desc("start")).limit(6).collect()]
-        first = [*first[:6], "...", *reversed(last)]
-    return f"{asked} is not a complete {grain} in the loaded data; complete: {', '.join(first)}"
-
-
+    asked = requests.select("request", *[normalise_period(F.col(s), grain).alias(f"{s}_key") for s in ("current", "previous")])
+    distinct = asked.select("current_key", "previous_key").distinct()
+    sides = [frame.select(F.col("period").alias(f"{s}_key"), F.struct(*_PARTS).alias(s)) for s in ("current", "previous")]
+    pairs = (distinct.join(sides[0], "current_key").join(sides[1], "previous_key"))
+    found = _compared(star, pairs, measure, grain, now)
+    known = frame.select("period")
+    asked = (asked.join(known.select(F.col("period").alias("current_key"), F.lit(True).alias("has_current")), "current_key", "left")
+             .join(known.select(F.col("period").alias("previous_key"), F.lit(True).alias("has_previous")), "previous_key", "left"))
+    lost = F.concat_ws("; ", *[F.when(F.col(f"has_{s}").isNull(), F.concat(F.lit(f"unknown {s} {grain}: "), F.coalesce(f"{s}_key", F.lit("none"))))
+                               for s in ("current", "previous")])
+    rest = [c for c in found.columns if c not in ("current", "previous", "note", "measure", "grain")]
+    return (asked.join(found.drop("measure", "grain"), (asked["current_key"] == found["current"]) & (asked["previous_key"] == found["previous"]), "left")
+            .select("request", F.lit(measure).alias("measure"), F.lit(grain).alias("grain"), F.col("current_key").alias("current"),
+                    F.col("previous_key").alias("previous"), *rest, F.coalesce(F.when(lost != "", lost), "note").alias("note")))
+
+
+def why_not_compared(star: Star, measure: str, grain: str, current: str | None = None,
+                     previous: str | None = None, named: int = 8) -> str:
+    """Why ``period_compare`` has no row; at most ``named`` known periods are listed."""
+    measure, grain = measure_name(measure), grain_name(grain)
+    frame = periods(star, measure, grain)
+    held = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if("complete").alias("whole"), F.min_by("period", "start").alias("first"),
+                     F.max_by("period", "start").alias("last")).first()
+    if not held.n:
+        return f"the calendar holds no {grain}"
+    span = f"{held.n} known, {held.first} to {held.last}"
+    if current is None:
+        newest = [r.period for r in frame.filter("complete").orderBy(F.desc("start")).limit(named).collect()]
+        return (f"two complete {grain}s of {measure} are needed and {held.whole} found"
+                + (f": {', '.join(reversed(newest))}" if newest else "") + f" ({span})")
+    names = {side: frame.select(_canonical(text, grain).alias("p")).first().p
+             for side, text in (("current", current), ("previous", previous)) if text is not None}
+    known = {r.period for r in frame.filter(F.col("period").isin(*names.values())).select("period").collect()}
+    for side, name in names.items():
+        if name not in known:
+            return f"{side} {grain} {name} is unknown ({span})"
+    if previous is None and names["current"] == held.first:
+        return f"{held.first} is the earliest {grain}, nothing comes before it"
+    return f"no row for {names} ({span})"

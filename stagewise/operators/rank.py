@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stagewise.errors import MetricError
 from stagewise.functions.calendar import week_label
 from stagewise.functions.ratios import half_up
-from stagewise.operators.arguments import MAX_RANKED, clamp
+from stagewise.operators.arguments import how_many
 from stagewise.operators.measures import ORDERS
 from stagewise.operators.provenance import provenance
 from stagewise.operators.weeks import resolve_week
@@ -78,7 +78,7 @@ def top_dimension(star: Star, dimension: str = "channel", measure: str = "orders
                   now: dt.datetime | None = None) -> DataFrame:
     """The highest labels of one week; equal values are ordered by name."""
     _check(dimension, measure)
-    limit = clamp(limit, MAX_RANKED)
+    limit = how_many("limit", limit)
     week = resolve_week(star, iso_year, iso_week)
     facts = star.on_days("fact_orders", week.date_keys)
     top = (_ranked(_labelled(star, dimension, facts, ()), measure)
@@ -92,7 +92,7 @@ def top_dimension_all(star: Star, dimension: str = "channel", measure: str = "or
                       limit: int = 5, now: dt.datetime | None = None) -> DataFrame:
     """The highest labels of every week."""
     _check(dimension, measure)
-    limit = clamp(limit, MAX_RANKED)
+    limit = how_many("limit", limit)
     # the calendar is joined first: grouping by day and key would give the
     # shuffle up to seven times the rows
     days = spine(star).select("date_key", *WEEK, "week_start_date")

@@ -76,7 +76,7 @@ def catalogue() -> dict[str, Callable[[Star], DataFrame]]:
 
 
 def run_catalogue(star: Star) -> DataFrame:
-    """Run every query and report its row count, or the first line of its error.
+    """Run every query and report its row count, or its error.
 
     One failing query does not stop the others.  The daily aggregates are kept
     for the length of the job, so each fact is read once and not per query.
@@ -87,5 +87,5 @@ def run_catalogue(star: Star) -> DataFrame:
             try:
                 rows.append((name, build(held).count(), True, None))
             except Exception as error:  # the report is the point of this job
-                rows.append((name, None, False, str(error).splitlines()[0]))
+                rows.append((name, None, False, str(error)))
     return star.spark.createDataFrame(rows, "name string, row_count long, ok boolean, error string")

@@ -5,20 +5,20 @@ visit, accepted ones are leads, finished ones opportunities) with order lines as
 the order fact.  ``event_star`` reads the click stream, which has a real time of
 day; its purchases are the order fact.
 
-The only job run here finds the first and last day of the fact, one column, so
-that the calendar and the date keys are literals in every later plan.
+The only job run here finds the first day of the fact, so that date keys need no join;
+the calendar takes its span from the fact whenever it is read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.functions.calendar import calendar
+from stagewise.functions.calendar import calendar_of
 from stagewise.schemas import MONEY
 from stagewise.session import use_utc
 from stagewise.star import Star
@@ -46,9 +46,8 @@ def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
     return use_utc(spark).read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
-def _span(frame: DataFrame, column: str) -> tuple[dt.date, dt.date]:
-    row = frame.agg(F.to_date(F.min(column)), F.to_date(F.max(column))).first()
-    return row[0], row[1]
+def _first_day(frame: DataFrame, column: str) -> dt.date:
+    return frame.agg(F.to_date(F.min(column))).first()[0]
 
 
 def _date_key(ts: Column, first: dt.date) -> Column:
@@ -90,9 +89,9 @@ def _products(spark: SparkSession, root: str) -> DataFrame:
         F.col("p_retailprice").alias("unit_price"))
 
 
-def _star(spark: SparkSession, root: str, first: dt.date, last: dt.date,
+def _star(spark: SparkSession, root: str, times: DataFrame, narrow: dict | None = None,
           **facts: Callable[[], DataFrame]) -> Star:
-    return Star(dim_date=partial(calendar, spark, first, last),
+    return Star(narrow=narrow, dim_date=partial(calendar_of, times),
                 dim_customer=partial(_customers, spark, root),
                 dim_channel=partial(_channels, spark, root),
                 dim_product=partial(_products, spark, root), **facts)
@@ -114,13 +113,13 @@ def _order_funnel(orders: DataFrame, first: dt.date) -> DataFrame:
 
 
 def _order_lines(orders: DataFrame, lineitem: DataFrame, first: dt.date) -> DataFrame:
-    """First lines of finished orders.  No hint on the join: both sides grow with
-    the data, so the engine picks the strategy and splits a hot order at run time."""
+    """The lines of finished orders; the row is the grain.  ``order_line_key`` is a hash of
+    the row that spreads rows over batches and identifies nothing.  No hint on the join: both
+    sides grow with the data, so the engine picks the strategy and splits a hot order at run time."""
     ts = F.col("o_orderdate").cast("timestamp")
-    lines = lineitem.filter(F.col("l_linenumber") == 1)
     won = orders.filter(F.col("o_orderstatus") == "F")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (lines.join(won, lines.l_orderkey == won.o_orderkey)
+    return (lineitem.join(won, lineitem.l_orderkey == won.o_orderkey)
             .select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
                                "l_extendedprice", "l_quantity").alias("order_line_key"),
                     _date_key(ts, first).alias("date_key"),
@@ -134,11 +133,25 @@ def _order_lines(orders: DataFrame, lineitem: DataFrame, first: dt.date) -> Data
 
 def orders_star(spark: SparkSession, root: str) -> Star:
     orders = read_source(spark, root, "orders")
-    first, last = _span(orders, "o_orderdate")
-    return _star(spark, root, first, last,
+    first = _first_day(orders, "o_orderdate")
+
+    def lines(of: DataFrame) -> DataFrame:
+        return _order_lines(of, read_source(spark, root, "lineitem"), first)
+
+    def on(keys: Collection[int]) -> DataFrame:
+        """Orders of some days: a filter on the stored time, which the scan can use."""
+        start = F.lit(dt.datetime.combine(first, dt.time.min)).cast("timestamp_ntz")
+        ts = F.col("o_orderdate")
+        if not keys:
+            return orders.filter(F.lit(False))
+        inside = (ts >= start + dt.timedelta(days=min(keys))) & (ts < start + dt.timedelta(days=max(keys) + 1))
+        return orders.filter(inside & _date_key(ts, first).isin(*keys))
+
+    return _star(spark, root, orders.select("o_orderdate"),
+                 {"fact_funnel_event": lambda keys: _order_funnel(on(keys), first),
+                  "fact_orders": lambda keys: lines(on(keys))},
                  fact_funnel_event=lambda: _order_funnel(orders, first),
-                 fact_orders=lambda: _order_lines(
-                     orders, read_source(spark, root, "lineitem"), first))
+                 fact_orders=lambda: lines(orders))
 
 
 # event type -> funnel stage
@@ -172,7 +185,7 @@ def _event_purchases(events: DataFrame, first: dt.date) -> DataFrame:
 
 def event_star(spark: SparkSession, root: str) -> Star:
     events = read_source(spark, root, "events")
-    first, last = _span(events, "ts")
-    return _star(spark, root, first, last,
+    first = _first_day(events, "ts")
+    return _star(spark, root, events.select("ts"),
                  fact_funnel_event=lambda: _event_funnel(events, first),
                  fact_orders=lambda: _event_purchases(events, first))

@@ -2,7 +2,8 @@
 
 The batch id is stored with the commit.  A batch replayed after a failure finds
 its commit and adds nothing; one that failed before its ledger row was written
-left files no read will open, and is written again under a new id.
+left files no read will open, and is written again under a new id.  Rows whose time cannot be
+read go to the reject folder, so no row vanishes.
 """
 
 from __future__ import annotations
@@ -15,17 +16,16 @@ from stagewise.sources.ledger import Ledger
 from stagewise.sources.raw import normalise_times
 
 
-def commit_batch(ledger: Ledger, table: str, stream: str, rejects: str | None,
+def commit_batch(ledger: Ledger, table: str, stream: str, rejects: str,
                  raw: DataFrame, batch_id: int) -> None:
     good, bad = normalise_times(raw, table)
     ledger.append(table, good, batch=f"{stream}:{batch_id}")
-    if rejects:
-        # one folder per batch, replaced on replay
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+    # one folder per batch, replaced on replay
+    bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
 
 def append_files(ledger: Ledger, table: str, source: str, checkpoint: str,
-                 stream: str, rejects: str | None = None,
+                 stream: str, rejects: str,
                  max_files: int | None = None) -> StreamingQuery:
     """Append every file of a folder not appended yet, then stop."""
     reader = (ledger.spark.readStream.schema(raw_schema(table)).option("header", True))

@@ -8,9 +8,8 @@ from stagewise.errors import LedgerError, MetricError
 from stagewise.operators import history
 from stagewise.operators.provenance import REQUIRED
 from stagewise.schemas import FACT_FUNNEL_EVENT
-from stagewise.sources import scan
 from stagewise.sources.ledger import Ledger, Timeline, parse_moment
-from tests.conftest import make_star
+from tests.conftest import files_opened, make_star
 
 UTC = dt.timezone.utc
 FUNNEL = "fact_funnel_event"
@@ -94,15 +93,12 @@ def test_time_travel_is_not_a_date_filter(ledger):
 
 def test_partition_range_opens_only_its_files(ledger):
     whole, week = ledger.read(FUNNEL), (at("2026-01-05T00:00:00"), at("2026-01-12T00:00:00"))
-    assert scan.files_opened(whole) == [2, 5]
+    assert files_opened(whole) == [2, 5]
     pruned = ledger.time_range(FUNNEL, *week)
     assert keys(pruned) == [1, 2, 5]
-    assert scan.files_opened(pruned) == [1, 3]
+    assert files_opened(pruned) == [1, 3]
     outside = ledger.time_range(FUNNEL, at("2027-01-01T00:00:00"), at("2027-02-01T00:00:00"))
-    assert keys(outside) == [] and sum(scan.files_opened(outside)) == 0
-    # the counted files agree with what the scan reports
-    row = scan.scan_stats(ledger, FUNNEL, {"w": week}).first()
-    assert (row.files_total, row.files_scanned, row.files_skipped, row.files_skipped_pct) == (7, 4, 3, 42.9)
+    assert keys(outside) == [] and sum(files_opened(outside)) == 0
 
 
 @pytest.mark.parametrize("start, end, want", [
@@ -119,37 +115,12 @@ def test_reads_across_layouts_match_an_unpartitioned_read(ledger):
     both = ledger.read(FUNNEL).select("event_key", "stage", "event_ts")
     whole = parts[0].unionByName(parts[1])
     assert both.exceptAll(whole).isEmpty() and whole.exceptAll(both).isEmpty()
-    assert {(r.layout, r.files, r.commits) for r in scan.layout_counts(ledger, FUNNEL).collect()} == {
-        ("day", 5, 3), ("month", 2, 1)}
-    assert {(r.layout_column, r.files) for r in scan.layout_paths(ledger, FUNNEL).collect()} == {
-        ("event_ts_day", 5), ("event_ts_month", 2)}
 
 
-def test_history_and_immutability(ledger):
+def test_history(ledger):
     rows = history.snapshot_history(ledger).collect()
     assert [(r.snapshot_id, r.operation, r.total_records, r.is_current) for r in rows] == [
         (1, "overwrite", 3, False), (2, "append", 4, False), (3, "append", 5, False), (4, "append", 7, True)]
-    report = history.immutability_report(ledger).collect()
-    assert [(r.added_files, r.deleted_files, r.total_files) for r in report] == [
-        (3, 0, 3), (1, 0, 4), (1, 0, 5), (2, 0, 7)]
-    assert all(r.files_untouched for r in report)
-
-
-def test_suggested_moments_select_their_commit(ledger):
-    rows = history.suggested_moments(ledger).withColumn("moment", F.date_format("moment", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).collect()
-    line = ledger.timeline(FUNNEL)
-    assert [line.as_of(r.moment).snapshot_id for r in rows] == [1, 2, 3]
-    assert rows[1].moment == "2026-02-01T18:00:01.000000"
-    assert history.suggested_moment(ledger).first().snapshot_id == 3
-
-
-def test_rounding_up_never_reaches_the_next_commit(spark, tmp_path):
-    held = Ledger(spark, str(tmp_path))
-    one = events(spark, (1, "lead", "2026-01-05T08:00:00"))
-    held.append(FUNNEL, one, at("2026-02-01T18:00:00.250000"))
-    held.append(FUNNEL, one, at("2026-02-01T18:00:00.900000"))
-    row = history.suggested_moment(held).withColumn("exact", F.col("moment") == F.col("committed_at")).first()
-    assert row.exact
 
 
 def test_failed_writes_are_never_seen_and_their_ids_not_reused(spark, tmp_path):
@@ -170,7 +141,6 @@ def test_overwrite_hides_older_rows_but_keeps_their_snapshots(spark, tmp_path):
     assert keys(held.read(FUNNEL)) == [3] and keys(held.read(FUNNEL, 1)) == [1, 2]
     row = history.compare_as_of(held, "2026-02-01").first()
     assert (row.historical_events, row.current_events, row.events_added_since) == (2, 1, -1)
-    assert [r.files_untouched for r in history.immutability_report(held).collect()] == [True, False]
 
 
 def test_commits_stay_in_order(spark, tmp_path):
@@ -261,9 +231,6 @@ def test_provenance_names_the_snapshots_behind_a_number(spark, tmp_path):
         ("1", dt.datetime(2026, 2, 1), ("visit",)), ("1", dt.datetime(2026, 2, 2), ("orders",))}
     with pytest.raises(LedgerError):
         held.star("2026-02-01")  # the order fact did not exist yet
-    row = answers.answer("explain_scan", star, held)[0]
-    assert (row["files_total"], row["files_scanned"]) == (2, 1)
-    assert row["provenance"]["scan"]["files_skipped"] == 1
 
 
 def test_day_keys_reach_the_scan(spark, tmp_path):
@@ -292,10 +259,10 @@ def test_a_week_opens_only_its_files_without_trusting_keys(spark, tmp_path):
     assert line.at().day_from_key == [origin, origin]
     assert line.day_span([7, 13]) == (dt.date(2026, 1, 12), dt.date(2026, 1, 18))
     week = held.on_days(FUNNEL, range(7, 14))
-    assert sum(scan.files_opened(week)) == 7 and week.count() == 7
+    assert sum(files_opened(week)) == 7 and week.count() == 7
     one = funnel_snapshot(held.star(), 2026, 3)
     assert one.first().visit == 7 and one.first()["order"] == 1
-    assert sum(scan.files_opened(one.drop("provenance"))) <= 7 + 1 + 2 * 1  # weeks read dim_date twice
+    assert sum(files_opened(one.drop("provenance"))) <= 7 + 1 + 2 * 1  # weeks read dim_date twice
 
     # three rows of day 30 Jan carry the key of 13 Jan
     stray = source.fact_funnel_event.limit(3).withColumn("date_key", F.lit(8)).withColumn(

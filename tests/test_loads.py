@@ -70,7 +70,7 @@ def test_a_replayed_batch_commits_nothing(spark, tmp_path):
     write(tmp_path / "raw", "a.csv", "1,0,5,0,visit,2022-01-03 07:05:00")
     raw = load_csv(spark, str(tmp_path / "raw"), FUNNEL)
     for _ in range(2):
-        commit_batch(ledger, FUNNEL, "raw", None, raw, 7)
+        commit_batch(ledger, FUNNEL, "raw", str(tmp_path / "bad"), raw, 7)
     assert len(ledger.timeline(FUNNEL)) == 1 and ledger.read(FUNNEL).count() == 1
 
 

@@ -73,7 +73,8 @@ def test_weekly_trend_lag_is_taken_before_the_limit(star_of):
     got = trends.weekly_trend(star, "lead", 2).collect()
     assert [(r.week, r.value, r.wow_pct, r.prior_week_gap_days) for r in got] == [
         ("2026-W04", 6.0, 50.0, 14), ("2026-W05", 3.0, -50.0, 7)]
-    assert len(trends.weekly_trend(star, "lead", 0).collect()) == 1
+    with pytest.raises(MetricError, match="1 or more"):
+        trends.weekly_trend(star, "lead", 0)
 
 
 def test_running_total_year_cuts_the_iso_week(star_of):
@@ -117,7 +118,9 @@ def test_ranking_merges_labels_and_breaks_ties_by_name(star_of):
     assert [(r.name, r.value, r.orders) for r in got] == [("Pro", 10.0, 2), ("Starter", 10.0, 1), ("Alpha", 1.0, 1)]
     best = rank.top_dimension(star, "product", "avg_deal_size", limit=1).collect()
     assert [(r.name, r.value) for r in best] == [("Starter", 10.0)]
-    assert len(rank.top_dimension(star, "product", "orders", limit=0).collect()) == 1
+    with pytest.raises(MetricError, match="1 or more"):
+        rank.top_dimension(star, "product", "orders", limit=0)
+    assert len(rank.top_dimension(star, "product", "orders", limit=500).collect()) == 3
 
 
 def test_ranking_by_customer_attributes_and_per_week(star_of):
@@ -143,7 +146,7 @@ def test_two_latest_complete_periods(quarter_star):
     assert (row.current, row.current_value, row.current_complete) == ("2026-03", 0.0, True)
     assert (row.previous, row.previous_value) == ("2026-02", 0.0)
     assert (row.delta, row.pct_change, row.direction) == (0.0, None, "unknown")
-    assert row.note.startswith("2026-02 recorded none")
+    assert row.note.startswith("no change can be given: 2026-02")
 
 
 def test_named_and_preceding_periods(quarter_star):
@@ -151,10 +154,10 @@ def test_named_and_preceding_periods(quarter_star):
     assert (row.current, row.previous, row.delta, row.pct_change) == ("2026-01", "2025-12", -3.0, -60.0)
     row = periods.period_compare(quarter_star, "lead", "month", "2025-12", "2026-4").first()
     assert (row.current_value, row.previous_value, row.previous_complete) == (5.0, 1.0, False)
-    assert row.note.startswith("2026-04 is not fully covered")
+    assert row.note.startswith("incomplete in the data: 2026-04;")
     row = periods.period_compare(quarter_star, "lead", "month", "2026-06").first()
     assert (row.current_value, row.delta, row.pct_change) == (None, None, None)
-    assert row.note.startswith("2026-06, 2026-05 is not fully covered")
+    assert row.note.startswith("incomplete in the data: 2026-06, 2026-05;")
 
 
 def test_previous_alone_is_overridden(quarter_star):
@@ -163,11 +166,14 @@ def test_previous_alone_is_overridden(quarter_star):
 
 
 def test_unknown_periods_name_the_ones_available(quarter_star):
-    with pytest.raises(MetricError, match="2025-12, 2026-01, 2026-02, 2026-03"):
+    with pytest.raises(MetricError, match="current month 2031-01 is unknown"):
         answers.answer("period_compare", quarter_star, measure="lead", current="2031-01")
-    with pytest.raises(MetricError):  # the first period has none before it
-        answers.answer("period_compare", quarter_star, measure="lead", current="2025-11")
-    with pytest.raises(MetricError, match="no complete year"):
+    with pytest.raises(MetricError, match="previous month 2050-01 is unknown"):
+        answers.answer("period_compare", quarter_star, measure="lead", current="2026-1", previous="2050-01")
+    first = quarter_star.dim_date.orderBy("date").first().date.strftime("%Y-%m")
+    with pytest.raises(MetricError, match=f"{first} is the earliest month"):
+        answers.answer("period_compare", quarter_star, measure="lead", current=first)
+    with pytest.raises(MetricError, match="two complete years of lead are needed"):
         answers.answer("period_compare", quarter_star, measure="lead", grain="year")
 
 
@@ -180,10 +186,11 @@ def test_truncated_period_passes_unless_strict(star_of):
 
 
 def test_many_comparisons_at_once(spark, quarter_star):
-    asked = spark.createDataFrame([("2026-1", "2025-12"), ("2026-2", "2026-01"), ("1999-1", "2026-01")],
-                                  "current string, previous string")
-    got = {r.current: r.delta for r in periods.compare_requests(quarter_star, asked, "lead", "month").collect()}
-    assert got == {"2026-01": -3.0, "2026-02": -2.0}
+    asked = spark.createDataFrame([(1, "2026-1", "2025-12"), (2, "2026-2", "2026-01"), (3, "1999-1", "2026-01"), (4, "2026-01", "2025-12")],
+                                  "request int, current string, previous string")
+    got = {r.request: (r.delta, r.note) for r in periods.compare_requests(quarter_star, asked, "lead", "month").collect()}
+    assert {k: v for k, (v, _) in got.items()} == {1: -3.0, 2: -2.0, 3: None, 4: -3.0}
+    assert got[3][1] == "unknown current month: 1999-01"
 
 
 def test_anomaly_threshold_is_inclusive_and_only_drops_count(star_of):
@@ -193,7 +200,7 @@ def test_anomaly_threshold_is_inclusive_and_only_drops_count(star_of):
                            ("2026-01-05", "opportunity", 10), ("2026-01-12", "opportunity", 14)])
     got = funnel.funnel_anomalies(star).collect()
     assert [(r.kind, r.name, r.change_pct) for r in got] == [("stage_volume", "visit", -20.0)]
-    assert got[0].message == "visit volume has declined by 20%, from 1,000 to 800"
+    assert got[0].message == "visit volume: down 20% (1,000 before, 800 now)"
     assert (got[0].current_week, got[0].previous_week) == ("2026-W03", "2026-W02")
     assert funnel.anomaly_status(star) == ("2026-W03", "2026-W02", None)
     assert len(funnel.funnel_anomalies(star, -19.9).collect()) == 2
@@ -212,7 +219,7 @@ def test_conversion_message(star_of):
                    events=[("2026-01-05", "visit", 8), ("2026-01-05", "lead", 4),
                            ("2026-01-12", "visit", 8), ("2026-01-12", "lead", 2)])
     got = {r.name: r.message for r in funnel.funnel_anomalies(star).collect()}
-    assert got["visit_to_lead"] == "visit → lead conversion has declined by 50%, from 50.0% to 25.0%"
+    assert got["visit_to_lead"] == "visit → lead conversion: down 50% (50.0% before, 25.0% now)"
 
 
 def test_no_data_is_an_error_with_a_reason(star_of):
