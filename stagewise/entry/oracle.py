@@ -588,10 +588,17 @@ def versions() -> dict[str, str]:
             UNION ALL SELECT 'dim_date', 1, TIMESTAMP '2024-02-01 06:00:00', 'overwrite', date_diff('day', lo, hi) + 1 FROM first""",
         "as_of_resolve": f"""{EVENTS},
             m AS (SELECT event_id, ts + INTERVAL 31 DAY AS later FROM events),
-            k AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(later, '%Y-%m-%d') ELSE strftime(later, '%Y-%m-%dT%H:%M:%S') END AS as_of,
-                    CASE WHEN event_id % 2 = 0 THEN date_trunc('day', later) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND
+            k AS (SELECT event_id,
+                    CASE event_id % 10 WHEN 9 THEN strftime(later, '%H:%M') WHEN 8 THEN '9999-12-31' WHEN 7 THEN strftime(later, '%Y-%m')
+                      WHEN 6 THEN strftime(later, '%Y%m%d') WHEN 5 THEN strftime(later, '%Y-%m-%d %H:%M') || 'Z'
+                      ELSE CASE WHEN event_id % 2 = 0 THEN strftime(later, '%Y-%m-%d') ELSE strftime(later, '%Y-%m-%dT%H:%M:%S') END END AS as_of,
+                    CASE WHEN event_id % 10 IN (9, 7, 6) THEN NULL WHEN event_id % 10 = 8 THEN TIMESTAMP '9999-12-31 23:59:59.999999'
+                         WHEN event_id % 10 = 5 THEN date_trunc('minute', later)
+                         WHEN event_id % 2 = 0 THEN date_trunc('day', later) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND
                          ELSE date_trunc('second', later) END AS cutoff FROM m)
-            SELECT event_id, as_of, max(snapshot_id) AS snapshot_id FROM k LEFT JOIN c ON committed_at <= cutoff GROUP BY event_id, as_of""",
+            SELECT event_id, as_of, max(snapshot_id) AS snapshot_id,
+                   CASE WHEN max(cutoff) IS NULL THEN 'neither a date nor an ISO time' WHEN max(snapshot_id) IS NULL THEN 'before the first commit' END AS note
+            FROM k LEFT JOIN c ON committed_at <= cutoff GROUP BY event_id, as_of""",
         "snapshot_history": f"""{EVENTS}
             SELECT snapshot_id, committed_at AS snapshot_committed_at, operation, added_records,
                    CAST(sum(added_records) OVER (ORDER BY snapshot_id) AS BIGINT) AS total_records, snapshot_id = 5 AS is_current FROM log""",

@@ -234,14 +234,18 @@ def current_snapshot(ledger: Ledger) -> DataFrame:
 
 
 def as_of_resolve(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot live 31 days after each event, asked by time and by bare date."""
+    """The snapshot live 31 days after each event, asked by time, by bare date, far ahead and in no known way."""
     ledger = published(spark, root)
     later = F.col("ts").cast("timestamp") + F.expr("interval 31 days")
     events = read_source(spark, root, "events")
     asked = events.select(
-        "event_id", F.when(F.col("event_id") % 2 == 0, F.date_format(later, "yyyy-MM-dd"))
+        "event_id", F.when(F.col("event_id") % 10 == 9, F.date_format(later, "HH:mm"))
+        .when(F.col("event_id") % 10 == 8, F.lit("9999-12-31")).when(F.col("event_id") % 10 == 7, F.date_format(later, "yyyy-MM"))
+        .when(F.col("event_id") % 10 == 6, F.date_format(later, "yyyyMMdd"))
+        .when(F.col("event_id") % 10 == 5, F.concat(F.date_format(later, "yyyy-MM-dd HH:mm"), F.lit("Z")))
+        .when(F.col("event_id") % 2 == 0, F.date_format(later, "yyyy-MM-dd"))
         .otherwise(F.date_format(later, "yyyy-MM-dd'T'HH:mm:ss")).alias("as_of"))
-    return ledger.resolve_moments(FUNNEL, asked).select("event_id", "as_of", "snapshot_id")
+    return ledger.resolve_moments(FUNNEL, asked).select("event_id", "as_of", "snapshot_id", "note")
 
 
 def snapshot_history(ledger: Ledger) -> DataFrame:

@@ -50,7 +50,7 @@ def workspace(spark: SparkSession) -> str:
             or context.getConf().get("spark.checkpoint.dir")
             or context.getCheckpointDir())
     if not base:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="stagewise-")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Collection
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
@@ -73,20 +74,25 @@ class Commit:
                         self.operation, self.total_records)
 
 
+#: A date, or a date with a time of day and maybe a zone.
+MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+NO_MOMENT = "neither a date nor an ISO time"
+
+
 def parse_moment(value: str | dt.date | dt.datetime) -> tuple[dt.datetime, bool]:
     """``(cutoff, inclusive)``: a date means up to the end of that day, times are UTC."""
     if isinstance(value, str):
         text = value.strip()
         try:
-            value = dt.date.fromisoformat(text)
-        except ValueError:
-            try:
-                value = dt.datetime.fromisoformat(text)
-            except ValueError as error:
-                raise LedgerError(
-                    f"{text!r} is neither a date nor an ISO timestamp") from error
+            if not re.match(MOMENT, text):
+                raise ValueError(text)
+            value = (dt.date if len(text) == 10 else dt.datetime).fromisoformat(text)
+        except ValueError as error:
+            raise LedgerError(f"{text!r} is {NO_MOMENT}") from error
     if isinstance(value, dt.datetime):
         return (value if value.tzinfo else value.replace(tzinfo=UTC)), True
+    if value == dt.date.max:
+        return dt.datetime.max.replace(tzinfo=UTC), True
     return dt.datetime.combine(value + dt.timedelta(days=1), dt.time.min, UTC), False
 
 
@@ -240,31 +246,35 @@ class Ledger:
     # --- snapshots ------------------------------------------------------------
 
     def resolve_moments(self, table: str, moments: DataFrame) -> DataFrame:
-        """Bulk form of ``as_of`` over ``moments(as_of)``, null where no commit existed.
+        """Bulk form of ``as_of`` over ``moments(as_of)``: the same spellings, and a ``note``
+        where a text is no moment or lies before the first commit.
 
-        A commit is live for an interval of time.  Intervals are spread over the
-        days they touch, which makes the as-of search an equi-join on the day:
-        each moment meets only the commits of its own day.
+        The newest commit holds for every moment since.  Each earlier one is live for an
+        interval, spread over its own days, which makes the search an equi-join on the day:
+        the rows made are bounded by the days of the table's history, whatever is asked.
         """
         text = F.trim(F.col("as_of"))
-        bare = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-        end_of_day = (F.date_add(text.try_cast("date"), 1).cast("timestamp")
-                      - F.expr("interval 1 microsecond"))
-        asked = moments.withColumn(
-            "cutoff", F.when(bare, end_of_day).otherwise(text.try_cast("timestamp")))
-        asked = asked.withColumn("day", F.to_date("cutoff"))
-        last_day = asked.agg(F.max("day").alias("d")).scalar()
-        spans = (self.log(table)
-                 .withColumn("until", F.lead("committed_at")
-                             .over(Window.partitionBy("table_name").orderBy("committed_at")))
-                 .withColumn("from_day", F.to_date("committed_at"))
-                 .withColumn("to_day", F.coalesce(F.to_date("until"), last_day))
-                 .filter(F.col("to_day") >= F.col("from_day"))
-                 .select("snapshot_id", "committed_at", "until",
-                         F.explode(F.sequence("from_day", "to_day")).alias("day")))
-        inside = ((asked.day == spans.day) & (asked.cutoff >= spans.committed_at)
-                  & (spans.until.isNull() | (asked.cutoff < spans.until)))
-        return (asked.join(spans, inside, "left").drop("day", "until"))
+        known = F.when(text.rlike(MOMENT), text)
+        end_of_day = known.try_cast("date").cast("timestamp") + F.expr("interval '23:59:59.999999' hour to second")
+        cutoff = F.when(F.length(known) == 10, end_of_day).otherwise(
+            # a time without seconds, which the cast would refuse before a zone
+            F.regexp_replace(known, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2").try_cast("timestamp"))
+        asked = moments.withColumn("cutoff", cutoff).withColumn("day", F.to_date("cutoff"))
+        log = self.log(table)
+        newest = log.agg(F.max_by(F.struct("snapshot_id", "committed_at"), F.struct("committed_at", "snapshot_id")).alias("c")).scalar()
+        spans = (log.withColumn("until", F.lead("committed_at")
+                                .over(Window.partitionBy("table_name").orderBy("committed_at", "snapshot_id")))
+                 .filter(F.col("until").isNotNull())
+                 .select(F.col("snapshot_id").alias("earlier_id"), F.col("committed_at").alias("earlier_at"), "until",
+                         F.explode(F.sequence(F.to_date("committed_at"), F.to_date("until"))).alias("span_day")))
+        inside = ((asked.day == spans.span_day) & (asked.cutoff >= spans.earlier_at) & (asked.cutoff < spans.until))
+        since = F.col("cutoff") >= newest["committed_at"]
+        found = asked.join(spans, inside, "left")
+        return (found.withColumn("snapshot_id", F.when(since, newest["snapshot_id"]).otherwise(F.col("earlier_id")))
+                .withColumn("committed_at", F.when(since, newest["committed_at"]).otherwise(F.col("earlier_at")))
+                .withColumn("note", F.when(F.col("cutoff").isNull(), NO_MOMENT)
+                            .when(F.col("snapshot_id").isNull(), "before the first commit"))
+                .drop("day", "until", "span_day", "earlier_id", "earlier_at"))
 
     # --- reads ----------------------------------------------------------------
 
@@ -444,6 +454,12 @@ class Ledger:
         self._record(line.table, rows)
         return rows
 
+    def _in_order(self, line: Timeline, at: dt.datetime | None) -> None:
+        """Refuse a commit time that is not after the last one before anything is written."""
+        if at is not None and len(line) and _aware(at) <= line.commits[-1].committed_at:
+            raise LedgerError(f"commit of {line.table} at {_aware(at).isoformat()} is not after "
+                              f"the one at {line.commits[-1].committed_at.isoformat()}")
+
     def append(self, table: str, frame: DataFrame, committed_at: dt.datetime | None = None,
                batch: str | None = None, operation: str = "append") -> Commit:
         """One commit.  A ``batch`` that was committed before is not committed again."""
@@ -453,6 +469,7 @@ class Ledger:
             return done
         if not len(line):
             operation = "overwrite"
+        self._in_order(line, committed_at)
         snapshot_id = self._next_id(line)
         written = self._write(line, frame.withColumn("commit_id", F.lit(snapshot_id)), [snapshot_id])
         at = _aware(committed_at) if committed_at else dt.datetime.now(UTC)
@@ -482,6 +499,8 @@ class Ledger:
             raise LedgerError(f"{held[0]['count']} rows of {table} have no time; "
                               "set them aside before loading")
         line = self.timeline(table)
+        if committed_at is not None:
+            self._in_order(line, _aware(committed_at) - dt.timedelta(milliseconds=len(held) - 1))
         first = self._next_id(line)
         ids = {row.month: first + i for i, row in enumerate(held)}
         # one row per calendar month
