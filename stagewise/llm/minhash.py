@@ -1,9 +1,10 @@
 """MinHash near-duplicates with min-max hashing.
 
 A permutation gives two signature values, the smallest and the largest hash of a text's
-shingles, so 100 hash evaluations make 200 values, cut into 40 bands of 5.  A pair of
-similarity 0.75 shares no band with a chance of 2e-5, and every candidate is confirmed on
-the full shingle sets, so a link is never wrong.
+shingles, so 200 hash evaluations make 400 values.  The first 200 are cut into 40 bands of 5:
+a pair of similarity 0.75 shares no band with a chance of 2e-5.  Of each value one byte is
+kept to compare pairs by.  Every candidate is confirmed on the full shingle sets, so a link is
+never wrong.
 
 Work on groups stays linear.  Texts with one shingle set are one class, and only its
 representative goes on.  In a bucket every member is compared with one leader; linked ones
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import U64, Scratch, Words, grams, mix, ragged, seeds, slices, words_of
 
 WORDS = 5
-PERMUTATIONS, ROWS = 100, 5
-BANDS = 2 * PERMUTATIONS // ROWS
+PERMUTATIONS, ROWS, BANDS = 200, 5, 40
 PERCENT = 75
-#: Of 200 values; at similarity 0.75 the mean is 150 and the deviation 6.2 at most.
-AGREE = 118
-STAR_ROUNDS = 2
+#: Of 400 values; at similarity 0.75 the mean is 300 and the deviation 8.7 at most.
+AGREE = 270
+#: About so many members of a bucket are compared with as many others in one cell.
+CELL = 2000
 
 _FACTOR = seeds(PERMUTATIONS, 11)
 _SHIFT = seeds(PERMUTATIONS, 12)
@@ -68,11 +69,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(len(signature), BANDS, ROWS).astype(U64)
+    rows = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS).astype(U64)
     return mix((rows * _BAND).sum(axis=2, dtype=U64) + seeds(BANDS, 14))
 
 
-_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature array<int>"
+_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +87,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 digest[:, i] = mix(s).sum(dtype=U64), mix(s * _FACTOR[0] + U64(len(s))).sum(dtype=U64)
         digest = digest.view(np.int64)
+        rest = iter(sign.astype(np.uint8))
+        short = [next(rest).tobytes() if h else None for h in has]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id").cast(pa.int64()),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array(digest[0], mask=~has), pa.array(digest[1], mask=~has),
             ragged(bands(sign).view(np.int64).ravel(), has * BANDS, pa.int64()),
-            ragged(sign.view(np.int32).ravel(), has * (2 * PERMUTATIONS), pa.int32()),
+            pa.array(short, pa.binary()),
         ], ["doc_id", "n_shingles", "d1", "d2", "bands", "signature"])
 
 
@@ -145,6 +148,59 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
+def _compare(table: pa.Table) -> pa.Table:
+    """Pairs of the cells ``(key, ub, kb)`` in a table whose sizes and signatures are near enough.
+
+    A pair that shares several buckets is found in the one of its first shared band.
+    """
+    key, ub, kb, n, c, main, ids = (table.column(x).to_numpy() for x in ("key", "ub", "kb", "n", "c", "main", "id"))
+    left, right = (table.column(x).to_numpy().astype(bool) for x in ("left", "right"))
+    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    band = np.array(table.column("short").to_pylist(), np.int32)
+    own = (key >> 32).astype(np.int32)
+    order = np.lexsort((kb, ub, key))
+    cell = np.stack([key, ub, kb])[:, order]
+    edge = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0), [True]]))
+    out = [np.zeros((2, 0), np.int64)]
+    for begin, end in zip(edge[:-1], edge[1:]):
+        rows = order[begin:end]
+        us, ks = rows[left[rows]], rows[right[rows]]
+        for u in (us[i : i + 16] for i in range(0, len(us), 16)):
+            small, large = np.minimum(n[u][:, None], n[ks]), np.maximum(n[u][:, None], n[ks])
+            fit = (small * 100 >= large * PERCENT) & (c[u][:, None] != c[ks])
+            fit &= (c[ks] == main[ks]) | (ids[u][:, None] < ids[ks])
+            i, j = np.nonzero(fit)
+            i, j = u[i], ks[j]
+            near = (sign[i] == sign[j]).sum(axis=1) >= AGREE
+            i, j = i[near], j[near]
+            first = (band[i] == band[j]).argmax(axis=1)
+            near = band[i, first] == own[i]
+            out.append(np.stack([ids[i[near]], ids[j[near]]]))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _across(held: DataFrame, sign: DataFrame) -> DataFrame:
+    """Candidate pairs across the components of a bucket: members outside the largest one against
+    all others.  Large buckets are dealt as blocks against blocks, so a cell stays small."""
+    apart = F.col("c") != F.col("main")
+    cells = (held.groupBy("key").agg(F.count("*").alias("m"), F.sum(apart.cast("long")).alias("u"))
+             .select("key", F.ceil(F.col("m") / CELL).alias("bk"), F.ceil(F.col("u") / CELL).alias("bu")))
+    rows = held.join(cells, "key")
+    own, other, zero = F.xxhash64("id"), lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.col(b) - 1)), F.lit(0).cast("long")
+    one = (F.col("bk") == 1) & (F.col("bu") == 1)
+    single = rows.filter(one).select("key", "id", "n", "c", "main", apart.alias("left"), F.lit(True).alias("right"),
+                                     zero.alias("kb"), zero.alias("ub"))
+    asked = rows.filter(~one & apart).select("key", "id", "n", "c", "main", F.lit(True).alias("left"), F.lit(False).alias("right"),
+                                             other("bk").alias("kb"), F.pmod(own, "bu").alias("ub"))
+    members = rows.filter(~one).select("key", "id", "n", "c", "main", F.lit(False).alias("left"), F.lit(True).alias("right"),
+                                       F.pmod(own, "bk").alias("kb"), other("bu").alias("ub"))
+    groups = max(1, held.count() // CELL)
+    return (single.unionByName(asked).unionByName(members).join(sign, "id")
+            .withColumn("g", F.pmod(F.xxhash64("key", "ub", "kb"), F.lit(groups)))
+            .groupBy("g").applyInArrow(_compare, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -179,36 +235,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets).union(same_id), "links0")
     label = components(linked, scratch, "cc0")
 
-    for turn in range(1, STAR_ROUNDS + 1):
-        # buckets that hold several components still
-        held = (buckets.select("key", "id", "n").join(label, "id", "left")
-                .select("key", "id", "n", F.coalesce("component", "id").alias("c")))
-        counted = held.groupBy("key", "c").agg(F.count("*").alias("m"))
-        most = (counted.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("many"))
-                .filter("many > 1").drop("many"))
-        held = scratch.write(held.join(most, "key"), f"open{turn}")
-        apart = held.filter("c <> main").select("key", "id", "n", "c")
-        if turn < STAR_ROUNDS:
-            lead = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n", "c")).alias("l"))
-            lead = lead.select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"))
-            found = (held.join(lead, "key").filter("c <> ca").filter(_sized("n", "na"))
-                     .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        else:
-            sign = feats.select(F.col("doc_id").alias("id"), "signature").filter("size(signature) > 0")
-            sign = sign.join(apart.select("id").union(held.select("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-            left = apart.join(sign, "id").select("key", F.col("id").alias("a"), F.col("n").alias("na"),
-                                                 F.col("c").alias("ca"), F.col("signature").alias("sa"))
-            right = held.join(sign, "id").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"),
-                                                 "main", F.col("signature").alias("sb"))
-            agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-            once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-            near = (F.col("ca") != F.col("cb")) & once & _sized("na", "nb") & (agree >= AGREE)
-            found = (left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & near)
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        more = scratch.write(_confirm(found, sets), f"links{turn}")
-        if not more.isEmpty():
-            linked = linked.union(more)
-            label = components(linked, scratch, f"cc{turn}")
+    # buckets that hold several components still
+    held = (buckets.select("key", "id", "n").join(label, "id", "left")
+            .select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+    counted = held.groupBy("key", "c").agg(F.count("*").alias("m"))
+    most = (counted.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("many"))
+            .filter("many > 1").drop("many"))
+    held = scratch.write(held.join(most, "key"), "open")
+    sign = (feats.filter("size(bands) > 0")
+            .select(F.col("doc_id").alias("id"), "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+            .join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    found = scratch.write(_across(held, sign), "across")
+    more = scratch.write(_confirm(found, sets), "links1")
+    if not more.isEmpty():
+        label = components(linked.union(more), scratch, "cc1")
+    scratch.drop("features", "buckets", "sets", "open", "across")
 
     rep = label.select(F.col("id").alias("rep"), "component")
     out = member.join(rep, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
