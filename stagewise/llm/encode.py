@@ -14,9 +14,8 @@ import re
 import numpy as np
 
 #: Words remembered in each of two generations, per Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 _ODD = re.compile("[\x1c-\x1fΣİ]")
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -50,43 +49,41 @@ class Encoder:
         return [data[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        later, plain, other = [], {}, []
+        """Put the ids of words into the newer generation."""
+        new, old, marks, later, plain, other = self.new, self.old, self.marks, [], set(), []
         for word in words:
-            if (known := self.old.get(word)) is not None:
-                self.new[word] = known
+            known = old.get(word)
+            if known is not None:
+                new[word] = known
                 continue
-            core, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, "")
-            if not core.isalpha() or _ODD.search(core):
+            core, mark = (word[:-1], word[-1]) if word[-1:] in marks else (word, "")
+            if not core.isalpha() or (not core.isascii() and _ODD.search(core)):
                 other.append(word)
                 continue
             core = core.lower()
             later.append((word, core, mark))
-            if core not in self.new and core not in self.old:
-                plain[core] = None
-        fresh = list(plain)
-        if fresh:
-            self.new.update(zip(fresh, self._letters(fresh)))
+            if core not in new and core not in old:
+                plain.add(core)
+        if plain:
+            fresh = list(plain)
+            new.update(zip(fresh, self._letters(fresh)))
         if other:
-            self.new.update(zip(other, self._each(other)))
+            new.update(zip(other, self._each(other)))
         for word, core, mark in later:
-            ids = self.new.get(core)
-            ids = self.old[core] if ids is None else ids
-            self.new[word] = ids + self.marks[mark] if mark else ids
+            ids = new[core] if core in new else old[core]
+            new[word] = ids + marks[mark] if mark else ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        out = []
-        for words in split:
-            found = list(map(self.new.get, words))
-            if None in found:
-                self._learn({w for w, f in zip(words, found) if f is None})
-                found = list(map(self.new.get, words))
-                if None in found:  # the generations changed in between
-                    found = [self.old.get(w) if f is None else f for w, f in zip(words, found)]
-            out.append(b"".join(found))
-        return out
+        if unknown := set().union(*split).difference(self.new):
+            self._learn(unknown)
+        find = self.new.__getitem__
+        return [b"".join(map(find, words)) for words in split]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
