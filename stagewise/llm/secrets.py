@@ -8,9 +8,10 @@ and decodes every whole text by Viterbi.
 
 Decoding is exact and still fast: where a token's score for *outside* exceeds its best other
 score by more than all that transitions can make up for, every best path is outside there, so
-only the runs between such tokens need the dynamic program.  Whether that holds for every plain
-word between plain words, whatever its form, is worked out once per field; if so, only tokens
-with other characters than letters and common marks, and their neighbours, are scored.
+only the runs between such tokens need the dynamic program.  Tokens of like values score alike
+and are numbered once, so every token of a text is scored by a few array operations.  Whether
+every plain word between plain words is outside, whatever its form, is worked out once per
+field; if so, texts of plain words alone are not scored.
 
 A tagged span is reported as kind ``crf`` without the quotes and punctuation around it, if it
 overlaps no base span.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "crf")
 MAX_TRAIN = 800
-PRIOR = 40.0
+PRIOR = 8.0
+TOKENS_KEPT = 200_000  # tokens a scanner remembers from text to text
 MASK = "[SECRET]"
 
 # The base patterns.  A greedy run with a least length finds the same runs as a
@@ -126,7 +128,7 @@ def _emissions(near: np.ndarray, slots: np.ndarray, place: np.ndarray, file: np.
     return score
 
 
-def train(examples: list[tuple[str, list[Span]]], window: int = 3, turns: int = 60, rate: float = 0.05, ridge: float = 1.0) -> Field:
+def train(examples: list[tuple[str, list[Span]]], window: int = 3, turns: int = 150, rate: float = 0.15, ridge: float = 0.02) -> Field:
     """Gradient ascent with adapted steps on the penalised likelihood of windows around spans and other odd tokens."""
     tables: dict[str, tuple[int, ...]] = {}
     runs = []
@@ -225,11 +227,23 @@ def viterbi(score: np.ndarray, move: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
+class _Numbers(dict):
+    """Numbers of tokens, worked out once each."""
+
+    def __init__(self, number):
+        self.number = number
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = found = self.number(token)
+        return found
+
+
 class Scanner:
     """Spans of texts under one trained field."""
 
     def __init__(self, field: Field | None):
-        self.field, self.known = field, {}
+        self.field, self.known, self.rows, self.table = field, {}, [], np.zeros((0, 3, 3))
+        self.numbers = _Numbers(self._number)
         if field is not None:
             # a tag in the middle touches two transitions; no choice of tags gains more than this
             self.slack = 2 * float(field.move.max() - field.move.min())
@@ -240,47 +254,44 @@ class Scanner:
             least = lead[:, 1].min(axis=0) + np.minimum(0, lead[:, 0].min(axis=0)) + np.minimum(0, lead[:, 2].min(axis=0))
             self.plain_is_outside = bool((least + file.min(axis=0) > self.slack).all())
 
-    def _scores(self, token: str) -> np.ndarray:
-        values = token_values(token)
+    def _number(self, token: bytes) -> int:
+        """The number of a token's values; its scores are in that row."""
+        values = token_values(token.decode("utf-8", "surrogatepass"))
         if (found := self.known.get(values)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            found = self.known[values] = self.field.scores(values)
+            found = self.known[values] = len(self.rows)
+            self.rows.append(self.field.scores(values))
         return found
 
+    def _scores(self, tokens: list[bytes]) -> np.ndarray:
+        """One row per token and one column per tag, without the file's part."""
+        if len(self.numbers) > TOKENS_KEPT or len(self.rows) > TOKENS_KEPT:
+            self.numbers.clear()
+            self.known.clear()
+            self.rows.clear()
+            self.table = np.zeros((0, 3, 3))
+        own = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
+        score = self.table[own, 1]
+        score[1:] += self.table[own[:-1], 0]
+        score[:-1] += self.table[own[1:], 2]
+        return score
+
     def tagged(self, text: str) -> list[tuple[int, int]]:
         """Start and end of each run of begin and inside."""
         if self.field is None or not text:
             return []
-        odd = [m.start() for m in _ODD.finditer(text)]
-        if not odd and self.plain_is_outside:
+        if self.plain_is_outside and not _ODD.search(text):
             return []
-        places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        if not places:
+        tokens = text.encode("utf-8", "surrogatepass").split()  # by the white space of _WORD
+        if not tokens:
             return []
-        n, cache = len(places), {}
-        if self.plain_is_outside:
-            own = np.unique(np.searchsorted([a for a, _ in places], odd, "right") - 1)
-            wanted = np.unique(np.concatenate([own - 1, own, own + 1]))
-            wanted = wanted[(wanted >= 0) & (wanted < n)].tolist()
-        else:
-            wanted = range(n)
-
-        def scores(i: int) -> np.ndarray:
-            if i not in cache:
-                cache[i] = self._scores(text[places[i][0] : places[i][1]])
-            return cache[i]
-
-        file = self.field.file[file_feature(text)]
-        loose: dict[int, np.ndarray] = {}
-        for i in wanted:
-            score = scores(i)[1] + file
-            if i:
-                score = score + scores(i - 1)[0]
-            if i + 1 < n:
-                score = score + scores(i + 1)[2]
-            if score[OUT] - score[1:].max() <= self.slack:
-                loose[i] = score
+        score = self._scores(tokens) + self.field.file[file_feature(text)]
+        n, open_at = len(tokens), np.flatnonzero(score[:, OUT] - score[:, 1:].max(axis=1) <= self.slack).tolist()
+        if not open_at:
+            return []
+        places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        loose = {i: score[i] for i in open_at}
         # runs of such tokens; what stands beside a run is outside on every best path
         out: list[tuple[int, int]] = []
         for i in sorted(loose):
@@ -344,12 +355,15 @@ def _key(field: Field | None) -> str:
 
 
 def fit(docs: DataFrame) -> Field | None:
-    """A field from a bounded sample: ``MAX_TRAIN`` texts likely to hold a secret, and as many of any kind."""
+    """A field from a bounded sample: ``MAX_TRAIN`` texts with a base match, and as many without."""
     text = F.col("text")
     rows = docs.select(text.cast("string").alias("text")).filter(text.isNotNull() & (F.length("text") < 20_000))
-    likely = text.contains("=") | text.contains("AKIA")
+    hit = (text.contains("=") | text.contains(":")) & text.rlike(
+        r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""")
+    hit |= text.contains("AKIA") & text.rlike("AKIA[A-Z0-9]{16}")
+    hit |= text.rlike("[0-9a-f]{24}")
     # the smallest hashes are a fixed choice at every size; of copies one is enough
-    chosen = [r.text for part in (rows.filter(likely), rows)
+    chosen = [r.text for part in (rows.filter(hit), rows.filter(~hit))
               for r in part.select("text", F.xxhash64("text").alias("o")).orderBy("o", "text").limit(MAX_TRAIN).collect()]
     examples = [(t, base_spans(t)) for t in dict.fromkeys(chosen)]
     if not any(spans for _, spans in examples):
