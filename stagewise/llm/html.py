@@ -3,9 +3,10 @@
 Pages become trees.  Trees of one host are aligned by simple tree matching: the ordered pairs of
 like children that match the most nodes are merged, the others are inserted, and like siblings
 side by side are one repeated node.  In the wrapper that results, a node whose text stays the
-same on most pages is template, the others are slots.  The content is the node with the slots'
-text, an ``article`` or ``main`` first; menus, adverts, forms, comments and the like are known
-by element, role, class and id.  Every page of the host is then read through the wrapper.
+same on most pages is template, the others are slots.  The content is every outermost ``article``
+or ``main`` of a page, whole, or else the node with the slots' text; menus, adverts, forms,
+comments and the like are known by element, role, class and id.  Every page of the host is then
+read through the wrapper.
 
 A partition folds its pages into one small wrapper per host; wrappers of a host are merged in
 two steps (by host and salt, then by host), so a host with a third of all pages is never
@@ -57,8 +58,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 CHROME = frozenset("nav navbar navigation menu menus footer sidebar aside ad ads advert adverts advertisement advertising banner promo "
                    "sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login "
                    "comment comments reply replies disqus share sharing social related recommended breadcrumb breadcrumbs "
-                   "pagination pager widget toolbar masthead copyright legal hidden".split())
-CONTENT = frozenset("article main".split())
+                   "pagination pager widget toolbar masthead copyright legal hidden teaser teasers".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -75,7 +75,11 @@ class Node:
 
 @lru_cache(maxsize=20_000)
 def _describe(tag: str, attributes: str) -> tuple[str, str]:
-    """The label of an element in a wrapper, and what it is: drop, header, content or nothing."""
+    """The label of an element in a wrapper, and what it is: drop, header, content, doubt or nothing.
+
+    An article whose whole class or id is that of chrome is in doubt: a part of the page beside
+    other content, and content where there is none.  Parts of names (has-sidebar) tell of layout.
+    """
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
     names = re.sub(r"\d+", "", " ".join((found.get("class", ""), found.get("id", ""))))
     key = ".".join([tag, *sorted(set(names.split()))[:4]])
@@ -85,8 +89,10 @@ def _describe(tag: str, attributes: str) -> tuple[str, str]:
         return key, "drop"
     if tag in ("html", "body"):
         return key, ""
-    if tag in CONTENT or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
+    if tag == "main" or found.get("role") == "main" or found.get("itemprop") == "articlebody":
         return key, "content"
+    if tag == "article" or found.get("role") == "article":
+        return key, "doubt" if {w.strip("-_") for w in names.split()} & CHROME else "content"
     if found.get("role") in ROLES or words & CHROME:
         return key, "drop"
     return key, "header" if tag == "header" or "header" in words else ""
@@ -96,6 +102,8 @@ def parse(page: str) -> Node:
     """The tree of a page; text is kept as strings between the elements."""
     root = Node("#")
     stack, at, size = [root], 0, len(page)
+    doubt: list[Node] = []
+    sure = False
 
     def text(raw: str) -> None:
         if raw:
@@ -141,6 +149,10 @@ def parse(page: str) -> Node:
             stack.pop()
         node = Node(tag, m[3])
         stack[-1].children.append(node)
+        if node.role == "doubt":
+            doubt.append(node)
+        elif node.role == "content" and not sure:
+            sure = not any(n.role in ("drop", "doubt") for n in stack)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             if end is None:
@@ -150,6 +162,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     text(page[at:] if page.find("<", at) < 0 else "")
+    for node in doubt:
+        node.role = "drop" if sure else "content"
     return root
 
 
@@ -259,23 +273,6 @@ def rules_of(wrapper: list) -> str:
         return int((node[CHARS] - node[LINKS]) * (1 - share)) + sum(map(slots, node[CHILDREN]))
 
     total = max(1, slots(wrapper))
-    best: tuple[int, list[str]] | None = None
-
-    def seek(node: list, path: list[str]) -> None:
-        nonlocal best
-        if node[ROLE] == "drop":
-            return
-        path = [*path, node[KEY]]
-        size = slots(node)
-        # of nested ones the inner, if it holds nearly as much
-        if node[ROLE] == "content" and 5 * size >= total and (best is None or size >= 0.7 * best[0]):
-            best = size, path
-        for child in node[CHILDREN]:
-            seek(child, path)
-
-    seek(wrapper, [])
-    if best is not None:
-        return json.dumps({"path": best[1], "fixed": []})
     path, node = [wrapper[KEY]], wrapper
     while heavy := [c for c in node[CHILDREN] if 10 * slots(c) >= 9 * total and c[CHILDREN]]:
         node = heavy[0]
@@ -300,12 +297,11 @@ def _roots(node: Node, path: list[str]) -> list[Node]:
 
 
 def _contents(node: Node) -> list[Node]:
-    """Outermost articles, or else main parts."""
+    """Outermost articles and main parts."""
     out = []
     for child in node.children:
         if isinstance(child, Node) and child.role != "drop":
-            inner = _contents(child)
-            out += [child] if child.role == "content" and not inner else inner
+            out += [child] if child.role == "content" else _contents(child)
     return out
 
 
@@ -360,19 +356,8 @@ def main_text(page: str | None, rules: str | None) -> str:
     tree = parse(page)
     path, fixed = _rules(rules) if rules else ([], frozenset())
     found = _contents(tree)
-    at = _roots(tree, path[1:]) if len(path) > 1 else []
-    if at and (not found or at[0].role == "content"):
-        inner = [c for node in at for c in (_contents(node) or [node])]
-        whole = at[0].role == "content"
-        texts = [blocks_of(c, fixed, whole) for c in inner]
-    elif found:
-        texts, whole = [blocks_of(c, fixed, True) for c in found], True
-    else:
-        texts, whole = [blocks_of(tree, fixed, False)], False
-    if whole and len(texts) > 1:  # teasers of other articles are no main text
-        most = max(sum(map(len, t)) for t in texts)
-        texts = [t for t in texts if 3 * sum(map(len, t)) >= most]
-    return "\n\n".join(b for t in texts for b in t)
+    at = found or (_roots(tree, path[1:]) if len(path) > 1 else []) or [tree]
+    return "\n\n".join(b for node in at for b in blocks_of(node, fixed, bool(found)))
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,6 +255,22 @@ def test_main_text():
     assert html.main_text(deep, html.rules_of(html.fold(html.parse(deep)))) == "core"
 
 
+def test_outermost_content_is_read_whole():
+    long = " ".join(words(3, 60))
+    assert html.main_text(f"<main><h1>Head</h1><p>intro<article><p>{long}</article><p>end</main>", None) == f"Head\n\nintro\n\n{long}\n\nend"
+    assert html.main_text(f"<article><p>{long}<article><p>card</article></article>", None) == f"{long}\n\ncard"
+    assert html.main_text(f"<article><p>{long}</article><article><p>short</article>", None) == f"{long}\n\nshort"
+    for name in ("class=comment", "class='teaser big'", "id=comment-12"):
+        assert html.main_text(f"<article><p>one<article {name}><p>{long}</article></article>", None) == "one"
+        assert html.main_text(f"<article {name}><p>{long}</article><main><p>one</main>", None) == "one"
+        assert html.main_text(f"<body><article {name}><p>all there is</article></body>", None) == "all there is"
+    assert html.main_text("<main class='has-sidebar'><article class='post category-legal comments-open'><p>kept</article></main>", None) == "kept"
+    pages = [html.fold(html.parse(f"<main><p>{i}<article><p>{' '.join(words(i, 50))}</article></main>")) for i in range(5)]
+    for other in pages[1:]:
+        html.join(pages[0], other)
+    assert html.main_text("<main><p>a<article><p>b</article></main><article>c</article>", html.rules_of(pages[0])) == "a\n\nb\n\nc"
+
+
 def test_wrapper_tells_template_from_slots(shipped):
     def page(i):
         body = "".join(f"<p>{' '.join(words(100 * i + j, 25))}.</p>" for j in range(1 + i % 3))
