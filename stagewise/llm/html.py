@@ -8,6 +8,10 @@ or ``main`` of a page, whole, or else the node with the slots' text; menus, adve
 comments and the like are known by element, role, class and id.  Every page of the host is then
 read through the wrapper.
 
+Which blocks are constant is counted exactly: distinct pages per host, label path and text.  A
+constant block goes, inside an article too.  Only where most of an article would go, by blocks and
+by characters, the pages are copies of one another rather than one template, and all of it stays.
+
 A partition folds its pages into one small wrapper per host; wrappers of a host are merged in
 two steps (by host and salt, then by host), so a host with a third of all pages is never
 collected, and pages are not shuffled while the wrappers are small enough to broadcast.
@@ -20,6 +24,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -261,15 +266,13 @@ def _is_template(node: list, pages: int) -> list[str]:
 
 
 def rules_of(wrapper: list) -> str:
-    """What a page is read by: the labels down to the content, and the template's texts."""
-    pages, constant = wrapper[PAGES], set()
+    """What a page without an article is read by: the labels down to the slots."""
+    pages = wrapper[PAGES]
 
     def slots(node: list) -> int:
         if node[ROLE] == "drop":
             return 0
-        fixed = _is_template(node, pages)
-        constant.update(fixed)
-        share = sum(node[TEXTS][t] for t in fixed) / max(1, sum(node[TEXTS].values()))
+        share = sum(node[TEXTS][t] for t in _is_template(node, pages)) / max(1, sum(node[TEXTS].values()))
         return int((node[CHARS] - node[LINKS]) * (1 - share)) + sum(map(slots, node[CHILDREN]))
 
     total = max(1, slots(wrapper))
@@ -277,7 +280,7 @@ def rules_of(wrapper: list) -> str:
     while heavy := [c for c in node[CHILDREN] if 10 * slots(c) >= 9 * total and c[CHILDREN]]:
         node = heavy[0]
         path.append(node[KEY])
-    return json.dumps({"path": path, "fixed": sorted(constant)})
+    return json.dumps(path)
 
 
 # --- reading pages -----------------------------------------------------------------
@@ -305,81 +308,108 @@ def _contents(node: Node) -> list[Node]:
     return out
 
 
-def blocks_of(node: Node, fixed: frozenset[str], whole: bool) -> list[str]:
-    """The blocks of a tree; without a known content node, link lists and template texts go."""
-    out: list[str] = []
+def _place(path: bytes, text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=path).digest()
+
+
+def blocks_of(tree: Node, chosen: list[Node]) -> list[tuple[int, str, int]]:
+    """The blocks inside the chosen nodes: label path and text as one hash, text, characters in links."""
+    out: list[tuple[int, str, int]] = []
+    starts = {id(n) for n in chosen}
     own: list[str] = []
     links = 0
 
-    def flush() -> None:
+    def flush(path: bytes) -> None:
         nonlocal links
-        text = squeeze(own)
-        if text and (whole or (2 * links <= len(text) and str(zlib.crc32(text.encode())) not in fixed)):
-            out.append(text)
+        if text := squeeze(own):
+            out.append((int.from_bytes(_place(path, text), "little", signed=True), text, links))
         own.clear()
         links = 0
 
-    def walk(parent: Node, link: bool, headings: bool) -> None:
+    def walk(parent: Node, path: bytes, link: bool, headings: bool, inside: bool) -> None:
         nonlocal links
         for child in parent.children:
             if isinstance(child, str):
-                if not headings:
+                if inside and not headings:
                     own.append(child)
                     links += len(child.strip()) if link else 0
             elif child.role == "drop":
                 if child.tag in BLOCK:
-                    flush()
+                    flush(path)
             elif child.tag in ("br", "wbr", "img"):
                 own.append(" " if child.tag == "br" else "")
             elif child.tag in BLOCK or child.role:
-                flush()
-                only = (headings or child.role == "header") and child.tag not in HEADINGS
-                walk(child, link, only)
-                flush()
+                flush(path)
+                below = _place(path, child.key)
+                if id(child) in starts:
+                    walk(child, below, False, False, True)
+                else:
+                    walk(child, below, link, (headings or child.role == "header") and child.tag not in HEADINGS, inside)
+                flush(below)
             else:
-                walk(child, link or child.tag == "a", headings)
+                walk(child, path, link or child.tag == "a", headings, inside)
 
-    walk(node, False, False)
-    flush()
+    walk(tree, b"", False, False, id(tree) in starts)
+    flush(b"")
     return out
 
 
 @lru_cache(maxsize=4096)
-def _rules(text: str) -> tuple[list[str], frozenset[str]]:
-    found = json.loads(text)
-    return found["path"], frozenset(found["fixed"])
+def _rules(text: str) -> list[str]:
+    return json.loads(text)
 
 
-def main_text(page: str | None, rules: str | None) -> str:
+def main_text(page: str | None, rules: str | None, constant: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     tree = parse(page)
-    path, fixed = _rules(rules) if rules else ([], frozenset())
-    found = _contents(tree)
-    at = found or (_roots(tree, path[1:]) if len(path) > 1 else []) or [tree]
-    return "\n\n".join(b for node in at for b in blocks_of(node, fixed, bool(found)))
+    path = _rules(rules) if rules else []
+    if found := _contents(tree):
+        blocks = blocks_of(tree, found)
+        kept = [text for place, text, _ in blocks if place not in constant]
+        if 2 * len(kept) < len(blocks) and 2 * sum(map(len, kept)) < sum(len(text) for _, text, _ in blocks):
+            kept = [text for _, text, _ in blocks]
+    else:  # link lists go too
+        at = _roots(tree, path[1:]) if len(path) > 1 else []
+        kept = [text for place, text, links in blocks_of(tree, at or [tree]) if 2 * links <= len(text) and place not in constant]
+    return "\n\n".join(kept)
+
+
+_FOLDED = "host string, page long, blocks array<long>, wrapper string"
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host from the pages of a partition."""
+    """The hashes of each page's blocks, and one wrapper per host from the pages of a partition."""
     wrappers: dict[str, list] = {}
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        hosts, pages, blocks = [], [], []
+        for host, page, number in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page"))):
             if host and page:
-                made = fold(parse(page))
+                tree = parse(page)
+                hosts.append(host)
+                pages.append(number)
+                blocks.append(list({place for place, _, _ in blocks_of(tree, _contents(tree) or [tree])}))
+                made = fold(tree)
                 if host in wrappers:
                     join(wrappers[host], made)
                 else:
                     wrappers[host] = made
+        yield _rows(hosts, pages, blocks, [None] * len(hosts))
         if len(wrappers) > 2000:
-            yield _rows(wrappers)
+            yield _rows_of(wrappers)
             wrappers = {}
-    yield _rows(wrappers)
+    yield _rows_of(wrappers)
 
 
-def _rows(wrappers: dict[str, list]) -> pa.RecordBatch:
+def _rows(hosts: list, pages: list, blocks: list, wrappers: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string())], ["host", "wrapper"])
+        [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(blocks, pa.list_(pa.int64())),
+         pa.array(wrappers, pa.string())], ["host", "page", "blocks", "wrapper"])
+
+
+def _rows_of(wrappers: dict[str, list]) -> pa.RecordBatch:
+    none = [None] * len(wrappers)
+    return _rows(list(wrappers), none, none, [json.dumps(w) for w in wrappers.values()])
 
 
 def _merge(rules: bool):
@@ -393,17 +423,34 @@ def _merge(rules: bool):
     return merge
 
 
+def _constants(pages: DataFrame) -> DataFrame:
+    """``host, constant``: hashes of the blocks that stand on most distinct pages of a host."""
+    pages = pages.filter("page IS NOT NULL")
+    many = pages.groupBy("host").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    seen = pages.select("host", "page", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
+    fixed = seen.filter(F.col("n") >= TEMPLATE_PAGES).join(many, "host").filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constant"))
+
+
 def wrappers_of(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``host, wrapper``: the reading rules of every host."""
-    folded = pages.select("host", "html").mapInArrow(_fold_pages, "host string, wrapper string")
-    salted = folded.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    """``host, wrapper, constant``: the reading rules of every host."""
+    folded = scratch.write(pages.select("host", "html", F.xxhash64("html").alias("page")).mapInArrow(_fold_pages, _FOLDED), "folded")
+    salted = (folded.filter("wrapper IS NOT NULL").select("host", "wrapper")
+              .withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))))
     once = salted.groupBy("host", "salt").applyInPandas(_merge(False), "host string, wrapper string")
-    return scratch.write(once.groupBy("host").applyInPandas(_merge(True), "host string, wrapper string"), "wrappers")
+    rules = once.groupBy("host").applyInPandas(_merge(True), "host string, wrapper string")
+    return scratch.write(rules.join(_constants(folded), "host", "left"), "wrappers")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none: frozenset[int] = frozenset()
     for batch in batches:
-        texts = [main_text(p, w) for p, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())]
+        known: dict[str, frozenset[int]] = {}
+        texts = []
+        for host, page, rules, at in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), range(len(batch))):
+            if host not in known:
+                known[host] = frozenset(batch.column("constant")[at].as_py() or none)
+            texts.append(main_text(page, rules, known[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
@@ -415,7 +462,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
     wrappers = wrappers_of(rows, scratch)
-    if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_CHARS:
+    size = F.length("wrapper") + F.length("host") + 8 * F.coalesce(F.size("constant"), F.lit(0))
+    if (wrappers.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_CHARS:
         wrappers = F.broadcast(wrappers)
-    read = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    read = rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper", "constant")
     return read.mapInArrow(_read, "page_id long, url string, text string, n_chars long")

@@ -289,6 +289,25 @@ def test_wrapper_tells_template_from_slots(shipped):
     assert html.extract(frame.limit(0)).collect() == []
 
 
+def test_constant_blocks_inside_an_article_go(shipped):
+    def page(i, *more):
+        return (f"<body><article><p>{' '.join(words(100 + i, 25))}<div class=x><p>Read us every day</div><p>{' '.join(words(300 + i, 9))}"
+                f"{''.join(more)}</article></body>")
+
+    rows = [(i, f"http://h.org/{i}", page(i, "<p>Read us every day" if i == 5 else "")) for i in range(8)]
+    rows += [(20, "http://h.org/again", page(0)), (21, "http://h.org/again", page(0))]  # copies count once
+    rows += [(30 + i, f"http://two.org/{i}", page(40)) for i in range(6)]  # one page six times
+    same = "".join(f"<p>{' '.join(words(700 + j, 12))}" for j in range(9))
+    rows += [(50 + i, f"http://near.org/{i}", f"<article>{same}<p>end {i}</article>") for i in range(6)]  # near copies
+    by = {r.page_id: r.text for r in html.extract(shipped.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first, last = (lambda i: " ".join(words(100 + i, 25))), (lambda i: " ".join(words(300 + i, 9)))
+    for i in range(8):  # the same words at another place are the page's own
+        assert by[i] == "\n\n".join([first(i), last(i), *["Read us every day"] * (i == 5)])
+    assert by[20] == by[21] == by[0]
+    assert by[30] == "\n\n".join([first(40), "Read us every day", last(40)])
+    assert by[53] == "\n\n".join([*(" ".join(words(700 + j, 12)) for j in range(9)), "end 3"])
+
+
 def test_simple_tree_matching():
     tree = lambda key, *children: [key, "", 1, 0, 0, {}, list(children)]
     a = tree("d", tree("a"), tree("b", tree("x"), tree("y")), tree("c"))
