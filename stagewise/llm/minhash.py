@@ -31,8 +31,9 @@ from stagewise.llm.common import U64, Scratch, Words, grams, mix, ragged, seeds,
 WORDS = 5
 PERMUTATIONS, ROWS, BANDS = 200, 5, 40
 PERCENT = 75
-#: Of 400 values; at similarity 0.75 the mean is 300 and the deviation 8.7 at most.
-AGREE = 270
+#: Of 400 values; at similarity 0.75 the mean is 300 and the deviation 8.7 at most, so a pair falls
+#: below with a chance of 5e-10, far less than the 2e-5 of sharing no band.
+AGREE = 245
 #: About so many members of a bucket are compared with as many others in one cell.
 CELL = 2000
 

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,6 +98,16 @@ def test_large_buckets_are_cut_into_cells(documents, monkeypatch):
     assert result(documents(rows)) == brute(rows)
 
 
+def test_pairs_at_the_threshold_are_not_lost_to_signatures():
+    chance = sum(math.comb(400, i) * 0.75**i * 0.25 ** (400 - i) for i in range(minhash.AGREE))
+    assert chance < 1e-7  # the banding loses 2e-5
+    one, two = np.zeros(400, np.uint8), np.zeros(400, np.uint8)
+    two[:145] = 1  # 255 values agree
+    rows = {"key": [5 << 32] * 2, "ub": [0, 0], "kb": [0, 0], "n": [100, 100], "c": [1, 2], "main": [1, 1], "id": [1, 2],
+            "left": [False, True], "right": [True, True], "signature": [one.tobytes(), two.tobytes()], "short": [[5] * 40] * 2}
+    assert minhash._compare(pa.table(rows)).to_pylist() == [{"a": 1, "b": 2}]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aB é\n\t\x0b\x1c 😀.")), max_size=6))
 def test_words_are_those_of_the_pattern(texts):
