@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecesso
 result is written as Parquet and read again.  All but the last return the columns of ``docs``.
 
 1. toxicity: documents scored 0.5 or more go;
-2. near duplicates: the smallest id of each group stays, and one row of an id on several rows;
+2. near duplicates: the smallest id of each group stays; rows that repeat an id are judged each by
+   its own text, so only equal or linked ones go;
 3. decontamination: documents that cover half of a benchmark item go;
 4. secrets: spans are masked in the text, and ``n_chars`` follows; no document goes;
 5. packing: pieces of at most 4096 tokens with their place in a sequence.
@@ -40,17 +41,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = Scratch(spark, "dedup").write(near_duplicates(docs), "found")
-    gone = found.filter("NOT kept").select("doc_id").distinct()
+    scratch, rows, key = Scratch(spark, "dedup"), docs, "doc_id"
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not again.isEmpty():
+        # of equal rows of an id one stays; then rows are numbered in the order of ids, and judged one by one
+        again = scratch.write(again, "again")
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        first = (docs.join(again, "doc_id", "left_semi").groupBy("doc_id", F.col("text").alias(_MARK))
+                 .agg(F.min(F.struct("text", *others)).alias("r")).select("doc_id", "r.*").select(docs.columns))
+        rows = docs.join(again, "doc_id", "left_anti").unionByName(first).orderBy("doc_id", "text")
+        key = _MARK
+        rows = scratch.write(rows.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = scratch.write(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")), "found")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
     if gone.count() <= SMALL_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not again.isEmpty():
-        several = kept.join(again, "doc_id", "left_semi")
-        first = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "r.*").select(docs.columns))
-    return kept.select(docs.columns)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

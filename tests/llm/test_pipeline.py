@@ -75,3 +75,11 @@ def test_repeated_rows_leave_one(documents, shipped):
     got = pipeline.drop_near_duplicates(shipped, documents(rows), "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "p q r s t u"), (3, "other words in here now")]
     assert minhash.WORDS == 5
+
+
+def test_unlike_rows_of_one_id_stay(documents, shipped):
+    a, b = "p q r s t u", "some other clean text in here"
+    rows = [(1, a), (7, None), (7, b), (7, "P q r s t u"), (8, b), (8, "a third text that is clean too"), (9, ""), (9, ""), (9, None), (None, a), (None, a)]
+    got = pipeline.drop_near_duplicates(shipped, documents(rows), "").collect()
+    want = [(1, a), (7, None), (7, b), (8, "a third text that is clean too"), (9, ""), (9, None), (None, a), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
