@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.llm.common import ship
 from stagewise.llm.decontam import decontaminate
+from stagewise.llm.exact import EXACT_SQL, exact_duplicates
 from stagewise.llm.html import extract
 from stagewise.llm.language import identify
 from stagewise.llm.minhash import near_duplicates
@@ -73,9 +74,14 @@ def op10_centroid_language(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents"))
 
 
+def op13_streaming_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return exact_duplicates(spark, f"{root}/documents.parquet")
+
+
 SQL: dict[str, str] = {
     "op2_dated_url_lists": URLS_SQL,
     "op5_host_quality": quality_sql(),
+    "op13_streaming_dedup": EXACT_SQL,
 }
 
 QUERIES: dict[str, Query] = {
@@ -89,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_min_slack_packing": op8_min_slack_packing,
     "op9_string_tiling": op9_string_tiling,
     "op10_centroid_language": op10_centroid_language,
+    "op13_streaming_dedup": op13_streaming_dedup,
 }
 
 
