@@ -14,10 +14,12 @@ from stagewise.llm.language import identify
 from stagewise.llm.minhash import near_duplicates
 from stagewise.llm.packing import pack
 from stagewise.llm.quality import quality, quality_sql
+from stagewise.llm.ranked import RANKED_SQL, ranked_search
 from stagewise.llm.rans import token_files
 from stagewise.llm.secrets import scan_secrets
 from stagewise.llm.toxicity import score_documents
 from stagewise.llm.urls import URLS_SQL, captures_of, filter_urls, journal_of
+from stagewise.llm.whiten import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +76,14 @@ def op10_centroid_language(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents"))
 
 
+def op11_lanczos_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whiten(table(spark, root, "embeddings"))
+
+
+def op12_best_position_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranked_search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def op13_streaming_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_duplicates(spark, f"{root}/documents.parquet")
 
@@ -81,6 +91,7 @@ def op13_streaming_dedup(spark: SparkSession, root: str) -> DataFrame:
 SQL: dict[str, str] = {
     "op2_dated_url_lists": URLS_SQL,
     "op5_host_quality": quality_sql(),
+    "op12_best_position_search": RANKED_SQL,
     "op13_streaming_dedup": EXACT_SQL,
 }
 
@@ -95,6 +106,8 @@ QUERIES: dict[str, Query] = {
     "op8_min_slack_packing": op8_min_slack_packing,
     "op9_string_tiling": op9_string_tiling,
     "op10_centroid_language": op10_centroid_language,
+    "op11_lanczos_whitening": op11_lanczos_whitening,
+    "op12_best_position_search": op12_best_position_search,
     "op13_streaming_dedup": op13_streaming_dedup,
 }
 
