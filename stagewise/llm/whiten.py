@@ -94,9 +94,11 @@ def _sums(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], width: int,
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["v"])
 
-    added = rows.mapInArrow(run, f"v array<{kind}>").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(out)]))
-    row = added.first()[0]
-    return np.array([0 if v is None else v for v in row], number)
+    added = np.zeros(out, number)
+    parts = rows.mapInArrow(run, f"v array<{kind}>").select(F.posexplode("v").alias("slot", "v"))
+    for slot, value in parts.groupBy("slot").agg(F.sum("v")).collect():
+        added[slot] = value
+    return added
 
 
 class Bidiagonal:
