@@ -6,30 +6,39 @@ UTF-8 never uses these bytes inside a character, this is the same cut as on code
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.session import workspace
 
+T = TypeVar("T")
 U64 = np.uint64
 #: Texts are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()
+#: Texts are long: batches to Python workers end at these bytes, where the session has Spark's own setting.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, as ``--py-files`` would."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH[0], _BATCH[1]) == _BATCH[1]:
+        spark.conf.set(_BATCH[0], _BATCH[2])
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         name = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
@@ -74,7 +83,7 @@ def seeds(count: int, seed: int) -> np.ndarray:
 _BYTE = seeds(256, 1)
 _STEP = U64(0x9FB21C651E98DF25)
 _BACK = U64(pow(0x9FB21C651E98DF25, -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_powers: list[np.ndarray] = []
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -83,15 +92,39 @@ LOWER[65:91] += 32
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        for i, base in enumerate((_STEP, _BACK)):
-            grown = np.full(size, base, U64)
-            grown[0] = 1
-            _powers[i] = np.multiply.accumulate(grown)
+    """Powers for ``n`` bytes; only those of an ordinary slice are kept."""
+    if not _powers or n > len(_powers[0]):
+        grown = []
+        for base in (_STEP, _BACK):
+            row = np.full(max(n, 2 * SLICE_BYTES), base, U64)
+            row[0] = 1
+            grown.append(np.multiply.accumulate(row))
+        if _powers or n > 2 * SLICE_BYTES:
+            return grown[0][:n], grown[1][:n]
+        _powers[:] = grown
     return _powers[0][:n], _powers[1][:n]
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], T]) -> T:
+    """What a worker keeps from task to task: the model it worked with last, and no other."""
+    if key not in _held:
+        _held.clear()
+        free()
+        _held[key] = build()
+    return _held[key]
+
+
+def free() -> None:
+    """Give unused memory of this worker back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only with this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Words(NamedTuple):
     """Words of several texts: the text each is in, where it lies in ``data``, its hash."""
 
@@ -136,19 +169,32 @@ def grams(words: Words, k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[at]), at
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs with about ``SLICE_BYTES`` of text each; a longer text comes alone."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE_BYTES:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches with about ``SLICE_BYTES`` of text each; a longer text comes alone."""
     for batch in batches:
         column = batch.column(text)
-        texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > SLICE_BYTES:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        for begin, end in pieces(column):
+            part = column.slice(begin, end - begin).cast(pa.large_binary())
+            yield batch.slice(begin, end - begin), [t or b"" for t in part.to_pylist()]
+
+
+def by_pieces(texts: pa.Array, work: Callable[[list[str | None]], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``work`` over a column, a piece at a time."""
+    done = [work(texts.slice(a, b - a).to_pylist()) for a, b in pieces(texts)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
 
 
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import SLICE_BYTES, Words, grams, words_of
+from stagewise.llm.common import Words, grams, pieces, words_of
 
 SEED = 5
 COVERAGE = 0.5
@@ -136,13 +136,9 @@ def _blocks(benchmark: DataFrame) -> list[Index]:
 
 def _judge(index):
     def judge(text: pa.Array) -> pa.Array:
-        texts = [t or "" for t in text.to_pylist()]
-        out, begin, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= SLICE_BYTES or i + 1 == len(texts):
-                out += worst_items(texts[begin : i + 1], index.value)
-                begin, size = i + 1, 0
+        out = []
+        for begin, end in pieces(text):
+            out += worst_items([t or "" for t in text.slice(begin, end - begin).to_pylist()], index.value)
         return pa.StructArray.from_arrays(
             [pa.array([c for c, _ in out], pa.float64()), pa.array([i for _, i in out], pa.int64())], ["coverage", "item_id"])
 

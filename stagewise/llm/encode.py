@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from stagewise.llm.common import held
+
 #: Words remembered in each of two generations, per Python worker.
 REMEMBERED = 450_000
 _ODD = re.compile("[\x1c-\x1fΣİ]")
@@ -83,11 +85,6 @@ class Encoder:
         return [b"".join(map(find, words)) for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))

@@ -7,10 +7,10 @@ kept to compare pairs by.  Every candidate is confirmed on the full shingle sets
 never wrong.
 
 Work on groups stays linear.  Texts with one shingle set are one class, and only its
-representative goes on.  In a bucket every member is compared with one leader; linked ones
-become one component.  Only buckets that still hold several components are looked at again:
-members outside the largest component against members of other components, and only pairs
-whose sizes and signatures allow a similarity of 0.75 become rows.
+representative goes on.  It is compared with two leaders of its buckets; linked ones become one
+component.  Only buckets that still hold several components are looked at again: members outside
+the largest component against members of other components.  Those cells come with the full sets,
+follow the components as they grow, and give a row only for a link that joins two of them.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows
 without an id are never linked, keep a null component and are kept; rows that repeat an id
@@ -19,6 +19,7 @@ share its component; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ PERCENT = 75
 AGREE = 245
 #: About so many members of a bucket are compared with as many others in one cell.
 CELL = 2000
+#: Of the shingles of those texts, about so many.
+CELL_SHINGLES = 2_000_000
 
 _FACTOR = seeds(PERMUTATIONS, 11)
 _SHIFT = seeds(PERMUTATIONS, 12)
@@ -104,8 +107,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(texts)
         flat = np.concatenate(sets).view(np.int64)
         counts = np.fromiter(map(len, sets), np.int64, len(sets))
+        version = np.fromiter((mix(s).sum(dtype=U64) for s in sets), U64, len(sets)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), ragged(flat, counts, pa.int64())], ["id", "shingles"])
+            [batch.column("doc_id").cast(pa.int64()), pa.array(version), ragged(flat, counts, pa.int64())], ["id", "v", "shingles"])
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -140,66 +144,122 @@ def _sized(a: str, b: str):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    """The links ``(a, b)`` of the pairs ``(a, av, b, bv)`` whose full sets are similar enough."""
+    one = sets.select(F.col("id").alias("a"), F.col("v").alias("av"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("v").alias("bv"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(one, "a").join(two, "b").withColumn("common", common)
+    return (pairs.join(one, ["a", "av"]).join(two, ["b", "bv"]).withColumn("common", common)
             .filter(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * PERCENT)
             .select("a", "b"))
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of the cells ``(key, ub, kb)`` in a table whose sizes and signatures are near enough.
+class _Found:
+    """Components as they grow together inside one task."""
 
-    A pair that shares several buckets is found in the one of its first shared band.
+    def __init__(self, labels: np.ndarray):
+        self.labels, self.code = np.unique(labels, return_inverse=True)
+        self.parent = np.arange(len(self.labels))
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def join(self, a: int, b: int) -> None:
+        roots = self.roots()
+        x, y = roots[self.code[a]], roots[self.code[b]]
+        self.parent[max(x, y)] = min(x, y)
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted sets are near enough to a sorted one."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    common = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return common * 100 >= (len(one) + sizes - common) * PERCENT
+
+
+def _compare(cells: pa.Table, full: pa.Table) -> pa.Table:
+    """Links between components of the cells ``(key, ub, kb)``, confirmed on the full sets in ``full``.
+
+    A link is looked for only between texts whose components are not joined yet, so a cell gives
+    fewer links than it has members.  A pair that shares several buckets is looked at in the one
+    of its first shared band.
     """
-    key, ub, kb, n, c, main, ids = (table.column(x).to_numpy() for x in ("key", "ub", "kb", "n", "c", "main", "id"))
-    left, right = (table.column(x).to_numpy().astype(bool) for x in ("left", "right"))
-    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-    band = np.array(table.column("short").to_pylist(), np.int32)
+    key, ub, kb, n, c, main, ids, v = (cells.column(x).to_numpy() for x in ("key", "ub", "kb", "n", "c", "main", "id", "v"))
+    left, right = (cells.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("left", "right"))
+    place = {k: i for i, k in enumerate(zip(full.column("own").to_pylist(), full.column("version").to_pylist()))}
+    text = np.fromiter((place[k] for k in zip(ids.tolist(), v.tolist())), np.int64, len(ids))
+    sign = np.frombuffer(b"".join(full.column("signature").to_pylist()), np.uint8).reshape(full.num_rows, -1)
+    band = np.array(full.column("short").to_pylist(), np.int32)
+    lists = full.column("shingles").combine_chunks()
+    flat, ends = lists.flatten().to_numpy().view(U64), np.cumsum(lists.value_lengths().to_numpy())
+    begins = np.concatenate([[0], ends[:-1]])
     own = (key >> 32).astype(np.int32)
     order = np.lexsort((kb, ub, key))
     cell = np.stack([key, ub, kb])[:, order]
     edge = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0), [True]]))
-    out = [np.zeros((2, 0), np.int64)]
+    found, links = _Found(c), []
     for begin, end in zip(edge[:-1], edge[1:]):
         rows = order[begin:end]
-        us, ks = rows[left[rows]], rows[right[rows]]
-        for u in (us[i : i + 16] for i in range(0, len(us), 16)):
-            small, large = np.minimum(n[u][:, None], n[ks]), np.maximum(n[u][:, None], n[ks])
-            fit = (small * 100 >= large * PERCENT) & (c[u][:, None] != c[ks])
-            fit &= (c[ks] == main[ks]) | (ids[u][:, None] < ids[ks])
-            i, j = np.nonzero(fit)
-            i, j = u[i], ks[j]
-            near = (sign[i] == sign[j]).sum(axis=1) >= AGREE
-            i, j = i[near], j[near]
-            first = (band[i] == band[j]).argmax(axis=1)
-            near = band[i, first] == own[i]
-            out.append(np.stack([ids[i[near]], ids[j[near]]]))
-    a, b = np.concatenate(out, axis=1)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _across(held: DataFrame, sign: DataFrame) -> DataFrame:
-    """Candidate pairs across the components of a bucket: members outside the largest one against
-    all others.  Large buckets are dealt as blocks against blocks, so a cell stays small."""
-    apart = F.col("c") != F.col("main")
-    cells = (held.groupBy("key").agg(F.count("*").alias("m"), F.sum(apart.cast("long")).alias("u"))
-             .select("key", F.ceil(F.col("m") / CELL).alias("bk"), F.ceil(F.col("u") / CELL).alias("bu")))
-    rows = held.join(cells, "key")
-    own, other, zero = F.xxhash64("id"), lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.col(b) - 1)), F.lit(0).cast("long")
-    one = (F.col("bk") == 1) & (F.col("bu") == 1)
-    single = rows.filter(one).select("key", "id", "n", "c", "main", apart.alias("left"), F.lit(True).alias("right"),
-                                     zero.alias("kb"), zero.alias("ub"))
-    asked = rows.filter(~one & apart).select("key", "id", "n", "c", "main", F.lit(True).alias("left"), F.lit(False).alias("right"),
+        ks = rows[right[rows]]
+        for u in rows[left[rows]]:
+            root = found.roots()[found.code]
+            small, large = np.minimum(n[u], n[ks]), np.maximum(n[u], n[ks])
+            fit = (small * 100 >= large * PERCENT) & (root[u] != root[ks]) & ((c[ks] == main[ks]) | (ids[u] < ids[ks]))
+            near = ks[fit]
+            near = near[(sign[text[u]] == sign[text[near]]).sum(axis=1) >= AGREE]
+            first = (band[text[u]] == band[text[near]]).argmax(axis=1)
+            near = near[band[text[u], first] == own[near]]
+            while len(near):
+                now, near = near[:64], near[64:]
+                t = text[u]
+                good = _similar(flat[begins[t] : ends[t]], [flat[begins[k] : ends[k]] for k in text[now]])
+                for k in now[good]:
+                    root = found.roots()[found.code]
+                    if root[u] != root[k]:
+                        found.join(u, k)
+                        links.append((min(ids[u], ids[k]), max(ids[u], ids[k])))
+                if good.any():
+                    root = found.roots()[found.code]
+                    near = near[root[near] != root[u]]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def _across(held: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links across the components of a bucket: members outside the largest one against all others.
+
+    Buckets of one largest component lie together, so a text comes once with its set however many
+    buckets it is in.  Where texts or shingles are many, blocks meet blocks, so a cell stays small.
+    """
+    apart, zero = F.col("c") != F.col("main"), F.lit(0).cast("long")
+    texts = held.select("main", "id", "v", "n", "c").distinct()
+    blocks = lambda count, size: F.greatest(F.lit(1), F.ceil(F.coalesce(count, zero) / CELL), F.ceil(F.coalesce(size, zero) / CELL_SHINGLES))
+    cells = (texts.groupBy("main").agg(F.count("*").alias("m"), F.sum("n").alias("mn"), F.sum(apart.cast("long")).alias("u"),
+                                       F.sum(F.when(apart, F.col("n"))).alias("un"))
+             .withColumn("bk", blocks(F.col("m"), F.col("mn"))).withColumn("bu", blocks(F.col("u"), F.col("un"))))
+    cells = scratch.write(cells, "cells")
+    load = cells.agg(F.sum(F.greatest((F.col("m") * F.col("bu") + F.col("u") * F.col("bk")) / CELL,
+                                      (F.col("mn") * F.col("bu") + F.coalesce("un", zero) * F.col("bk")) / CELL_SHINGLES))).first()[0]
+    rows = held.join(cells.select("main", "bk", "bu"), "main")
+    own, other = F.xxhash64("id"), lambda b: F.explode(F.sequence(zero, F.col(b) - 1))
+    base, one = ("key", "id", "v", "n", "c", "main"), (F.col("bk") == 1) & (F.col("bu") == 1)
+    single = rows.filter(one).select(*base, apart.alias("left"), F.lit(True).alias("right"), zero.alias("kb"), zero.alias("ub"))
+    asked = rows.filter(~one & apart).select(*base, F.lit(True).alias("left"), F.lit(False).alias("right"),
                                              other("bk").alias("kb"), F.pmod(own, "bu").alias("ub"))
-    members = rows.filter(~one).select("key", "id", "n", "c", "main", F.lit(False).alias("left"), F.lit(True).alias("right"),
+    members = rows.filter(~one).select(*base, F.lit(False).alias("left"), F.lit(True).alias("right"),
                                        F.pmod(own, "bk").alias("kb"), other("bu").alias("ub"))
-    groups = max(1, held.count() // CELL)
-    return (single.unionByName(asked).unionByName(members).join(sign, "id")
-            .withColumn("g", F.pmod(F.xxhash64("key", "ub", "kb"), F.lit(groups)))
-            .groupBy("g").applyInArrow(_compare, "a long, b long").distinct())
+    groups = max(1, math.ceil(load or 0))
+    dealt = scratch.write(single.unionByName(asked).unionByName(members)
+                          .withColumn("g", F.pmod(F.xxhash64("main", "ub", "kb"), F.lit(groups))), "dealt")
+    wanted = dealt.select(F.col("g").alias("to"), F.col("id").alias("own"), F.col("v").alias("version")).distinct()
+    wanted = wanted.join(full.withColumnsRenamed({"id": "own", "v": "version"}), ["own", "version"])
+    return dealt.groupBy("g").cogroup(wanted.groupBy("to")).applyInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,36 +281,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = (member.join(repeated.filter("a <> b OR a <> doc_id").select("doc_id"), "doc_id", "left_semi")
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
 
-    reps = (feats.filter("size(bands) > 0").select("doc_id", "n_shingles", "bands")
+    reps = (feats.filter("size(bands) > 0").select("doc_id", "n_shingles", F.col("d1").alias("v"), "bands")
             .join(member.filter("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi"))
-    keys = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keys = reps.select(F.col("doc_id").alias("id"), "v", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     # one leader per bucket; buckets of one id end here
-    led = (keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.min_by("n", "id").alias("ln"))
-           .filter("leader <> last").drop("last"))
+    led = (keys.groupBy("key").agg(F.min(F.struct("id", "v", "n")).alias("l"), F.max("id").alias("last"))
+           .filter("l.id <> last").select("key", F.col("l.id").alias("leader"), F.col("l.v").alias("lv"), F.col("l.n").alias("ln")))
     buckets = scratch.write(keys.join(led, "key"), "buckets")
     ids = buckets.select("id").distinct()
     sets = scratch.write(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-                         .mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    linked = scratch.write(
-        _confirm(buckets.filter("id <> leader").filter(_sized("n", "ln"))
-                 .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets).union(same_id), "links0")
+                         .mapInArrow(_sets, "id long, v long, shingles array<long>"), "sets")
+    # a text first meets two leaders: the one it shares most buckets with, and the smallest
+    lead = (buckets.filter("id <> leader").filter(_sized("n", "ln")).groupBy("id", "v", "leader", "lv").agg(F.count("*").alias("many"))
+            .groupBy("id", "v").agg(F.max_by(F.struct("leader", "lv"), F.struct("many", -F.col("leader"))).alias("most"),
+                                    F.min(F.struct("leader", "lv")).alias("least"))
+            .select("id", "v", F.explode(F.array_distinct(F.array("most", "least"))).alias("l")))
+    pairs = lead.select(F.col("l.leader").alias("a"), F.col("l.lv").alias("av"), F.col("id").alias("b"), F.col("v").alias("bv"))
+    linked = scratch.write(_confirm(pairs, sets).union(same_id), "links0")
     label = components(linked, scratch, "cc0")
 
     # buckets that hold several components still
-    held = (buckets.select("key", "id", "n").join(label, "id", "left")
-            .select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+    held = (buckets.select("key", "id", "v", "n").join(label, "id", "left")
+            .select("key", "id", "v", "n", F.coalesce("component", "id").alias("c")))
     counted = held.groupBy("key", "c").agg(F.count("*").alias("m"))
     most = (counted.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("many"))
             .filter("many > 1").drop("many"))
     held = scratch.write(held.join(most, "key"), "open")
     sign = (feats.filter("size(bands) > 0")
-            .select(F.col("doc_id").alias("id"), "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
-            .join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    found = scratch.write(_across(held, sign), "across")
-    more = scratch.write(_confirm(found, sets), "links1")
+            .select(F.col("doc_id").alias("id"), F.col("d1").alias("v"), "signature",
+                    F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+            .join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "v"]))
+    more = scratch.write(_across(held, sign.join(sets.dropDuplicates(["id", "v"]), ["id", "v"]), scratch), "links1")
     if not more.isEmpty():
-        label = components(linked.union(more), scratch, "cc1")
-    scratch.drop("features", "buckets", "sets", "open", "across")
+        label = components(linked.union(more).distinct(), scratch, "cc1")
+    scratch.drop("features", "buckets", "sets", "open", "cells", "dealt")
 
     rep = label.select(F.col("id").alias("rep"), "component")
     out = member.join(rep, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

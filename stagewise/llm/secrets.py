@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stagewise.llm.common import by_pieces, held, slices
+
 KINDS = ("assign", "access", "hex", "crf")
 MAX_TRAIN = 800
 PRIOR = 8.0
@@ -340,31 +342,35 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-_scanners: dict[str, Scanner] = {}
-
-
 def _scanner(field: Field | None, key: str) -> Scanner:
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = Scanner(field)
-    return _scanners[key]
+    return held(("scanner", key), lambda: Scanner(field))
 
 
 def _key(field: Field | None) -> str:
     return "" if field is None else hashlib.sha1(b"".join(x.tobytes() for x in field)).hexdigest()
 
 
+_HASHES = 1 << 53
+
+
 def fit(docs: DataFrame) -> Field | None:
-    """A field from a bounded sample: ``MAX_TRAIN`` texts with a base match, and as many without."""
+    """A field from a bounded sample: about ``MAX_TRAIN`` texts with a base match, and as many without,
+    none of them of 20,000 characters or more."""
     text = F.col("text")
     rows = docs.select(text.cast("string").alias("text")).filter(text.isNotNull() & (F.length("text") < 20_000))
     hit = (text.contains("=") | text.contains(":")) & text.rlike(
         r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""")
     hit |= text.contains("AKIA") & text.rlike("AKIA[A-Z0-9]{16}")
     hit |= text.rlike("[0-9a-f]{24}")
-    # the smallest hashes are a fixed choice at every size; of copies one is enough
-    chosen = [r.text for part in (rows.filter(hit), rows.filter(~hit))
-              for r in part.select("text", F.xxhash64("text").alias("o")).orderBy("o", "text").limit(MAX_TRAIN).collect()]
+    # texts of the smallest hashes are a fixed choice at every size; of copies one is enough
+    place = F.pmod(F.xxhash64("text"), F.lit(_HASHES))
+    seen = rows.agg(F.approx_count_distinct(F.when(hit, place), 0.02), F.approx_count_distinct(F.when(~hit, place), 0.02)).first()
+    bound = [int(_HASHES * min(1.0, 1.3 * MAX_TRAIN / max(1, n))) for n in seen]
+    near = rows.select("text", place.alias("o"), hit.alias("hit")).filter(F.col("o") < max(bound))
+    near = near.filter(F.col("o") < F.when(F.col("hit"), bound[0]).otherwise(bound[1]))
+    drawn = near.groupBy("o", "hit").agg(F.min("text").alias("text")).collect()
+    chosen = [r.text for want in (True, False)
+              for r in sorted((r for r in drawn if r.hit == want), key=lambda r: r.o)[:MAX_TRAIN]]
     examples = [(t, base_spans(t)) for t in dict.fromkeys(chosen)]
     if not any(spans for _, spans in examples):
         return None
@@ -376,10 +382,10 @@ def _scan(field: Field | None):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(field, key)
-        for batch in batches:
+        for batch, texts in slices(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                spans = scanner.spans(text or "")
+            for text in texts:
+                spans = scanner.spans(text.decode())
                 many = [sum(k == kind for _, _, k in spans) for kind in range(4)]
                 base = [s for s in spans if s[2] < 3]
                 rows.append((*many, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)))
@@ -404,6 +410,6 @@ def redact_udf(field: Field | None):
 
     def mask(text: pa.Array) -> pa.Array:
         scanner = _scanner(field, key)
-        return pa.array([None if t is None else redact(t, scanner.spans(t)) for t in text.to_pylist()], pa.string())
+        return by_pieces(text, lambda part: pa.array([None if t is None else redact(t, scanner.spans(t)) for t in part], pa.string()), pa.string())
 
     return F.arrow_udf(mask, "string")

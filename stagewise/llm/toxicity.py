@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagewise.llm.common import by_pieces
+
 MAX_LABELLED = 20_000
 MAX_LEXICON = 20_000
 PREFIX = 4
@@ -232,9 +234,13 @@ def score_udf(model: Model):
     def score(text: pa.Array) -> pa.Array:
         if not model.trained:
             return pa.array(np.zeros(len(text)))
-        x = np.array([features(t or "", model.lexicon) for t in text.to_pylist()]).reshape(len(text), -1)
-        z = x @ model.weights[:-1] + model.weights[-1]
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+        def part(texts: list[str | None]) -> pa.Array:
+            x = np.array([features(t or "", model.lexicon) for t in texts])
+            z = x @ model.weights[:-1] + model.weights[-1]
+            return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+        return by_pieces(text, part, pa.float64())
 
     return score.asNondeterministic()  # so that it runs once a row
 

@@ -101,11 +101,41 @@ def test_large_buckets_are_cut_into_cells(documents, monkeypatch):
 def test_pairs_at_the_threshold_are_not_lost_to_signatures():
     chance = sum(math.comb(400, i) * 0.75**i * 0.25 ** (400 - i) for i in range(minhash.AGREE))
     assert chance < 1e-7  # the banding loses 2e-5
+
+
+def _cell(rows, full):
+    return minhash._compare(pa.table({k: [r[k] for r in rows] for k in rows[0]}), pa.table({k: [r[k] for r in full] for k in full[0]}))
+
+
+def _member(i, c, left, n=100):
+    return {"key": 5 << 32, "ub": 0, "kb": 0, "n": n, "c": c, "main": 1, "id": i, "v": 0, "left": left, "right": True}
+
+
+def test_pairs_below_the_mean_of_the_signatures_meet_their_sets():
     one, two = np.zeros(400, np.uint8), np.zeros(400, np.uint8)
     two[:145] = 1  # 255 values agree
-    rows = {"key": [5 << 32] * 2, "ub": [0, 0], "kb": [0, 0], "n": [100, 100], "c": [1, 2], "main": [1, 1], "id": [1, 2],
-            "left": [False, True], "right": [True, True], "signature": [one.tobytes(), two.tobytes()], "short": [[5] * 40] * 2}
-    assert minhash._compare(pa.table(rows)).to_pylist() == [{"a": 1, "b": 2}]
+    full = [{"own": i, "version": 0, "signature": s.tobytes(), "short": [5] * 40, "shingles": list(range(f, f + 100))}
+            for i, s, f in ((1, one, 0), (2, two, 14))]  # 86 common of 114
+    assert _cell([_member(1, 1, False), _member(2, 2, True)], full).to_pylist() == [{"a": 1, "b": 2}]
+    full[1]["shingles"] = list(range(15, 115))  # 85 of 115
+    assert _cell([_member(1, 1, False), _member(2, 2, True)], full).num_rows == 0
+
+
+def test_a_cell_gives_fewer_links_than_members():
+    """All pairs of 90 texts are near: one link joins each to the rest, whatever number of buckets they share."""
+    full = [{"own": i, "version": 0, "signature": bytes(400), "short": list(range(5, 45)), "shingles": list(range(100))} for i in range(1, 91)]
+    rows = [{**_member(i, i, i > 1), "key": k << 32, "main": 1} for i in range(1, 91) for k in range(5, 9)]
+    got = _cell(rows, full).to_pylist()
+    assert len(got) == 89 and {x for r in got for x in r.values()} == set(range(1, 91))
+
+
+def test_texts_of_one_id_are_all_looked_at(documents):
+    """The second text of an id is near to others that its first is not."""
+    one, two = words(31, 100), words(32, 100)
+    near = lambda w, j: " ".join([f"q{j}" if i == 11 * j % 100 else x for i, x in enumerate(w)])
+    rows = [(50, " ".join(one)), (50, " ".join(two)), (60, near(one, 1)), (61, near(two, 2)), (62, near(two, 3))]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {(50, 50), (60, 50), (61, 50), (62, 50)}
 
 
 @settings(max_examples=50, deadline=None)
