@@ -17,6 +17,7 @@ duplicates; an empty table passes through as an empty table; clashing extra colu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +78,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, tokenizer_file(), end_id=1)
 
 
+def _ready(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with executors and batch sizes made ready for it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
+    ("toxicity", _ready(drop_toxic)),
+    ("near_duplicates", _ready(drop_near_duplicates)),
+    ("decontamination", _ready(drop_contaminated)),
+    ("secrets", _ready(mask_secrets)),
+    ("packing", _ready(pack_sequences)),
 ]
 
 #: Learned models, signatures and a tokenizer are beyond SQL; tests hold the stages against brute force.
@@ -91,7 +103,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    ship(spark)
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
