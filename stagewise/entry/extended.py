@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.entry.oracle import EVENT_ROWS, EVENTS
-from stagewise.entry.published import fresh_folder
-from stagewise.sources.bindings import event_star
+from stagewise.entry.published import fresh_folder, published
+from stagewise.operators.asof import as_of_join
+from stagewise.operators.history import compare_as_of_all
+from stagewise.sources.bindings import event_star, read_source
 from stagewise.sources.checked import check_rows, read_text
 from stagewise.sources.raw import write_csv
 from stagewise.streaming.daily import daily_counts, refused_counts, stream_daily
@@ -90,14 +92,71 @@ def stream_unique_events(spark: SparkSession, root: str) -> DataFrame:
     return unique_events(spark, FUNNEL, f"{base}/kept").withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
 
 
+# --- bulk time travel ---------------------------------------------------------------
+
+def as_of_sorted(spark: SparkSession, root: str) -> DataFrame:
+    """The sign-up before each purchase, of anyone and of the same user."""
+    events = read_source(spark, root, "events")
+    asked = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    changes = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("signup_id"))
+    found = as_of_join(asked, changes, "ts", "since", ["signup_id", "since"], tie="signup_id")
+    own = as_of_join(found, changes.withColumnRenamed("signup_id", "own_signup_id"), "ts", "since", ["own_signup_id"],
+                     tie="own_signup_id", by=["user_id"])
+    return own.select("event_id", "signup_id", "since", "own_signup_id")
+
+
+AS_OF_SORTED = """
+    WITH s AS (SELECT ts, max(event_id) AS id FROM events WHERE event_type = 'signup' GROUP BY ts),
+    u AS (SELECT user_id, ts, max(event_id) AS id FROM events WHERE event_type = 'signup' GROUP BY user_id, ts)
+    SELECT p.event_id, s.id AS signup_id, s.ts AS since, u.id AS own_signup_id
+    FROM events p ASOF LEFT JOIN s ON p.ts >= s.ts ASOF LEFT JOIN u ON p.user_id = u.user_id AND p.ts >= u.ts
+    WHERE p.event_type = 'purchase'"""
+
+
+def _asked_days(spark: SparkSession, root: str) -> DataFrame:
+    """Every day of the events and the day 31 days on, each day asked in another spelling."""
+    day = F.to_date("ts")
+    days = read_source(spark, root, "events").select(F.explode(F.array(day, F.date_add(day, 31))).alias("day")).distinct()
+    n = F.dayofmonth("day") % 3
+    return days.select(F.when(n == 0, F.date_format("day", "yyyy-MM-dd")).when(n == 1, F.date_format("day", "yyyy-MM-dd'T'06:00:00"))
+                       .otherwise(F.date_format("day", "yyyyMMdd")).alias("as_of"))
+
+
+def compare_as_of_every(spark: SparkSession, root: str) -> DataFrame:
+    found = compare_as_of_all(published(spark, root), _asked_days(spark, root)).drop("provenance")
+    return found.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c.endswith("_at") else c for c in found.columns])
+
+
+COMPARE_AS_OF_ALL = f"""{EVENTS},
+    d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events UNION SELECT DISTINCT CAST(ts AS DATE) + 31 FROM events),
+    k AS (SELECT CASE day(day) % 3 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y-%m-%dT06:00:00')
+                 ELSE strftime(day, '%Y%m%d') END AS as_of,
+                 CASE day(day) % 3 WHEN 0 THEN CAST(day AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND
+                 WHEN 1 THEN CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR END AS cutoff FROM d),
+    r AS (SELECT as_of, cutoff, max(snapshot_id) AS id, max(committed_at) AS live_at FROM k LEFT JOIN c ON committed_at <= cutoff GROUP BY ALL),
+    g AS (SELECT stage, batch, count(*) AS n FROM e WHERE stage IS NOT NULL GROUP BY ALL),
+    s(stage) AS (VALUES ('visit'), ('lead'), ('opportunity')),
+    t AS (SELECT s.stage, c.snapshot_id, coalesce(sum(n), 0)::BIGINT AS n FROM s CROSS JOIN c LEFT JOIN g ON g.stage = s.stage AND g.batch < c.snapshot_id
+          GROUP BY ALL)
+    SELECT t.stage, as_of AS as_of_requested, t.n AS historical_events, id AS historical_snapshot_id, live_at AS historical_committed_at,
+           w.n AS current_events, CASE WHEN id IS NOT NULL THEN 5 END AS current_snapshot_id,
+           CASE WHEN id IS NOT NULL THEN TIMESTAMP '2024-02-04 06:00:00' END AS current_committed_at, w.n - t.n AS events_added_since,
+           CASE WHEN cutoff IS NULL THEN 'neither a date nor an ISO time' WHEN id IS NULL THEN 'before the first commit' END AS note
+    FROM r LEFT JOIN t ON t.snapshot_id = r.id LEFT JOIN t w ON w.snapshot_id = 5 AND w.stage = t.stage"""
+
+
 QUERIES: dict[str, Query] = {
     "csv_rejects": csv_rejects,
     "stream_daily_stages": stream_daily_stages,
     "stream_unique_events": stream_unique_events,
+    "as_of_sorted": as_of_sorted,
+    "compare_as_of_all": compare_as_of_every,
 }
 
 SQL: dict[str, str] = {
     "csv_rejects": CSV_REJECTS,
     "stream_daily_stages": STREAM_DAILY,
     "stream_unique_events": f"{EVENTS} {EVENT_ROWS}",
+    "as_of_sorted": AS_OF_SORTED,
+    "compare_as_of_all": COMPARE_AS_OF_ALL,
 }

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.errors import LedgerError, MetricError
 from stagewise.operators.arguments import stage_name
 from stagewise.operators.measures import FUNNEL
 from stagewise.operators.provenance import provenance
+from stagewise.schemas import STAGES
 from stagewise.sources.ledger import Ledger, parse_moment
 
 
@@ -61,6 +62,44 @@ def compare_as_of(ledger: Ledger, as_of_date: str | dt.date | dt.datetime, stage
                    F.lit(None), F.lit(day.date()), now=now))
 
 
+def stage_totals(ledger: Ledger) -> DataFrame:
+    """Events of every stage in every snapshot: ``snapshot_id, committed_at, stage, events``.
+
+    The fact is read once whatever is asked later: rows are counted by the commit they came with,
+    and a snapshot is the sum over the commits since the last one that replaced the table.
+    """
+    added = (ledger.read_every_commit(FUNNEL).groupBy(F.col("commit_id").alias("snapshot_id"), "stage")
+             .agg(F.count(F.lit(1)).alias("added")))
+    order = Window.partitionBy("stage").orderBy("committed_at", "snapshot_id")
+    grid = ledger.log(FUNNEL).select("snapshot_id", "committed_at", "operation", F.explode(F.array(*map(F.lit, STAGES))).alias("stage"))
+    replaced = F.sum((F.col("operation") == "overwrite").cast("int")).over(order)
+    return (grid.withColumn("epoch", replaced).join(added, ["snapshot_id", "stage"], "left")
+            .select("snapshot_id", "committed_at", "stage", F.sum(F.coalesce("added", F.lit(0))).over(
+                Window.partitionBy("stage", "epoch").orderBy("committed_at", "snapshot_id")
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("events")))
+
+
+def compare_as_of_all(ledger: Ledger, moments: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+    """Bulk form: every stage at every moment of ``moments(as_of)``, as texts in the spellings of the single form.
+
+    A text that is no moment, or lies before the first commit, keeps one row with a ``note`` and no stage.
+    """
+    newest = lambda c: F.max_by(c, F.struct("committed_at", "snapshot_id")).over(Window.partitionBy("stage"))
+    asked = ledger.resolve_moments(FUNNEL, moments.select("as_of").distinct())
+    totals = stage_totals(ledger).select(
+        F.col("snapshot_id").alias("known"), "stage", F.col("events").alias("historical_events"), newest("events").alias("current_events"),
+        newest("snapshot_id").alias("current_snapshot_id"), newest("committed_at").alias("current_committed_at"))
+    cutoff = F.date_trunc("day", F.col("cutoff"))
+    return (asked.join(totals, asked["snapshot_id"] == totals["known"], "left")
+            .select("stage", F.col("as_of").alias("as_of_requested"), "historical_events",
+                    F.col("snapshot_id").alias("historical_snapshot_id"), F.col("committed_at").alias("historical_committed_at"),
+                    "current_events", "current_snapshot_id", "current_committed_at",
+                    (F.col("current_events") - F.col("historical_events")).alias("events_added_since"), "note",
+                    provenance({FUNNEL: ledger.timeline(FUNNEL).at().snapshot()}, [FUNNEL], [],
+                               "events of each stage summed over the commits held at the moment, against all commits held now",
+                               F.lit(None), cutoff.cast("date"), now=now)))
+
+
 def snapshot_history(ledger: Ledger, table: str = FUNNEL,
                      now: dt.datetime | None = None) -> DataFrame:
     """Every commit, oldest first."""

@@ -18,11 +18,12 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.errors import LedgerError
+from stagewise.operators.asof import as_of_join
 from stagewise.schemas import DIMENSIONS, FACT_TIME, TABLES
 from stagewise.session import use_utc
 from stagewise.star import Snapshot, Star
@@ -148,8 +149,8 @@ class Timeline:
                  if c.committed_at < cutoff or (inclusive and c.committed_at == cutoff)]
         if not known:
             raise LedgerError(
-                f"{self.table} had no snapshot at {moment}; its snapshots run from "
-                f"{held[0].committed_at.isoformat()} to {held[-1].committed_at.isoformat()}")
+                f"{self.table} had no snapshot at {moment}; its commits run from "
+                f"{held[0].committed_at.isoformat()} until {held[-1].committed_at.isoformat()}")
         return known[-1]
 
     def live(self, snapshot_id: int | None = None) -> list[Commit]:
@@ -249,9 +250,8 @@ class Ledger:
         """Bulk form of ``as_of`` over ``moments(as_of)``: the same spellings, and a ``note``
         where a text is no moment or lies before the first commit.
 
-        The newest commit holds for every moment since.  Each earlier one is live for an
-        interval, spread over its own days, which makes the search an equi-join on the day:
-        the rows made are bounded by the days of the table's history, whatever is asked.
+        Moments and commits are sorted together and the commit before a moment is carried to it, so
+        the work is that of the moments asked and the commits held, on one day or on many.
         """
         text = F.trim(F.col("as_of"))
         known = F.when(text.rlike(MOMENT), text)
@@ -259,22 +259,10 @@ class Ledger:
         cutoff = F.when(F.length(known) == 10, end_of_day).otherwise(
             # a time without seconds, which the cast would refuse before a zone
             F.regexp_replace(known, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2").try_cast("timestamp"))
-        asked = moments.withColumn("cutoff", cutoff).withColumn("day", F.to_date("cutoff"))
-        log = self.log(table)
-        newest = log.agg(F.max_by(F.struct("snapshot_id", "committed_at"), F.struct("committed_at", "snapshot_id")).alias("c")).scalar()
-        spans = (log.withColumn("until", F.lead("committed_at")
-                                .over(Window.partitionBy("table_name").orderBy("committed_at", "snapshot_id")))
-                 .filter(F.col("until").isNotNull())
-                 .select(F.col("snapshot_id").alias("earlier_id"), F.col("committed_at").alias("earlier_at"), "until",
-                         F.explode(F.sequence(F.to_date("committed_at"), F.to_date("until"))).alias("span_day")))
-        inside = ((asked.day == spans.span_day) & (asked.cutoff >= spans.earlier_at) & (asked.cutoff < spans.until))
-        since = F.col("cutoff") >= newest["committed_at"]
-        found = asked.join(spans, inside, "left")
-        return (found.withColumn("snapshot_id", F.when(since, newest["snapshot_id"]).otherwise(F.col("earlier_id")))
-                .withColumn("committed_at", F.when(since, newest["committed_at"]).otherwise(F.col("earlier_at")))
-                .withColumn("note", F.when(F.col("cutoff").isNull(), NO_MOMENT)
-                            .when(F.col("snapshot_id").isNull(), "before the first commit"))
-                .drop("day", "until", "span_day", "earlier_id", "earlier_at"))
+        found = as_of_join(moments.withColumn("cutoff", cutoff), self.log(table), "cutoff", "committed_at",
+                           ["snapshot_id", "committed_at"], tie="snapshot_id")
+        return found.withColumn("note", F.when(F.col("cutoff").isNull(), NO_MOMENT)
+                                .when(F.col("snapshot_id").isNull(), "before the first commit"))
 
     # --- reads ----------------------------------------------------------------
 
@@ -317,6 +305,11 @@ class Ledger:
         out = self._union(table, frames)
         return out if with_commit else out.drop("commit_id")
 
+    def read_every_commit(self, table: str) -> DataFrame:
+        """The rows of all commits, replaced ones too, with the commit each came with."""
+        timeline = self.timeline(table)
+        return self._union(table, [f for _, f in self._parts(table, list(timeline.commits))])
+
     def in_layout_range(self, table: str, start: dt.datetime, end: dt.datetime,
                         snapshot_id: int | None = None,
                         timeline: Timeline | None = None) -> list[DataFrame]:
