@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.entry.oracle import EVENT_ROWS, EVENTS
+from stagewise.entry.oracle import EVENT_ROWS, EVENTS, EVERY_PAIR, PARENTS, compared, metrics, rounded, star_with
+from stagewise.entry.oracle import star as star_sql
 from stagewise.entry.published import fresh_folder, published
+from stagewise.functions.calendar import GRAINS
 from stagewise.operators.asof import as_of_join
+from stagewise.operators.fingerprint import differing_keys, fingerprint
 from stagewise.operators.history import compare_as_of_all
-from stagewise.sources.bindings import event_star, read_source
+from stagewise.operators.leaders import top_product_periods
+from stagewise.operators.periods import period_changes_all
+from stagewise.operators.suspects import fk_suspects_all
+from stagewise.schemas import MONEY, TABLES
+from stagewise.session import use_utc
+from stagewise.sources.bindings import event_star, orders_star, read_source
+from stagewise.sources.buckets import buckets_for, store_bucketed
 from stagewise.sources.checked import check_rows, read_text
 from stagewise.sources.raw import write_csv
+from stagewise.sources.serve import serve_files, served_files
+from stagewise.star import Star
 from stagewise.streaming.daily import daily_counts, refused_counts, stream_daily
 from stagewise.streaming.unique import stream_unique, unique_events
 
@@ -145,12 +157,103 @@ COMPARE_AS_OF_ALL = f"""{EVENTS},
     FROM r LEFT JOIN t ON t.snapshot_id = r.id LEFT JOIN t w ON w.snapshot_id = 5 AND w.stage = t.stage"""
 
 
+# --- all grains, stored layouts, filters, copies --------------------------------------
+
+def _plain(build: Callable[[Star], DataFrame]) -> Query:
+    return lambda spark, root: build(orders_star(use_utc(spark), root)).drop("provenance")
+
+
+def bucketed_order_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Finished orders and lines stored by order key, joined bucket by bucket."""
+    orders, lines = bucketed_orders(spark, root)
+    joined = lines.join(orders, "order_key")
+    return joined.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("revenue").cast(MONEY)).cast("double").alias("revenue"),
+                      F.sum("quantity").alias("units"), F.count_distinct("product_key").alias("products"))
+
+
+def bucketed_orders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    orders, lines = read_source(spark, root, "orders"), read_source(spark, root, "lineitem")
+    many = buckets_for(lines.count())
+    net = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
+    return (store_bucketed(orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("order_key"), "o_custkey", "o_orderdate"),
+                           "orders", "order_key", many),
+            store_bucketed(lines.select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("product_key"),
+                                        net.cast(MONEY).cast("double").alias("revenue"), F.col("l_quantity").cast("int").alias("quantity")),
+                           "lines", "order_key", many))
+
+
+def fk_orphans(star: Star) -> DataFrame:
+    """Keys of the facts against dimensions that lack every fiftieth customer and every seventieth product."""
+    short = star.with_tables(dim_customer=star.dim_customer.filter("customer_key % 50 <> 7"),
+                             dim_product=star.dim_product.filter("product_key % 70 <> 7"))
+    return fk_suspects_all(short)
+
+
+def _fk_sql() -> str:
+    lost = {"customer": "customer_key % 50 = 7", "product": "product_key % 70 = 7"}
+    return star_sql(" UNION ALL ".join(
+        f"SELECT '{t}.{d}_key in dim_{d}' AS \"check\", count(*) AS rows_checked, count(*) FILTER ({lost.get(d, 'false')}) AS violations FROM {t}"
+        for t, dims in PARENTS.items() for d in dims))
+
+
+def serve_fingerprint(spark: SparkSession, root: str) -> DataFrame:
+    """A serving copy against its source, and a changed copy with the keys that differ by kind."""
+    star = orders_star(use_utc(spark), root)
+    path = fresh_folder(spark, "copied")
+    serve_files(star, path)
+    copy = served_files(spark, path)
+    sides = [fingerprint(s.table(t).select(*TABLES[t].fieldNames())).withColumn("table_name", F.lit(t)) for s in (star, copy) for t in TABLES]
+    alike = F.count_distinct("rows", "one", "two") == 1
+    whole = (reduce(DataFrame.unionByName, sides).groupBy("table_name")
+             .agg(F.when(alike, "same").otherwise("differs").alias("finding"), F.max("rows").alias("keys"))
+             .withColumn("first_key", F.lit(None).cast("long")))
+    key = F.col("customer_key")
+    changed = (copy.dim_customer.filter(key % 100 != 1).withColumn("segment", F.when(key % 100 == 2, "MOVED").otherwise(F.col("segment")))
+               .unionByName(copy.dim_customer.filter(key % 100 == 3)))
+    columns = TABLES["dim_customer"].fieldNames()
+    found = (differing_keys(star.dim_customer, changed, ["customer_key"], columns).groupBy("difference")
+             .agg(F.count(F.lit(1)).alias("keys"), F.min("customer_key").alias("first_key"))
+             .select(F.lit("dim_customer, changed").alias("table_name"), F.col("difference").alias("finding"), "keys", "first_key"))
+    return whole.unionByName(found)
+
+
+def _fingerprint_sql() -> str:
+    rows = {"dim_date": "dim_date", "dim_customer": "customer", "dim_channel": "(SELECT DISTINCT o_orderpriority FROM orders)", "dim_product": "part",
+            "fact_funnel_event": "fact_funnel_event", "fact_orders": "fact_orders"}
+    whole = " UNION ALL ".join(f"SELECT '{t}' AS table_name, 'same' AS finding, count(*) AS keys, CAST(NULL AS BIGINT) AS first_key FROM {f}"
+                               for t, f in rows.items())
+    kinds = {1: "only on the left", 2: "other values", 3: "another number of rows"}
+    part = " UNION ALL ".join(f"SELECT 'dim_customer, changed', '{k}', count(*), min(c_custkey) FROM customer WHERE c_custkey % 100 = {m} HAVING count(*) > 0"
+                              for m, k in kinds.items())
+    return star_sql(f"{whole} UNION ALL {part}")
+
+
+def _changes_sql() -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({compared('orders', g, EVERY_PAIR)})" for g in GRAINS)
+
+
+LEADERS = star_with("""
+    p AS (SELECT f.product_key, f.revenue, d.iso_year, d.iso_week, d.date FROM fact_orders f JOIN dim_date d USING (date_key)),
+    g AS (SELECT 'week' AS grain, printf('%d-W%02d', iso_year, iso_week) AS period, * FROM p
+          UNION ALL SELECT 'month', strftime(date, '%Y-%m'), * FROM p
+          UNION ALL SELECT 'quarter', printf('%d-Q%d', year(date), quarter(date)), * FROM p
+          UNION ALL SELECT 'year', CAST(year(date) AS VARCHAR), * FROM p),
+    s AS (SELECT grain, period, p_name AS name, sum(CAST(revenue AS DECIMAL(18,4))) AS amount FROM g JOIN part ON p_partkey = product_key GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY grain, period ORDER BY amount DESC, name) AS rank FROM s)""", f"""
+    SELECT grain, period, CAST(rank AS INTEGER) AS rank, name, {rounded("amount", 2)} AS value FROM r WHERE rank <= 5""")
+
+
 QUERIES: dict[str, Query] = {
     "csv_rejects": csv_rejects,
     "stream_daily_stages": stream_daily_stages,
     "stream_unique_events": stream_unique_events,
     "as_of_sorted": as_of_sorted,
     "compare_as_of_all": compare_as_of_every,
+    "period_changes_all": _plain(lambda star: period_changes_all(star, "orders")),
+    "bucketed_order_lines": bucketed_order_lines,
+    "top_product_periods": _plain(top_product_periods),
+    "fk_suspects": _plain(fk_orphans),
+    "serve_fingerprint": serve_fingerprint,
 }
 
 SQL: dict[str, str] = {
@@ -159,4 +262,9 @@ SQL: dict[str, str] = {
     "stream_unique_events": f"{EVENTS} {EVENT_ROWS}",
     "as_of_sorted": AS_OF_SORTED,
     "compare_as_of_all": COMPARE_AS_OF_ALL,
+    "period_changes_all": _changes_sql(),
+    "bucketed_order_lines": metrics()["order_line_totals"],
+    "top_product_periods": LEADERS,
+    "fk_suspects": _fk_sql(),
+    "serve_fingerprint": _fingerprint_sql(),
 }

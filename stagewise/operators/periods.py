@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions.calendar import normalise_period, period_label, period_length
+from stagewise.functions.calendar import GRAINS, normalise_period, period_label, period_length
 from stagewise.functions.ratios import change, direction, half_up
 from stagewise.operators.arguments import grain_name, measure_name
 from stagewise.operators.measures import daily, source_of, value_of
@@ -66,22 +66,57 @@ def _note() -> Column:
                                                         F.lit(" has nothing of this measure"))))
 
 
-def _compared(star: Star, pairs: DataFrame, measure: str, grain: str,
+def _compared(star: Star, pairs: DataFrame, measure: str, grain: str | Column,
               now: dt.datetime | None) -> DataFrame:
+    grain = F.lit(grain) if isinstance(grain, str) else grain
     current, previous = F.col("current.value"), F.col("previous.value")
     pct = change(current, previous)
     flat = [F.col(f"{side}.{part}").alias(f"{side}_{part}" if part != "period" else side)
             for side in ("current", "previous") for part in _PARTS]
     return pairs.filter(F.col("previous").isNotNull()).select(
-        F.lit(measure).alias("measure"), F.lit(grain).alias("grain"), *flat,
+        F.lit(measure).alias("measure"), grain.alias("grain"), *flat,
         half_up(current - previous, 2).alias("delta"),
         pct.alias("pct_change"), direction(pct).alias("direction"), _note().alias("note"),
         provenance(star.snapshots, [source_of(measure)], ["dim_date"],
-                   f"{measure} per {grain}; pct_change = 100 * (current - previous) / previous",
+                   F.concat(F.lit(f"{measure} per "), grain, F.lit("; pct_change = 100 * (current - previous) / previous")),
                    F.col("current.start"), F.col("current.end"),
                    F.col("previous.start"), F.col("previous.end"), now=now))
 
 
+def periods_all(star: Star, measure: str, strict: bool = False) -> DataFrame:
+    """``periods`` of all grains at once, with their ``grain``: the days are grouped by each grain in one pass."""
+    measure = measure_name(measure)
+    held = daily(star, measure).select("date", "n", "amount")
+    days = (star.dim_date.withColumns({g: period_label(g) for g in GRAINS}).join(held, "date", "left")
+            .select("date", "n", "amount", *GRAINS))
+    fact_day = F.when(F.col("n").isNotNull(), F.col("date"))
+    per_period = days.groupingSets([[F.col(g)] for g in GRAINS], *GRAINS).agg(
+        F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("days"),
+        F.min(fact_day).alias("fact_first"), F.max(fact_day).alias("fact_last"),
+        value_of(measure, F.sum("n"), F.sum("amount")).alias("value"))
+    named = per_period.select("*", F.coalesce(*[F.when(F.col(g).isNotNull(), g) for g in GRAINS]).alias("grain"),
+                              F.coalesce(*GRAINS).alias("period"))
+    everything = Window.partitionBy("grain")  # one row per calendar period
+    covered = ((F.col("start") >= F.min("fact_first").over(everything))
+               & (F.col("end") <= F.max("fact_last").over(everything)))
+    if strict:
+        full = F.coalesce(*[F.when(F.col("grain") == g, period_length(g, F.col("start"))) for g in GRAINS])
+        covered = covered & (F.col("days") == full)
+    return (named.withColumn("complete", F.coalesce(covered, F.lit(False)))
+            .withColumn("value", F.when(F.col("complete"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
+            .select("grain", *_PARTS))
+
+
+def period_changes_all(star: Star, measure: str = "revenue", strict: bool = False,
+                       now: dt.datetime | None = None) -> DataFrame:
+    """Every period of every grain against the calendar period before it, from one read of the fact."""
+    measure = measure_name(measure)
+    whole = F.struct(*_PARTS)
+    pairs = periods_all(star, measure, strict).select(
+        "grain", whole.alias("current"), F.lag(whole).over(Window.partitionBy("grain").orderBy("start")).alias("previous"))
+    return _compared(star, pairs, measure, F.col("grain"), now)
+
+
 def period_changes(star: Star, measure: str = "revenue", grain: str = "month",
                    strict: bool = False, now: dt.datetime | None = None) -> DataFrame:
     """Every period against the calendar period before it."""
