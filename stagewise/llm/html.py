@@ -4,13 +4,17 @@ Pages become trees.  Trees of one host are aligned by simple tree matching: the
 like children that match the most nodes are merged, the others are inserted, and like siblings
 side by side are one repeated node.  In the wrapper that results, a node whose text stays the
 same on most pages is template, the others are slots.  The content is every outermost ``article``
-or ``main`` of a page, whole, or else the node with the slots' text; menus, adverts, forms,
-comments and the like are known by element, role, class and id.  Every page of the host is then
+or ``main`` of a page, whole, or else the node with the slots' text.  Every page of the host is then
 read through the wrapper.
 
-Which blocks are constant is counted exactly: distinct pages per host, label path and text.  A
-constant block goes, inside an article too.  Only where most of an article would go, by blocks and
-by characters, the pages are copies of one another rather than one template, and all of it stays.
+Menus, adverts, forms, comments and the like are known by element, role, and by a class or id that
+as a whole says so (``side-bar`` and ``site-footer``, not ``with-sidebar``).  Names only propose: what
+holds the content of a page is passed through, and inside the content a part with a doubtful name
+(``related``, ``legal``) stays where its text varies over the host and is not made of links.
+
+Which blocks are constant is counted exactly, per host, label path and text, over pages that differ
+in their longest block: copies and near copies of a page are one page, so they prove nothing.  A
+constant block goes, inside an article too.
 
 A partition folds its pages into one small wrapper per host; wrappers of a host are merged in
 two steps (by host and salt, then by host), so a host with a third of all pages is never
@@ -29,8 +33,10 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -44,10 +50,12 @@ from stagewise.llm.urls import host_of
 BROADCAST_CHARS = 32 << 20
 SALTS = 32
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
+SENTENCE = 8  # words
 TEXTS_KEPT = 4  # frequent texts remembered per node
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")  # not the end of a bare value, as in href=/
 _ATTR = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s]+))?""")
 
 # Elements by how they end and what they hold.
@@ -64,6 +72,12 @@ CHROME = frozenset("nav navbar navigation menu menus footer sidebar aside ad ads
                    "sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login "
                    "comment comments reply replies disqus share sharing social related recommended breadcrumb breadcrumbs "
                    "pagination pager widget toolbar masthead copyright legal hidden teaser teasers".split())
+DOUBTFUL = frozenset("share related recommended copyright legal cookie banner promo widget toolbar teaser teasers notice".split())
+# words that may stand beside those above in a name without changing what it says
+BESIDE = frozenset("site page main global primary secondary top bottom left right upper lower side bar list lists link links item items box "
+                   "block blocks wrapper wrap container inner outer slot unit area panel row col column section bin group content text "
+                   "form button buttons icons icon trail thread post posts article articles wp js the my our your".split())
+BOXLESS = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th p".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -71,36 +85,50 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Node:
-    __slots__ = ("tag", "key", "role", "children")
+    __slots__ = ("tag", "key", "role", "soft", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.key, self.role = _describe(tag, attributes)
+        self.key, self.role, self.soft = _describe(tag, attributes)
+
+
+def _says_chrome(name: str) -> set[str]:
+    """The words of a class or id that make it chrome, if all of it says so."""
+    words = {w for w in re.split(r"[^a-z]+", name) if w}
+    return words & CHROME if words and words <= CHROME | BESIDE else set()
 
 
 @lru_cache(maxsize=20_000)
-def _describe(tag: str, attributes: str) -> tuple[str, str]:
-    """The label of an element in a wrapper, and what it is: drop, header, content, doubt or nothing.
+def _describe(tag: str, attributes: str) -> tuple[str, str, bool]:
+    """The label of an element in a wrapper; drop, weak, header, content, doubt or nothing; and whether
+    it is dropped by no more than a name, a role or being a form.
 
     An article whose whole class or id is that of chrome is in doubt: a part of the page beside
-    other content, and content where there is none.  Parts of names (has-sidebar) tell of layout.
+    other content, and content where there is none.
     """
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
     names = re.sub(r"\d+", "", " ".join((found.get("class", ""), found.get("id", ""))))
     key = ".".join([tag, *sorted(set(names.split()))[:4]])
-    words = {w for w in re.split(r"[^a-z]+", names) if w}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if tag in DROP or hidden:
-        return key, "drop"
+        return key, "drop", tag == "form" and not hidden
     if tag in ("html", "body"):
-        return key, ""
+        return key, "", False
     if tag == "main" or found.get("role") == "main" or found.get("itemprop") == "articlebody":
-        return key, "content"
+        return key, "content", False
     if tag == "article" or found.get("role") == "article":
-        return key, "doubt" if {w.strip("-_") for w in names.split()} & CHROME else "content"
-    if found.get("role") in ROLES or words & CHROME:
-        return key, "drop"
-    return key, "header" if tag == "header" or "header" in words else ""
+        return key, "doubt" if {w.strip("-_") for w in names.split()} & CHROME else "content", False
+    said = set().union(*map(_says_chrome, names.split()))
+    if said and said <= DOUBTFUL and found.get("role") not in ROLES:
+        return key, "weak", True
+    if said or found.get("role") in ROLES:
+        return key, "drop", True
+    return key, "header" if tag == "header" or "header" in re.split(r"[^a-z]+", names) else "", False
+
+
+def _length(node: Node) -> int:
+    """Characters of text that no dropped element below holds."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.role == "drop" else _length(c) for c in node.children)
 
 
 def parse(page: str) -> Node:
@@ -108,6 +136,8 @@ def parse(page: str) -> Node:
     root = Node("#")
     stack, at, size = [root], 0, len(page)
     doubt: list[Node] = []
+    shut: list[Node] = []  # what holds content and is dropped by its name
+    forms: list[Node] = []
     sure = False
 
     def text(raw: str) -> None:
@@ -154,21 +184,36 @@ def parse(page: str) -> Node:
             stack.pop()
         node = Node(tag, m[3])
         stack[-1].children.append(node)
+        if node.role == "weak" and not any(n.role == "content" for n in stack):
+            node.role = "drop"
         if node.role == "doubt":
             doubt.append(node)
         elif node.role == "content" and not sure:
-            sure = not any(n.role in ("drop", "doubt") for n in stack)
+            above = [n for n in stack if n.role in ("drop", "doubt")]
+            sure = not above
+            if all(n.soft for n in above):
+                shut += above
+        elif tag == "form" and node.soft:
+            forms.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             if end is None:
                 break
             close = page.find(">", end.end())
             at = size if close < 0 else close + 1
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not _CLOSED.search(m[3]):
             stack.append(node)
     text(page[at:] if page.find("<", at) < 0 else "")
+    if not sure and shut:
+        for node in shut:
+            node.role = ""
+        sure = True
     for node in doubt:
         node.role = "drop" if sure else "content"
+    if not sure and not doubt:  # a form round the page is no part of it
+        for node in forms:
+            if node.role == "drop" and _length(node) > _length(root):
+                node.role = ""
     return root
 
 
@@ -266,7 +311,7 @@ def _is_template(node: list, pages: int) -> list[str]:
 
 
 def rules_of(wrapper: list) -> str:
-    """What a page without an article is read by: the labels down to the slots."""
+    """What a page without an article is read by: the number of pages seen, and the labels down to the slots."""
     pages = wrapper[PAGES]
 
     def slots(node: list) -> int:
@@ -280,7 +325,7 @@ def rules_of(wrapper: list) -> str:
     while heavy := [c for c in node[CHILDREN] if 10 * slots(c) >= 9 * total and c[CHILDREN]]:
         node = heavy[0]
         path.append(node[KEY])
-    return json.dumps(path)
+    return json.dumps([pages, path])
 
 
 # --- reading pages -----------------------------------------------------------------
@@ -312,22 +357,30 @@ def _place(path: bytes, text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=path).digest()
 
 
-def blocks_of(tree: Node, chosen: list[Node]) -> list[tuple[int, str, int]]:
-    """The blocks inside the chosen nodes: label path and text as one hash, text, characters in links."""
-    out: list[tuple[int, str, int]] = []
+class Block(NamedTuple):
+    place: int  # label path and text as one hash
+    text: str
+    links: int  # characters in links
+    weak: int  # number of the doubtful part it lies in, 0 for none
+    box: int  # number of what holds it and is no list
+
+
+def blocks_of(tree: Node, chosen: list[Node]) -> list[Block]:
+    """The blocks inside the chosen nodes, in page order."""
+    out: list[Block] = []
     starts = {id(n) for n in chosen}
     own: list[str] = []
-    links = 0
+    links = parts = boxes = 0
 
-    def flush(path: bytes) -> None:
+    def flush(path: bytes, weak: int, box: int) -> None:
         nonlocal links
         if text := squeeze(own):
-            out.append((int.from_bytes(_place(path, text), "little", signed=True), text, links))
+            out.append(Block(int.from_bytes(_place(path, text), "little", signed=True), text, links, weak, box))
         own.clear()
         links = 0
 
-    def walk(parent: Node, path: bytes, link: bool, headings: bool, inside: bool) -> None:
-        nonlocal links
+    def walk(parent: Node, path: bytes, link: bool, headings: bool, inside: bool, weak: int, box: int) -> None:
+        nonlocal links, parts, boxes
         for child in parent.children:
             if isinstance(child, str):
                 if inside and not headings:
@@ -335,44 +388,72 @@ def blocks_of(tree: Node, chosen: list[Node]) -> list[tuple[int, str, int]]:
                     links += len(child.strip()) if link else 0
             elif child.role == "drop":
                 if child.tag in BLOCK:
-                    flush(path)
+                    flush(path, weak, box)
             elif child.tag in ("br", "wbr", "img"):
                 own.append(" " if child.tag == "br" else "")
             elif child.tag in BLOCK or child.role:
-                flush(path)
-                below = _place(path, child.key)
+                flush(path, weak, box)
+                below, part, held = _place(path, child.key), weak, box
+                if child.role == "weak" and not weak:
+                    parts += 1
+                    part = parts
+                if child.tag not in BOXLESS and child.tag not in HEADINGS or parent.tag in ("#", "html", "body"):
+                    boxes += 1
+                    held = boxes
                 if id(child) in starts:
-                    walk(child, below, False, False, True)
+                    walk(child, below, False, False, True, part, held)
                 else:
-                    walk(child, below, link, (headings or child.role == "header") and child.tag not in HEADINGS, inside)
-                flush(below)
+                    walk(child, below, link, (headings or child.role == "header") and child.tag not in HEADINGS, inside, part, held)
+                flush(below, part, held)
             else:
-                walk(child, path, link or child.tag == "a", headings, inside)
+                walk(child, path, link or child.tag == "a", headings, inside, weak, box)
 
-    walk(tree, b"", False, False, id(tree) in starts)
-    flush(b"")
+    walk(tree, b"", False, False, id(tree) in starts, 0, 0)
+    flush(b"", 0, 0)
     return out
 
 
+def _linked(blocks: list[Block], by: str) -> set[int]:
+    """Numbers of the parts or boxes whose text is links for the most part."""
+    held: dict[int, list[int]] = {}
+    for b in blocks:
+        sums = held.setdefault(getattr(b, by), [0, 0])
+        sums[0] += len(b.text)
+        sums[1] += b.links
+    return {k for k, (size, links) in held.items() if 2 * links > size}
+
+
 @lru_cache(maxsize=4096)
-def _rules(text: str) -> list[str]:
-    return json.loads(text)
+def _rules(text: str) -> tuple[int, list[str]]:
+    return tuple(json.loads(text))
 
 
 def main_text(page: str | None, rules: str | None, constant: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     tree = parse(page)
-    path = _rules(rules) if rules else []
+    pages, path = _rules(rules) if rules else (1, [])
     if found := _contents(tree):
         blocks = blocks_of(tree, found)
-        kept = [text for place, text, _ in blocks if place not in constant]
-        if 2 * len(kept) < len(blocks) and 2 * sum(map(len, kept)) < sum(len(text) for _, text, _ in blocks):
-            kept = [text for _, text, _ in blocks]
-    else:  # link lists go too
+        menus, words = _linked(blocks, "weak"), Counter()
+        for b in blocks:
+            words[b.weak] += 0 if b.place in constant else len(b.text.split())
+        # a doubtful part stays for what it says of its own; alone on its host it must say a sentence
+        least = 1 if pages >= TEMPLATE_PAGES else SENTENCE
+        kept = [b for b in blocks if not b.weak or (b.weak not in menus and words[b.weak] >= least)]
+    else:
         at = _roots(tree, path[1:]) if len(path) > 1 else []
-        kept = [text for place, text, links in blocks_of(tree, at or [tree]) if 2 * links <= len(text) and place not in constant]
-    return "\n\n".join(kept)
+        kept = blocks_of(tree, at or [tree])
+        if not at or pages < TEMPLATE_PAGES:  # nothing tells slots from template, so boxes of links go
+            menus = _linked(kept, "box")
+            kept = [b for b in kept if b.box not in menus]
+    return "\n\n".join(b.text for b in kept if b.place not in constant)
+
+
+def heart_of(blocks: list[Block]) -> int | None:
+    """What a page is told from others by: its longest block of its own."""
+    own = [b for b in blocks if not b.weak and 2 * b.links <= len(b.text)]
+    return max(own, key=lambda b: (len(b.text), b.place)).place if own else None
 
 
 _FOLDED = "host string, page long, blocks array<long>, wrapper string"
@@ -383,12 +464,13 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wrappers: dict[str, list] = {}
     for batch in batches:
         hosts, pages, blocks = [], [], []
-        for host, page, number in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page"))):
+        for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
             if host and page:
                 tree = parse(page)
+                found = blocks_of(tree, _contents(tree) or [tree])
                 hosts.append(host)
-                pages.append(number)
-                blocks.append(list({place for place, _, _ in blocks_of(tree, _contents(tree) or [tree])}))
+                pages.append(heart_of(found))
+                blocks.append(list({b.place for b in found}))
                 made = fold(tree)
                 if host in wrappers:
                     join(wrappers[host], made)
@@ -424,7 +506,7 @@ def _merge(rules: bool):
 
 
 def _constants(pages: DataFrame) -> DataFrame:
-    """``host, constant``: hashes of the blocks that stand on most distinct pages of a host."""
+    """``host, constant``: hashes of the blocks that stand on most pages of a host, pages told apart by their longest block."""
     pages = pages.filter("page IS NOT NULL")
     many = pages.groupBy("host").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
     seen = pages.select("host", "page", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
@@ -434,7 +516,7 @@ def _constants(pages: DataFrame) -> DataFrame:
 
 def wrappers_of(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """``host, wrapper, constant``: the reading rules of every host."""
-    folded = scratch.write(pages.select("host", "html", F.xxhash64("html").alias("page")).mapInArrow(_fold_pages, _FOLDED), "folded")
+    folded = scratch.write(pages.select("host", "html").mapInArrow(_fold_pages, _FOLDED), "folded")
     salted = (folded.filter("wrapper IS NOT NULL").select("host", "wrapper")
               .withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))))
     once = salted.groupBy("host", "salt").applyInPandas(_merge(False), "host string, wrapper string")
