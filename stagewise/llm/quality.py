@@ -3,7 +3,10 @@
 Every text gets the base measures.  For each rule the failures are summed per host; over all
 hosts a beta prior is fitted to the rates by moments, and a host's rate is shrunk to
 ``(failures + alpha) / (texts + alpha + beta)``, so a host of few texts is judged mostly by
-what is usual.  A host is rejected when the shrunk rate of any rule is above ``MAX_RATE``.
+what is usual.  A host is rejected when, for any rule, its rate lies clearly above the usual one: the
+shrunk rate less ``DEVIATIONS`` of its posterior is still more than ``LIFT`` times the prior's mean
+(or, where failing is usual, more than halfway from that mean to one).  Where all hosts are alike no
+host is rejected, whatever their rate.
 
 Defined results: null and empty texts have no words and fail the base rule; a null host is a
 host of its own; rows without an id and repeated ids are measured row by row; an empty table
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from stagewise.llm.common import Scratch, grams, slices, words_of
 
 WINDOW = 5
-MAX_RATE = 0.5
+LIFT, DEVIATIONS = 2.0, 3.0
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -106,12 +109,16 @@ def host_rates(measured: DataFrame) -> DataFrame:
     """Per host: texts, shrunk rate of each rule, verdict."""
     fails = [F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *fails)
-    prior = hosts.agg(*[c for name in RULES for c in _prior(name)]).first()  # two numbers a rule
-    mean, strength = ({x: prior[f"{kind}_{x}"] or 0.0 for x in RULES} for kind in "ms")
-    rates = [((F.col(f"f_{x}") + F.lit(mean[x] * strength[x])) / (F.col("n") + F.lit(strength[x]))).alias(f"rate_{x}")
-             for x in RULES]
-    judged = hosts.select("host", "n", *rates)
-    return judged.withColumn("host_kept", F.greatest(*[F.col(f"rate_{x}") for x in RULES]) <= MAX_RATE)
+    # the prior is one row, read with each host and never by the driver
+    prior = hosts.agg(F.struct(*[c for name in RULES for c in _prior(name)]).alias("p")).scalar()
+    judged = hosts.select("host", "n", *[
+        ((F.col(f"f_{x}") + prior[f"m_{x}"] * prior[f"s_{x}"]) / (F.col("n") + prior[f"s_{x}"])).alias(f"rate_{x}") for x in RULES])
+    kept = F.lit(True)
+    for x in RULES:
+        rate, mean = F.col(f"rate_{x}"), prior[f"m_{x}"]
+        spread = F.sqrt(rate * (1 - rate) / (F.col("n") + prior[f"s_{x}"] + 1))
+        kept &= rate - DEVIATIONS * spread <= F.least(LIFT * mean, (1 + mean) / 2)
+    return judged.withColumn("host_kept", kept)
 
 
 def quality(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -151,11 +158,13 @@ def quality_sql() -> str:
         f"avg(f_{x} / n) AS m_{x}, greatest(1.0, least(1000.0, CASE WHEN var_pop(f_{x} / n) > avg(f_{x} / n) * (1 - avg(f_{x} / n)) * avg(1 / n) "
         f"THEN avg(f_{x} / n) * (1 - avg(f_{x} / n)) / (var_pop(f_{x} / n) - avg(f_{x} / n) * (1 - avg(f_{x} / n)) * avg(1 / n)) - 1 ELSE 1000.0 END)) AS s_{x}"
         for x in RULES)
-    worst = "greatest(" + ", ".join(f"(f_{x} + m_{x} * s_{x}) / (n + s_{x})" for x in RULES) + ")"
+    shrunk = ", ".join(f"(f_{x} + m_{x} * s_{x}) / (n + s_{x}) AS r_{x}" for x in RULES)
+    fine = " AND ".join(f"r_{x} - {DEVIATIONS} * sqrt(r_{x} * (1 - r_{x}) / (n + s_{x} + 1)) <= least({LIFT} * m_{x}, (1 + m_{x}) / 2)"
+                        for x in RULES)
     failed = "(" + " OR ".join(RULES[r] for r in BASE) + ")"
     return f"""WITH {_SQL_MEASURES},
 h AS (SELECT host, count(*) AS n, {fails} FROM m GROUP BY host), p AS (SELECT {prior} FROM h),
-v AS (SELECT host, {worst} <= {MAX_RATE} AS host_kept FROM h, p)
+u AS (SELECT *, {shrunk} FROM h, p), v AS (SELECT host, {fine} AS host_kept FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
        NOT {failed} AND host_kept AS kept
 FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host"""

@@ -109,3 +109,17 @@ def test_language_held_out(shipped):
 def test_counts_do_not_cross_texts(texts):
     together, alone = language.counts(texts), [language.counts([t])[0] for t in texts]
     assert all((a == b).all() for a, b in zip(together, alone))
+
+
+def test_a_host_is_judged_against_what_is_usual(documents):
+    """Four times the usual rate is rejected on many texts and not on few; where all are alike none is."""
+    good, bad = " ".join(words(1, 30)), "too short"
+    text = lambda i, every: bad if i % every == 0 else good
+    rows = [(i, text(i, 17), "en", f"h{i % 20}") for i in range(3000)]
+    rows += [(10_000 + i, text(i, 3), "en", "spam") for i in range(300)] + [(20_000 + i, text(i, 3), "en", "small") for i in range(6)]
+    kept = lambda rows: {r.doc_id for r in quality.quality(documents(rows)).collect() if r.kept}
+    got = kept(rows)
+    assert not any(i in got for i in range(10_000, 10_300)) and {20_001, 20_002, 20_004} <= got
+    assert {i for i in range(3000) if i % 17} <= got
+    alike = [(i, text(i // 8, 2), "en", f"h{i % 8}") for i in range(800)]
+    assert kept(alike) == {i for i in range(800) if (i // 8) % 2}
