@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,33 +25,36 @@ from stagewise.operators import checks
 from stagewise.plans.catalogue import run_catalogue
 from stagewise.plans.views import vw_week
 from stagewise.schemas import DIMENSIONS, FACT_TIME
-from stagewise.session import build_session
+from stagewise.session import build_session, workspace
+from stagewise.sources.checked import load_checked, reject_counts
 from stagewise.sources.ledger import Ledger
-from stagewise.sources.raw import load_csv, load_table, parse_time
 from stagewise.sources.serve import serve_files, serve_jdbc
 
 FUNNEL = "fact_funnel_event"
 
 
-def _typed(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A raw fact with typed times; unreadable times stop the load."""
-    good, bad = load_table(spark, path, table)
+def _typed(spark: SparkSession, path: str, table: str, rejects: str | None = None) -> DataFrame:
+    """A raw table under its types.  Rows that can not be taken stop the load; they are kept, with their reasons, in ``rejects``."""
+    good, bad = load_checked(spark, path, table)
+    rejects = rejects or f"{workspace(spark)}/rejects/{table}-{uuid.uuid4().hex}"
+    bad.write.mode("overwrite").parquet(rejects)
+    bad = spark.read.parquet(rejects)
     lost = bad.count()
     if lost:
-        raise LedgerError(f"{lost} rows of {path} have no readable time")
+        said = reject_counts(bad).orderBy(F.desc("rows"), "reason").limit(5).collect()
+        raise LedgerError(f"{lost} rows of {path} can not be taken: " + "; ".join(f"{r.reason} ({r.rows})" for r in said)
+                          + f"; all of them are in {rejects}")
     return good
 
 
 def load(spark: SparkSession, raw: str, root: str) -> Ledger:
     """Dimensions replaced, facts loaded with one commit per month, laid out by day."""
     ledger = Ledger(spark, root)
+    rows = lambda table: _typed(spark, f"{raw}/{table}", table, f"{root}/rejects/{table}")
     for table in DIMENSIONS:
-        ledger.overwrite(table, load_table(spark, f"{raw}/{table}", table)[0])
-    for table, ts in FACT_TIME.items():
-        # the load itself counts and refuses rows without a time, so the raw
-        # files are not read once more to look for them
-        rows = load_csv(spark, f"{raw}/{table}", table)
-        ledger.load_by_month(table, rows.withColumn(ts, parse_time(F.col(ts))))
+        ledger.overwrite(table, rows(table))
+    for table in FACT_TIME:
+        ledger.load_by_month(table, rows(table))
     return ledger
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagewise.schemas import TABLES
+from stagewise.schemas import FACT_TIME, TABLES
 from stagewise.sources.raw import parse_time
 
 RECORD = "broken_record"
@@ -78,6 +78,13 @@ def rejected_rows(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("reasons") > 0).select("raw.*", "reasons")
 
 
+def typed_rejects(checked: DataFrame, table: str) -> DataFrame:
+    """Rejected rows with what fields could be read, their time as it came, the raw fields and the reasons."""
+    ts = FACT_TIME.get(table)
+    rows = checked.filter(F.size("reasons") > 0)
+    return rows if ts is None else rows.withColumn(ts, F.col(f"raw.{ts}"))
+
+
 def load_checked(spark: SparkSession, path: str, table: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Good rows under the table's types, and the rejected ones; together they are all lines of the files."""
     checked = check_rows(read_text(spark, path, table, header), table)

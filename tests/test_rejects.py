@@ -54,3 +54,29 @@ def test_one_narrow_pass_without_python(spark, tmp_path):
     plan = load_checked(spark, str(tmp_path / "r"), FUNNEL)[1]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert read_text(spark, str(tmp_path / "r"), FUNNEL).select(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_a_load_stops_at_any_broken_field_and_says_why(spark, tmp_path):
+    import pytest
+
+    from stagewise import jobs
+    from stagewise.errors import LedgerError
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.csv").write_text(HEADER + "1,0,5,0,visit,2022-01-03\nx,0,5,0,visit,2022-01-03\n2,y,5,0,visit\n")
+    with pytest.raises(LedgerError, match="2 rows .* columns are missing: 5 of 6 .1.; date_key is not a whole number .1.; event_key is not a whole number"):
+        jobs._typed(spark, str(tmp_path / "r"), FUNNEL, str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+
+
+def test_a_stream_keeps_rejects_with_their_reasons(spark, tmp_path):
+    from stagewise.sources.ledger import Ledger
+    from stagewise.streaming.append import append_files
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.csv").write_text(HEADER + "1,0,5,0,visit,2022-01-03\n2,0,five,0,visit,2022-01-03\n3,0,5,0,visit,soon\n")
+    ledger = Ledger(spark, str(tmp_path / "t"))
+    append_files(ledger, FUNNEL, str(tmp_path / "r"), str(tmp_path / "cp"), "raw", str(tmp_path / "bad")).awaitTermination()
+    assert [r.event_key for r in ledger.read(FUNNEL).collect()] == [1]
+    got = {r.event_key: (r.customer_key, r.event_ts, r.reasons) for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert got == {2: (None, "2022-01-03", ["customer_key is not a whole number"]), 3: (5, "soon", ["event_ts is not a time"])}
