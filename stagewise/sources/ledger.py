@@ -453,10 +453,22 @@ class Ledger:
             raise LedgerError(f"commit of {line.table} at {_aware(at).isoformat()} is not after "
                               f"the one at {line.commits[-1].committed_at.isoformat()}")
 
+    def _tip(self, table: str, batch: str | None) -> Timeline:
+        """As much of a timeline as the next commit needs: the newest commit, the newest layout and the
+        commit of the batch, picked in Spark, so that a long stream does not bring its whole log here each time."""
+        records = self._records(table)
+        commits = records.filter(F.col("operation") != EVOLVE)
+        newest = commits.orderBy(F.desc("committed_at"), F.desc("snapshot_id")).limit(1)
+        shape = records.orderBy(F.desc("spec"), F.desc("layout")).limit(1)
+        wanted = newest.unionByName(shape)
+        if batch is not None:
+            wanted = wanted.unionByName(commits.filter(F.col("batch") == batch).limit(1))
+        return self._timelines([table], wanted.dropDuplicates(["snapshot_id", "operation", "spec"]))[table]
+
     def append(self, table: str, frame: DataFrame, committed_at: dt.datetime | None = None,
                batch: str | None = None, operation: str = "append") -> Commit:
         """One commit.  A ``batch`` that was committed before is not committed again."""
-        line = self.timeline(table)
+        line = self._tip(table, batch)
         done = next((c for c in line if batch is not None and c.batch == batch), None)
         if done:
             return done

@@ -275,3 +275,15 @@ def test_a_week_opens_only_its_files_without_trusting_keys(spark, tmp_path):
     assert held.timeline(FUNNEL).at().day_from_key is None
     assert held.timeline(FUNNEL).day_span([7]) is None
     assert funnel_snapshot(held.star(), 2026, 3).first().visit == 13
+
+
+def test_a_commit_reads_the_end_of_the_log_only(spark, tmp_path):
+    held = Ledger(spark, str(tmp_path))
+    for n in range(5):
+        held.append(FUNNEL, events(spark, (n, "lead", "2026-01-05T08:00:00")), at(f"2026-02-01T06:0{n}:00"), batch=f"b{n}")
+    held.evolve(FUNNEL, "month")
+    tip, line = held._tip(FUNNEL, "b1"), held.timeline(FUNNEL)
+    assert [c.batch for c in tip] == ["b1", "b4"] and tip.layout == line.layout and tip.commits[-1] == line.commits[-1]
+    assert held.append(FUNNEL, events(spark, (9, "lead", "2026-01-05T08:00:00")), batch="b1").snapshot_id == line.commits[1].snapshot_id
+    assert held.append(FUNNEL, events(spark, (9, "lead", "2026-01-05T08:00:00")), batch="b9").layout == "month"
+    assert len(held.timeline(FUNNEL)) == 6 and held.read(FUNNEL).count() == 6
