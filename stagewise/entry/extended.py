@@ -12,9 +12,10 @@ from stagewise.entry.oracle import EVENT_ROWS, EVENTS, EVERY_PAIR, PARENTS, comp
 from stagewise.entry.oracle import star as star_sql
 from stagewise.entry.published import fresh_folder, published
 from stagewise.functions.calendar import GRAINS
+from stagewise.operators import funnel, periods, rank, trends
 from stagewise.operators.asof import as_of_join
 from stagewise.operators.fingerprint import differing_keys, fingerprint
-from stagewise.operators.history import compare_as_of_all
+from stagewise.operators.history import compare_as_of, compare_as_of_all
 from stagewise.operators.leaders import top_product_periods
 from stagewise.operators.periods import period_changes_all
 from stagewise.operators.suspects import fk_suspects_all
@@ -157,6 +158,51 @@ COMPARE_AS_OF_ALL = f"""{EVENTS},
     FROM r LEFT JOIN t ON t.snapshot_id = r.id LEFT JOIN t w ON w.snapshot_id = 5 AND w.stage = t.stage"""
 
 
+# --- what answers say of themselves ---------------------------------------------------
+
+def _cited(name: str, answer: DataFrame) -> DataFrame:
+    """The sources and day ranges of an answer's rows; the moment it was computed is left out."""
+    p, days = F.col("provenance"), F.col("provenance.date_range")
+    lacks = p["calculation"].isNull() | p["as_of_date"].isNull() | (p["snapshot_committed_at"].isNull())
+    return answer.groupBy(p["snapshot_id"].alias("snapshot_ids"), F.array_join(p["source_tables"], ", ").alias("source_tables")).agg(
+        F.count_distinct(days["end"]).alias("day_ranges"), F.min(days["start"]).alias("first_day"), F.max(days["end"]).alias("last_day"),
+        F.min(days["prior_start"]).alias("prior_first_day"), F.max(days["prior_end"]).alias("prior_last_day"),
+        F.count_if(lacks).alias("incomplete")).withColumn("metric", F.lit(name))
+
+
+def answers_provenance(spark: SparkSession, root: str) -> DataFrame:
+    """One answer of each metric family over the stored tables, by what it cites."""
+    ledger = published(spark, root)
+    star = ledger.star()
+    answers = {
+        "funnel_yoy": funnel.funnel_yoy_all(star), "funnel_snapshot": funnel.funnel_snapshot_all(star),
+        "weekly_trend": trends.weekly_trend_all(star, "revenue"), "top_dimension": rank.top_dimension_all(star, "channel", "orders"),
+        "period_changes": periods.period_changes(star, "revenue", "week"), "daily_trend": trends.daily_trend_summary(star, "lead", 10),
+        "compare_as_of": compare_as_of(ledger, "2024-02-01", "lead"),
+        "compare_as_of_all": compare_as_of_all(ledger, spark.createDataFrame([("2024-02-01",), ("2024-02-02T06:00:00",)], "as_of string"))}
+    return reduce(DataFrame.unionByName, [_cited(name, answer) for name, answer in answers.items()])
+
+
+ANSWERS_PROVENANCE = f"""{EVENTS},
+    wf AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS w FROM e WHERE stage IS NOT NULL),
+    wo AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS w FROM e WHERE event_type = 'purchase'),
+    wb AS (SELECT w FROM wf UNION SELECT w FROM wo),
+    cw AS (SELECT min(date) AS a, max(date) AS b FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM first)
+           GROUP BY date_trunc('week', date)),
+    cp AS (SELECT a, b, lag(a) OVER (ORDER BY a) AS pa, lag(b) OVER (ORDER BY a) AS pb FROM cw),
+    ld AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM e WHERE stage = 'lead' ORDER BY d DESC LIMIT 10),
+    r(metric, snapshot_ids, source_tables, day_ranges, first_day, last_day, prior_first_day, prior_last_day) AS (
+      SELECT 'funnel_yoy', '5', 'fact_funnel_event, dim_date', count(*), min(w), max(w) + 6, CAST(NULL AS DATE), CAST(NULL AS DATE) FROM wf
+      UNION ALL SELECT 'funnel_snapshot', '5, 2', 'fact_funnel_event, fact_orders, dim_date', count(*), min(w), max(w) + 6, NULL, NULL FROM wb
+      UNION ALL SELECT 'weekly_trend', '2', 'fact_orders, dim_date', count(*), min(w), max(w) + 6, NULL, NULL FROM wo
+      UNION ALL SELECT 'top_dimension', '2', 'fact_orders, dim_date, dim_channel', count(*), min(w), max(w) + 6, NULL, NULL FROM wo
+      UNION ALL SELECT 'period_changes', '2', 'fact_orders, dim_date', count(*), min(a), max(b), min(pa), max(pb) FROM cp WHERE pa IS NOT NULL
+      UNION ALL SELECT 'daily_trend', '5', 'fact_funnel_event, dim_date', 1, min(d), max(d), NULL, NULL FROM ld
+      UNION ALL SELECT 'compare_as_of', '5', 'fact_funnel_event', 1, NULL, DATE '2024-02-01', NULL, NULL
+      UNION ALL SELECT 'compare_as_of_all', '5', 'fact_funnel_event', 2, NULL, DATE '2024-02-02', NULL, NULL)
+    SELECT *, 0 AS incomplete FROM r"""
+
+
 # --- all grains, stored layouts, filters, copies --------------------------------------
 
 def _plain(build: Callable[[Star], DataFrame]) -> Query:
@@ -249,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "stream_unique_events": stream_unique_events,
     "as_of_sorted": as_of_sorted,
     "compare_as_of_all": compare_as_of_every,
+    "answers_provenance": answers_provenance,
     "period_changes_all": _plain(lambda star: period_changes_all(star, "orders")),
     "bucketed_order_lines": bucketed_order_lines,
     "top_product_periods": _plain(top_product_periods),
@@ -262,6 +309,7 @@ SQL: dict[str, str] = {
     "stream_unique_events": f"{EVENTS} {EVENT_ROWS}",
     "as_of_sorted": AS_OF_SORTED,
     "compare_as_of_all": COMPARE_AS_OF_ALL,
+    "answers_provenance": ANSWERS_PROVENANCE,
     "period_changes_all": _changes_sql(),
     "bucketed_order_lines": metrics()["order_line_totals"],
     "top_product_periods": LEADERS,

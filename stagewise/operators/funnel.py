@@ -169,8 +169,8 @@ def _fallen(star: Star, counts: DataFrame, threshold: float,
                 "previous_week", "kind", "name", "label", "current", "previous", "change_pct",
                 _message().alias("message"),
                 provenance(star.snapshots, [FUNNEL, ORDERS], ["dim_date"],
-                           "stage counts and conversion rates against the week before; listed "
-                           f"when 100 * (current - previous) / previous <= -{threshold:g}",
+                           "each figure of a week, a count or a ratio of counts, beside the same figure seven "
+                           f"days earlier; a row where it lost {threshold:g} % or more of that",
                            start, F.date_add(start, 6), F.date_sub(start, 7),
                            F.date_sub(start, 1), now=now)))
 
