@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -351,6 +353,60 @@ def _key(field: Field | None) -> str:
 
 
 _HASHES = 1 << 53
+#: Phrases round a secret that no base pattern knows; the name may be missing.
+FRAMES = ("my {name} is {value} and", "{name} {value}", "use {name} {value} for this", "({value})", "{value}", "with {value} as {name}")
+_CUES = ("password", "key", "token", "secret", "bearer", "auth", "credential")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+NEGATIVES = 120  # texts that ordinary odd tokens are put into
+AROUND = 160  # characters of context kept on each side
+
+
+def ordinary(text: str) -> tuple[str, list[Span]]:
+    """Words of a text with odd tokens in between that are no secrets: figures, times, mail and page addresses, short names."""
+    words = text.split()[:60]
+    if not words:
+        return "", []
+    draw = random.Random(zlib.crc32(text[:400].encode()))
+    some = lambda: re.sub(r"[^A-Za-z]", "", draw.choice(words)).lower()[:9] or "x"
+    n = lambda digits: str(draw.randint(10 ** (digits - 1), 10**digits - 1))
+    made = []
+    for w in words:
+        made.append(w)
+        if draw.random() < 0.3:
+            made.append(draw.choice([
+                f"{n(1)}.{n(2)}.{n(1)}", f"{n(2)}:{n(2)}", f"{n(2)}.{n(2)}.{n(4)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(3)},{n(3)}", f"({n(3)})-{n(4)}",
+                f"{some()}{n(draw.randint(1, 3))}", f"{some()[:3]}{n(2)}_{n(2)}", f"{some()}.{some()}@{some()}.{some()[:3]}", f"{some()}=1",
+                f"https://{some()}.{some()}.{some()[:3]}/{some()}/{some()}{n(2)}?{some()[:2]}={n(2)}", f"/{some()}/{some()}_{some()}.{some()[:3]}",
+                f"{some()}-{some()}-{some()}-{some()}", f"{n(1)}{some()[:2]}", f"{some()}_{some()}_{n(4)}"]))
+    made = " ".join(made)
+    return made, base_spans(made)
+
+
+def varied(text: str, spans: list[Span], each: int = 3) -> list[tuple[str, list[Span]]]:
+    """The base matches of a text again in other words: their names masked or moved into a phrase, their
+    alphabet mixed, a short type in front.  What the field then learns by is shape and neighbours."""
+    out = []
+    for a, b, kind in spans:
+        value = _ASSIGN.fullmatch(text, a, b)[2] if kind == 0 else text[a:b]
+        if len(value) < 8:
+            continue
+        left, right = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        left, right = left[left.find(" ") + 1 :] if a > AROUND else left, right[: right.rfind(" ") + 1] if len(right) == AROUND else right
+        draw = random.Random(zlib.crc32(f"{value}{a}".encode()))
+        for _ in range(each):
+            long = draw.randint(10, 40)
+            own = value if draw.random() < 0.3 else "".join(draw.choice(_ALPHABET) for _ in range(long))
+            if not any(map(str.isdigit, own)):
+                own += str(draw.randint(10, 99))
+            if draw.random() < 0.3:
+                own = "".join(draw.choice(_ALPHABET[:26]) for _ in range(draw.randint(2, 4))) + draw.choice("_-") + own
+            frame = draw.choice(FRAMES).format(name=draw.choice(_CUES), value="\0")
+            before, after = frame.split("\0")
+            made = f"{left.rstrip()} {before}{own}{after} {right.lstrip()}"
+            at = len(left.rstrip()) + 1 + len(before)
+            hit = (at, at + len(own), 3)
+            out.append((made, sorted([hit, *[s for s in base_spans(made) if s[1] <= at or s[0] >= hit[1]]])))
+    return out
 
 
 def fit(docs: DataFrame) -> Field | None:
@@ -374,7 +430,7 @@ def fit(docs: DataFrame) -> Field | None:
     examples = [(t, base_spans(t)) for t in dict.fromkeys(chosen)]
     if not any(spans for _, spans in examples):
         return None
-    return train(examples)
+    return train([*examples, *(made for text, spans in examples for made in varied(text, spans)), *(ordinary(t) for t, _ in examples[-NEGATIVES:])])
 
 
 def _scan(field: Field | None):
