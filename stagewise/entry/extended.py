@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.entry.oracle import EVENT_ROWS, EVENTS, EVERY_PAIR, PARENTS, compared, metrics, rounded, star_with
+from stagewise.entry.oracle import EVENT_ROWS, EVENTS, EVERY_PAIR, PARENTS, SNAPSHOTS, compared, metrics, rounded, star_with
+from stagewise.entry.oracle import change as change_sql
 from stagewise.entry.oracle import star as star_sql
 from stagewise.entry.published import fresh_folder, published
 from stagewise.functions.calendar import GRAINS
@@ -289,6 +290,18 @@ LEADERS = star_with("""
     SELECT grain, period, CAST(rank AS INTEGER) AS rank, name, {rounded("amount", 2)} AS value FROM r WHERE rank <= 5""")
 
 
+ANOMALY_REPORT = star_with(f"""{SNAPSHOTS.strip()},
+    x AS (SELECT printf('%d-W%02d', c.iso_year, c.iso_week) AS current_week, c.kind, c.name,
+                 CASE WHEN p.iso_year IS NOT NULL THEN printf('%d-W%02d', p.iso_year, p.iso_week) END AS previous_week,
+                 {change_sql('c.value', 'p.value')} AS change_pct
+          FROM figures c LEFT JOIN figures p ON p.kind = c.kind AND p.name = c.name AND p.week_start_date + 7 = c.week_start_date),
+    w AS (SELECT current_week, max(previous_week) AS previous_week, count(*) FILTER (change_pct <= -20) AS fallen,
+                 min({{'c': change_pct, 'k': kind, 'n': name}}) FILTER (change_pct <= -20) AS worst FROM x GROUP BY current_week)""", """
+    SELECT current_week, previous_week, fallen, worst.n AS steepest, worst.c AS steepest_change_pct,
+           CASE WHEN previous_week IS NULL THEN 'no events the week before, so nothing to set it against'
+                WHEN fallen = 0 THEN 'no figure lost 20 % or more' END AS reason FROM w""")
+
+
 QUERIES: dict[str, Query] = {
     "csv_rejects": csv_rejects,
     "stream_daily_stages": stream_daily_stages,
@@ -296,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "as_of_sorted": as_of_sorted,
     "compare_as_of_all": compare_as_of_every,
     "answers_provenance": answers_provenance,
+    "funnel_anomaly_report": _plain(funnel.funnel_anomaly_report),
     "period_changes_all": _plain(lambda star: period_changes_all(star, "orders")),
     "bucketed_order_lines": bucketed_order_lines,
     "top_product_periods": _plain(top_product_periods),
@@ -310,6 +324,7 @@ SQL: dict[str, str] = {
     "as_of_sorted": AS_OF_SORTED,
     "compare_as_of_all": COMPARE_AS_OF_ALL,
     "answers_provenance": ANSWERS_PROVENANCE,
+    "funnel_anomaly_report": ANOMALY_REPORT,
     "period_changes_all": _changes_sql(),
     "bucketed_order_lines": metrics()["order_line_totals"],
     "top_product_periods": LEADERS,

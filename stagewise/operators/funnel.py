@@ -181,6 +181,29 @@ def funnel_anomalies_all(star: Star, threshold_pct: float | None = None,
     return _fallen(star, _counts(star), _threshold(threshold_pct), now)
 
 
+def funnel_anomaly_report(star: Star, threshold_pct: float | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """One row per week whatever happened: how many figures fell, the steepest of them, and the reason if none is named."""
+    threshold = _threshold(threshold_pct)
+    current = _figures(_counts(star))
+    label = week_label(F.col("iso_year"), F.col("iso_week"))
+    before = current.select(F.date_add("week_start_date", 7).alias("week_start_date"), label.alias("previous_week"), "kind", "name",
+                            F.col("current").alias("previous"))
+    both = (current.withColumn("current_week", label).join(before, ["week_start_date", "kind", "name"], "left")
+            .withColumn("change_pct", change(F.col("current"), F.col("previous"))))
+    fell = F.col("change_pct") <= -threshold
+    steepest = F.min(F.when(fell, F.struct("change_pct", "kind", "name")))
+    weeks = both.groupBy("week_start_date", "current_week").agg(
+        F.max("previous_week").alias("previous_week"), F.count_if(fell).alias("fallen"), steepest.alias("worst"))
+    start = F.col("week_start_date")
+    return weeks.select(
+        "current_week", "previous_week", "fallen", F.col("worst.name").alias("steepest"), F.col("worst.change_pct").alias("steepest_change_pct"),
+        F.when(F.col("previous_week").isNull(), "no events the week before, so nothing to set it against")
+        .when(F.col("fallen") == 0, f"no figure lost {threshold:g} % or more").alias("reason"),
+        provenance(star.snapshots, [FUNNEL, ORDERS], ["dim_date"],
+                   f"figures of a week that lost {threshold:g} % or more of what they were seven days earlier, counted",
+                   start, F.date_add(start, 6), F.date_sub(start, 7), F.date_sub(start, 1), now=now))
+
+
 def _threshold(value: float | None) -> float:
     return abs(float(ANOMALY_THRESHOLD if value is None else value))
 

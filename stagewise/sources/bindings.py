@@ -5,8 +5,8 @@ visit, accepted ones are leads, finished ones opportunities) with order lines as
 the order fact.  ``event_star`` reads the click stream, which has a real time of
 day; its purchases are the order fact.
 
-The only job run here finds the first day of the fact, so that date keys need no join;
-the calendar takes its span from the fact whenever it is read.
+The only job run here finds the first and the last day of the fact: date keys then need no join,
+and the calendar is made of both without reading the fact again.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.functions.calendar import calendar_of
-from stagewise.schemas import MONEY
+from stagewise.functions.calendar import calendar
+from stagewise.schemas import DIM_DATE, MONEY
 from stagewise.session import use_utc
 from stagewise.star import Star
 
@@ -46,8 +46,8 @@ def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
     return use_utc(spark).read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
-def _first_day(frame: DataFrame, column: str) -> dt.date:
-    return frame.agg(F.to_date(F.min(column))).first()[0]
+def _span(frame: DataFrame, column: str) -> tuple[dt.date | None, dt.date | None]:
+    return tuple(frame.agg(F.to_date(F.min(column)), F.to_date(F.max(column))).first())
 
 
 def _date_key(ts: Column, first: dt.date) -> Column:
@@ -89,9 +89,10 @@ def _products(spark: SparkSession, root: str) -> DataFrame:
         F.col("p_retailprice").alias("unit_price"))
 
 
-def _star(spark: SparkSession, root: str, times: DataFrame, narrow: dict | None = None,
+def _star(spark: SparkSession, root: str, span: tuple[dt.date | None, dt.date | None], narrow: dict | None = None,
           **facts: Callable[[], DataFrame]) -> Star:
-    return Star(narrow=narrow, dim_date=partial(calendar_of, times),
+    days = partial(calendar, spark, *span) if None not in span else partial(spark.createDataFrame, [], DIM_DATE)
+    return Star(narrow=narrow, dim_date=days,
                 dim_customer=partial(_customers, spark, root),
                 dim_channel=partial(_channels, spark, root),
                 dim_product=partial(_products, spark, root), **facts)
@@ -133,7 +134,7 @@ def _order_lines(orders: DataFrame, lineitem: DataFrame, first: dt.date) -> Data
 
 def orders_star(spark: SparkSession, root: str) -> Star:
     orders = read_source(spark, root, "orders")
-    first = _first_day(orders, "o_orderdate")
+    first, last = _span(orders, "o_orderdate")
 
     def lines(of: DataFrame) -> DataFrame:
         return _order_lines(of, read_source(spark, root, "lineitem"), first)
@@ -147,7 +148,7 @@ def orders_star(spark: SparkSession, root: str) -> Star:
         inside = (ts >= start + dt.timedelta(days=min(keys))) & (ts < start + dt.timedelta(days=max(keys) + 1))
         return orders.filter(inside & _date_key(ts, first).isin(*keys))
 
-    return _star(spark, root, orders.select("o_orderdate"),
+    return _star(spark, root, (first, last),
                  {"fact_funnel_event": lambda keys: _order_funnel(on(keys), first),
                   "fact_orders": lambda keys: lines(on(keys))},
                  fact_funnel_event=lambda: _order_funnel(orders, first),
@@ -185,7 +186,7 @@ def _event_purchases(events: DataFrame, first: dt.date) -> DataFrame:
 
 def event_star(spark: SparkSession, root: str) -> Star:
     events = read_source(spark, root, "events")
-    first = _first_day(events, "ts")
-    return _star(spark, root, events.select("ts"),
+    first, last = _span(events, "ts")
+    return _star(spark, root, (first, last),
                  fact_funnel_event=lambda: _event_funnel(events, first),
                  fact_orders=lambda: _event_purchases(events, first))

@@ -44,6 +44,22 @@ def test_all_grains_read_the_fact_once(spark, tmp_path, star):
     assert one.count("FileScan parquet") == 1 and "Expand" in one
 
 
+# --- every week's answer ---------------------------------------------------------
+
+def test_the_report_has_a_row_for_each_week_and_a_reason_for_each_empty_one(spark):
+    from stagewise.operators import funnel
+
+    days = [("2026-01-05", "visit", 100), ("2026-01-12", "visit", 60), ("2026-01-19", "visit", 59), ("2026-02-02", "visit", 10)]
+    star = make_star(spark, "2026-01-05", "2026-02-08", events=days)
+    got = {r.current_week: r for r in funnel.funnel_anomaly_report(star).collect()}
+    assert {w: (r.fallen, r.steepest, r.steepest_change_pct) for w, r in got.items()} == {
+        "2026-W02": (0, None, None), "2026-W03": (1, "visit", -40.0), "2026-W04": (0, None, None), "2026-W06": (0, None, None)}
+    assert got["2026-W02"].reason == got["2026-W06"].reason == "no events the week before, so nothing to set it against"
+    assert got["2026-W04"].reason == "no figure lost 20 % or more" and got["2026-W03"].reason is None
+    listed = funnel.funnel_anomalies_all(star).collect()
+    assert len(listed) == sum(r.fallen for r in got.values()) and str(got["2026-W03"].provenance.date_range.prior_start) == "2026-01-05"
+
+
 # --- buckets --------------------------------------------------------------------
 
 def test_a_join_of_bucketed_tables_moves_no_rows(spark):
