@@ -134,6 +134,8 @@ def _emissions(near: np.ndarray, slots: np.ndarray, place: np.ndarray, file: np.
 
 def train(examples: list[tuple[str, list[Span]]], window: int = 3, turns: int = 150, rate: float = 0.15, ridge: float = 0.02) -> Field:
     """Gradient ascent with adapted steps on the penalised likelihood of windows around spans and other odd tokens."""
+    if isinstance(examples, Sample):
+        examples = examples.widened()
     tables: dict[str, tuple[int, ...]] = {}
     runs = []
     for text, spans in examples:
@@ -409,6 +411,13 @@ def varied(text: str, spans: list[Span], each: int = 3) -> list[tuple[str, list[
     return out
 
 
+class Sample(list):
+    """Examples drawn from documents, whose labels are the base patterns alone: training adds what these cannot show."""
+
+    def widened(self) -> list[tuple[str, list[Span]]]:
+        return [*self, *(made for text, spans in self for made in varied(text, spans)), *(ordinary(t) for t, _ in self[-NEGATIVES:])]
+
+
 def fit(docs: DataFrame) -> Field | None:
     """A field from a bounded sample: about ``MAX_TRAIN`` texts with a base match, and as many without,
     none of them of 20,000 characters or more."""
@@ -430,7 +439,7 @@ def fit(docs: DataFrame) -> Field | None:
     examples = [(t, base_spans(t)) for t in dict.fromkeys(chosen)]
     if not any(spans for _, spans in examples):
         return None
-    return train([*examples, *(made for text, spans in examples for made in varied(text, spans)), *(ordinary(t) for t, _ in examples[-NEGATIVES:])])
+    return train(Sample(examples))
 
 
 def _scan(field: Field | None):
