@@ -26,7 +26,7 @@ from stagewise.sources.bindings import event_star, orders_star, read_source
 from stagewise.sources.buckets import buckets_for, store_bucketed
 from stagewise.sources.checked import check_rows, read_text
 from stagewise.sources.raw import write_csv
-from stagewise.sources.serve import serve_files, served_files
+from stagewise.sources.serve import serve_files_watched, served_files
 from stagewise.star import Star
 from stagewise.streaming.daily import daily_counts, refused_counts, stream_daily
 from stagewise.streaming.unique import stream_unique, unique_events
@@ -247,11 +247,11 @@ def serve_fingerprint(spark: SparkSession, root: str) -> DataFrame:
     """A serving copy against its source, and a changed copy with the keys that differ by kind."""
     star = orders_star(use_utc(spark), root)
     path = fresh_folder(spark, "copied")
-    serve_files(star, path)
+    source = serve_files_watched(star, path)
     copy = served_files(spark, path)
-    sides = [fingerprint(s.table(t).select(*TABLES[t].fieldNames())).withColumn("table_name", F.lit(t)) for s in (star, copy) for t in TABLES]
+    sides = [fingerprint(copy.table(t).select(*TABLES[t].fieldNames())).withColumn("table_name", F.lit(t)) for t in TABLES]
     alike = F.count_distinct("rows", "one", "two") == 1
-    whole = (reduce(DataFrame.unionByName, sides).groupBy("table_name")
+    whole = (reduce(DataFrame.unionByName, sides, source).groupBy("table_name")
              .agg(F.when(alike, "same").otherwise("differs").alias("finding"), F.max("rows").alias("keys"))
              .withColumn("first_key", F.lit(None).cast("long")))
     key = F.col("customer_key")

@@ -5,13 +5,16 @@ range is described by its number of rows and the sums of both hashes, which do n
 order rows come in and count repeated rows as often as they occur.  Only these sums are shuffled.
 Ranges that agree are done; those that differ are cut further, and what is left at the end, a few
 rows around each difference, is joined by key to name the keys.
+
+A table that is being written tells its fingerprint on the way (``watched``): what took a join to
+make is then not made a second time only to be compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Each step cuts a range into so many.
@@ -21,12 +24,17 @@ FEW = 500_000
 _SUM = "decimal(38,0)"
 
 
-def _hashed(frame: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Key columns, place of the key, and two hashes of the row.  A null is told from a value beside it."""
+def _hashes(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two hashes of a row.  A null is told from a value beside it."""
     known = [F.col(c).isNull() for c in columns]
     values = [F.col(c) for c in columns]
-    return frame.select(*key, F.xxhash64(*key).alias("fp_place"), F.xxhash64(*values, *known).alias("fp_one"),
-                        F.xxhash64(F.lit("other"), *reversed(values), *known).alias("fp_two"))
+    return F.xxhash64(*values, *known), F.xxhash64(F.lit("other"), *reversed(values), *known)
+
+
+def _hashed(frame: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Key columns, place of the key, and two hashes of the row."""
+    one, two = _hashes(columns)
+    return frame.select(*key, F.xxhash64(*key).alias("fp_place"), one.alias("fp_one"), two.alias("fp_two"))
 
 
 def _range(step: int) -> Column:
@@ -56,9 +64,10 @@ def differing_keys(left: DataFrame, right: DataFrame, key: Sequence[str], column
     first = [r.fp_range for r in unlike_ranges(one, two, 0).collect()]  # FAN numbers at most
     one, two = (rows.filter(_range(0).isin(first)) if first else rows.limit(0) for rows in (one, two))
     if first:
-        finer = unlike_ranges(one, two, 1)
-        if finer.count() <= FEW:
-            one, two = (rows.withColumn("fp_range", _range(1)).join(F.broadcast(finer), "fp_range", "left_semi").drop("fp_range")
+        finer = unlike_ranges(one, two, 1).limit(FEW + 1).toArrow()  # one number a range, found once
+        if finer.num_rows <= FEW:
+            ranges = F.broadcast(left.sparkSession.createDataFrame(finer))
+            one, two = (rows.withColumn("fp_range", _range(1)).join(ranges, "fp_range", "left_semi").drop("fp_range")
                         for rows in (one, two))
     sides = []
     for name, rows in (("left", one), ("right", two)):
@@ -76,9 +85,17 @@ def differing_keys(left: DataFrame, right: DataFrame, key: Sequence[str], column
                                       count("right").alias("right_rows"), kind.alias("difference"))
 
 
+def _totals(columns: Sequence[str]) -> list[Column]:
+    one, two = (F.coalesce(F.sum(h.cast(_SUM)), F.lit(0)).cast("string") for h in _hashes(columns))
+    return [F.count(F.lit(1)).alias("rows"), one.alias("one"), two.alias("two")]
+
+
 def fingerprint(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row ``rows, one, two`` that two tables share exactly when they hold the same rows, whatever the order."""
-    columns = list(columns or frame.columns)
-    rows = _hashed(frame, columns[:1], columns)
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("fp_one").cast(_SUM)), F.lit(0)).cast("string").alias("one"),
-                    F.coalesce(F.sum(F.col("fp_two").cast(_SUM)), F.lit(0)).cast("string").alias("two"))
+    return frame.agg(*_totals(list(columns or frame.columns)))
+
+
+def watched(frame: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
+    """The same rows, and the fingerprint of those that pass, known after the one write they are put to."""
+    seen = Observation()
+    return frame.observe(seen, *_totals(list(columns or frame.columns))), seen

@@ -6,7 +6,8 @@ the order fact.  ``event_star`` reads the click stream, which has a real time of
 day; its purchases are the order fact.
 
 The only job run here finds the first and the last day of the fact: date keys then need no join,
-and the calendar is made of both without reading the fact again.
+and the calendar is made of both without reading the fact again.  Where finished orders are too many
+to be broadcast, one more finds the ends of their keys, when order lines are first asked for.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions.calendar import calendar
+from stagewise.operators.suspects import key_filter
 from stagewise.schemas import DIM_DATE, MONEY
 from stagewise.session import use_utc
 from stagewise.star import Star
@@ -46,8 +48,13 @@ def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
     return use_utc(spark).read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
-def _span(frame: DataFrame, column: str) -> tuple[dt.date | None, dt.date | None]:
-    return tuple(frame.agg(F.to_date(F.min(column)), F.to_date(F.max(column))).first())
+#: Beyond so many finished orders, lines of others are told by bits before they are moved to the join.
+MANY_ORDERS = 1_000_000
+
+
+def _span(frame: DataFrame, column: str, *more: Column) -> tuple:
+    """The first and the last day, and further aggregates of the same read."""
+    return tuple(frame.agg(F.to_date(F.min(column)), F.to_date(F.max(column)), *more).first())
 
 
 def _date_key(ts: Column, first: dt.date) -> Column:
@@ -134,11 +141,19 @@ def _order_lines(orders: DataFrame, lineitem: DataFrame, first: dt.date) -> Data
 
 def orders_star(spark: SparkSession, root: str) -> Star:
     orders = read_source(spark, root, "orders")
-    first, last = _span(orders, "o_orderdate")
+    finished = F.col("o_orderstatus") == "F"
+    first, last, won = _span(orders, "o_orderdate", F.count_if(finished))
 
     def lines(of: DataFrame) -> DataFrame:
         return _order_lines(of, read_source(spark, root, "lineitem"), first)
 
+    def every_line() -> DataFrame:
+        """Shared bits let lines of other orders pass; the join drops them."""
+        lineitem = read_source(spark, root, "lineitem")
+        if won > MANY_ORDERS:
+            lineitem = lineitem.filter(~key_filter(orders.filter(finished), "o_orderkey").clear(F.col("l_orderkey")))
+        return _order_lines(orders, lineitem, first)
+
     def on(keys: Collection[int]) -> DataFrame:
         """Orders of some days: a filter on the stored time, which the scan can use."""
         start = F.lit(dt.datetime.combine(first, dt.time.min)).cast("timestamp_ntz")
@@ -152,7 +167,7 @@ def orders_star(spark: SparkSession, root: str) -> Star:
                  {"fact_funnel_event": lambda keys: _order_funnel(on(keys), first),
                   "fact_orders": lambda keys: lines(on(keys))},
                  fact_funnel_event=lambda: _order_funnel(orders, first),
-                 fact_orders=lambda: lines(orders))
+                 fact_orders=every_line)
 
 
 # event type -> funnel stage

@@ -3,12 +3,16 @@
 import random
 from collections import defaultdict
 from decimal import Decimal
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from stagewise.entry import extended
 from stagewise.functions.calendar import GRAINS
 from stagewise.operators import checks, fingerprint, leaders, periods, suspects
+from stagewise.schemas import TABLES
+from stagewise.sources import bindings, serve
 from stagewise.sources.buckets import buckets_for, store_bucketed
 from tests.conftest import make_star
 
@@ -208,3 +212,70 @@ def test_nulls_and_neighbours_are_told_apart(spark):
     prints = [fingerprint.fingerprint(spark.createDataFrame([row], "a string, b string")).first() for row in
               (("x", None), (None, "x"), ("x", ""), ("", "x"), ("", None), (None, None))]
     assert len(set(prints)) == 6
+
+
+def test_named_keys_do_not_look_for_the_ranges_again(spark):
+    rows = [(i, f"n{i}", i / 3) for i in range(5000)]
+    found = fingerprint.differing_keys(spark.createDataFrame(rows, COPY), spark.createDataFrame(rows[1:], COPY), ["k"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # a side each, none by range
+
+
+def _compared(source, copy):
+    seen = {r.table_name: (r.rows, r.one, r.two) for r in source.collect()}
+    return {t: seen[t] == tuple(fingerprint.fingerprint(copy.table(t).select(*TABLES[t].fieldNames())).first()) for t in TABLES}
+
+
+def test_a_table_written_tells_its_fingerprint(spark, tmp_path, star):
+    path = str(tmp_path / "copy")
+    source = serve.serve_files_watched(star.with_tables(fact_funnel_event=star.fact_funnel_event.limit(0)), path)
+    assert _compared(source, serve.served_files(spark, path)) == dict.fromkeys(TABLES, True)
+    assert [tuple(r) for r in source.filter("table_name = 'fact_funnel_event'").collect()] == [("fact_funnel_event", 0, "0", "0")]
+    star.dim_customer.limit(1).select(*TABLES["dim_customer"].fieldNames()).write.mode("append").parquet(f"{path}/dim_customer")
+    assert _compared(source, serve.served_files(spark, path)) == dict.fromkeys(TABLES, True) | {"dim_customer": False}
+
+
+def test_a_copy_is_compared_with_the_rows_that_were_written(spark, monkeypatch):
+    """Lines that carry the time they were made at show that they are made once."""
+    made = extended.orders_star
+    monkeypatch.setattr(extended, "orders_star", lambda *a: (lambda s: s.with_tables(
+        fact_orders=s.fact_orders.withColumn("order_ts", F.current_timestamp())))(made(*a)))
+    found = {r.table_name: r.finding for r in extended.serve_fingerprint(spark, "/root/testdata/sf0.001").collect() if r.first_key is None}
+    assert found == dict.fromkeys(TABLES, "same")
+
+
+def _moved(frame) -> list[int]:
+    """Rows each exchange of the plan of ``frame`` wrote, after running it."""
+    query = frame._jdf.queryExecution()
+    query.toRdd().count()
+    found, todo = [], [query.executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if kind == "ShuffleExchangeExec":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("span", [suspects.SPAN, 64])
+def test_only_lines_of_finished_orders_are_moved(spark, monkeypatch, span):
+    root, shared = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    plain = fingerprint.fingerprint(bindings.orders_star(spark, root).fact_orders).first()
+    monkeypatch.setattr(bindings, "MANY_ORDERS", 0)
+    monkeypatch.setattr(bindings, "key_filter", partial(suspects.key_filter, span=span))
+    before = spark.conf.get(shared)
+    spark.conf.set(shared, "-1")
+    try:
+        lines = bindings.orders_star(spark, root).fact_orders
+        assert fingerprint.fingerprint(lines).first() == plain
+        every = bindings.read_source(spark, root, "lineitem").count()
+        assert _moved(lines)[-1] == plain.rows if span == suspects.SPAN else plain.rows <= _moved(lines)[-1] <= every
+    finally:
+        spark.conf.set(shared, before)
