@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import Scratch, slices
-from stagewise.llm.encode import encoder
+from stagewise.llm.encode import TEXT_BYTES, encoder
 
 LANES = 2048
 BITS = 20  # of the sum of a table's frequencies
@@ -178,10 +178,10 @@ _FILES = "part int, segment int, first_token long, n_tokens long, n_docs long, d
 
 
 def _writer(path: str, end_id: int):
-    closing = np.array([end_id], "<u4").tobytes()
+    closing = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = encoder(path).flat
         part, segment, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
@@ -191,10 +191,11 @@ def _writer(path: str, end_id: int):
                  pa.array([encode_segment(held)], pa.binary())],
                 ["part", "segment", "first_token", "n_tokens", "n_docs", "data"])
 
-        for batch, texts in slices(batches):
-            ids = encode([t.decode("utf-8") for t in texts])
-            for doc, own in zip(batch.column("doc_id").to_pylist(), ids):
-                tokens = np.frombuffer(own + closing, "<u4")
+        for batch, texts in slices(batches, most=TEXT_BYTES):
+            ids, ends = encode(texts)
+            at = 0
+            for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
+                tokens, at = np.append(ids[at:end], closing), end
                 held.append((0 if doc is None else doc, doc is None, tokens))
                 size += len(tokens)
                 if size >= SEGMENT_TOKENS:

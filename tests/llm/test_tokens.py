@@ -45,6 +45,60 @@ def test_any_text_is_encoded_as_by_the_library(text):
     assert np.frombuffer(encode.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+_PARTS = [*"abzAMSTZ'.,-!<|>019 \n\t\r\x0b\x1c\x00", *"éÉßÀÞþ×÷ÿªºµÄöẞİıΣςЖŒ漢한½", "\u0300", "\u0307", "\u0331", "\u0338",
+          "\u00a0", "\u2028", "\u093c", "\u0958", "\u212b", "'LL", "don't", "e.g.", "<|endoftext|>", "<|ENDOFTEXT|>"]
+_CALM = [x for x in _PARTS if "<" not in x and "|" not in x and not "\u0300" <= x <= "\u037f"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PARTS), max_size=30) | st.lists(st.sampled_from(_CALM), max_size=30), max_size=5))
+def test_pieces_end_where_the_tokens_of_the_library_end(parts):
+    from tokenizers import Tokenizer
+
+    global _both
+    try:
+        tokenizer, encode = _both
+    except NameError:
+        tokenizer, encode = _both = Tokenizer.from_file(tokenizer_file()), Encoder(tokenizer_file())
+    texts = ["".join(x) for x in parts]
+    ids, ends = encode.flat([t.encode() for t in texts])
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in want for i in x]
+    assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
+class _Counted:
+    """A tokenizer that keeps what it is sent."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def encode_batch_fast(self, lines, **options):
+        self.calls.append(list(lines))
+        return self.tokenizer.encode_batch_fast(lines, **options)
+
+
+def test_the_library_gets_each_piece_once_and_a_bounded_call_at_a_time():
+    encode = Encoder(tokenizer_file())
+    encode.tokenizer = _Counted(encode.tokenizer)
+    many = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(9000)]
+    text = " ".join(f"{w} {w}. {w.title()}, {w.upper()}!" for w in many)
+    ids = encode.ids([text])[0]
+    calls = encode.tokenizer.calls
+    sent = [w for call in calls for line in call for w in line.split(" ")]
+    assert len(sent) == len(set(sent)) == len(many) + 3
+    assert max(len(call) for call in calls) <= 20
+    assert max(len(line.split(" ")) for call in calls for line in call) <= 200
+    assert encode.ids([text])[0] == ids and len(encode.tokenizer.calls) == len(calls)
+
+
+def test_long_pieces_are_not_remembered():
+    encode = Encoder(tokenizer_file())
+    encode.ids(["A1" * 5000 + " short"])
+    assert "short" in encode.new
+    assert max(map(len, [*encode.new, *encode.old])) <= 64
+
+
 def test_memory_of_words_is_bounded(plain, monkeypatch):
     monkeypatch.setattr("stagewise.llm.encode.REMEMBERED", 50)
     encode, texts = Encoder(tokenizer_file()), [" ".join(words(i, 40)) for i in range(20)]
