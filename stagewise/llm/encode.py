@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ REMEMBERED, LONGEST = 250_000, 64
 TEXT_BYTES = 8 << 20
 #: Words of letters in a line, and lines or other pieces in a call of the library.
 LINE, CALL = 200, 20
+_AFTER = re.compile(rb"[ \n\t]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -63,6 +66,21 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, bounds, np.searchsorted(bounds, last)
 
 
+def parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of at most ``TEXT_BYTES`` that end at blanks; a longer run without one stays whole."""
+    begin = 0
+    while len(text) - begin > TEXT_BYTES:
+        end = max(text.rfind(b, begin, begin + TEXT_BYTES) for b in (b" ", b"\n", b"\t"))
+        if end < begin:
+            later = _AFTER.search(text, begin)
+            if later is None:
+                break
+            end = later.start()
+        yield text[begin:end]
+        begin = end + 1
+    yield text[begin:]
+
+
 class Encoder:
     """``ids(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -124,6 +142,12 @@ class Encoder:
 
     def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids end in it."""
+        if len(texts) == 1 and len(texts[0]) > TEXT_BYTES:
+            ids = np.concatenate([self._slice([part])[0] for part in parts(texts[0])])
+            return ids, np.array([len(ids)])
+        return self._slice(texts)
+
+    def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data, bounds, last = cut(texts)
         if len(bounds) == 1:
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import Scratch, slices
-from stagewise.llm.encode import encoder
+from stagewise.llm.encode import TEXT_BYTES, encoder
 
 CAPACITY = 4096
 #: The counts by part and length are broadcast up to so many rows of 24 bytes, and joined by a shuffle beyond.
@@ -79,12 +79,12 @@ def _pieces(path: str, end_id: int, capacity: int):
     closing = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ranks = encoder(path).ids, TaskContext.get().partitionId(), {}
-        for batch, texts in slices(batches):
-            rows = []
-            ids = encode([t.decode("utf-8") for t in texts])
-            for doc, own in zip(batch.column("doc_id").to_pylist(), ids):
-                own += closing
+        encode, part, ranks = encoder(path).flat, TaskContext.get().partitionId(), {}
+        for batch, texts in slices(batches, most=TEXT_BYTES):
+            rows, begin = [], 0
+            ids, ends = encode(texts)
+            for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
+                own, begin = ids[begin:end].tobytes() + closing, end
                 for piece, at in enumerate(range(0, len(own), 4 * capacity)):
                     data = own[at : at + 4 * capacity]
                     length = len(data) // 4
@@ -147,13 +147,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.write(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), _CUT), "pieces", compression="zstd")
 
-    # one row per part and length
-    counted = scratch.write(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
-    histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    place = _places(plan_bins(histogram, capacity), capacity)
+    # one row per part and length; counted again where it is read, as a file per shuffle partition costs more
+    counted = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    found = counted.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()
+    place = _places(plan_bins({r.length: r.n for r in found}, capacity), capacity)
     earlier = Window.partitionBy("length").orderBy("part")
     before = counted.select("part", "length", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
-    if counted.count() <= SMALL_ROWS:
+    if sum(r.parts for r in found) <= SMALL_ROWS:
         before = F.broadcast(before)
     ranked = pieces.join(before, ["part", "length"]).withColumn("at", place("length", F.col("rank") + F.col("before")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids",

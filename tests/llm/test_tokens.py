@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from stagewise.llm import encode as encoding
 from stagewise.llm import packing, rans
 from stagewise.llm.encode import Encoder
 from stagewise.llm.queries import tokenizer_file
@@ -99,6 +100,17 @@ def test_long_pieces_are_not_remembered():
     assert max(map(len, [*encode.new, *encode.old])) <= 64
 
 
+def test_a_long_text_is_encoded_in_parts(plain, monkeypatch):
+    monkeypatch.setattr("stagewise.llm.encode.TEXT_BYTES", 50)
+    encode, sizes, cut = Encoder(tokenizer_file()), [], encoding.cut
+    monkeypatch.setattr(encoding, "cut", lambda texts: sizes.append(sum(map(len, texts))) or cut(texts))
+    for text in (" ".join(words(1, 300)), "\n\t ".join(words(2, 90)) + " ", " " * 200, "é" * 90, "x" * 70 + " a\t" + "y" * 80 + "\n"):
+        sizes.clear()
+        assert np.frombuffer(encode.ids([text])[0], "<u4").tolist() == plain(text)
+        assert max(sizes) <= max(50, max(map(len, text.encode().split())) if text.strip() else 0)
+        assert len(sizes) > 1 or " " not in text
+
+
 def test_memory_of_words_is_bounded(plain, monkeypatch):
     monkeypatch.setattr("stagewise.llm.encode.REMEMBERED", 50)
     encode, texts = Encoder(tokenizer_file()), [" ".join(words(i, 40)) for i in range(20)]
@@ -219,3 +231,11 @@ def test_a_plan_uses_every_piece_once(histogram):
         for k, n in chosen.items():
             used[k] += n * times
     assert used == histogram
+
+
+def test_counts_are_not_written(documents, monkeypatch):
+    written, write = [], packing.Scratch.write
+    monkeypatch.setattr(packing.Scratch, "write", lambda self, frame, name, **o: written.append(name) or write(self, frame, name, **o))
+    rows = [(i, " ".join(words(i, 1 + i % 7))) for i in range(40)]
+    assert len(packing.pack(documents(rows), tokenizer_file(), 1).collect()) == 40
+    assert written == ["pieces"]
