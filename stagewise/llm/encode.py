@@ -20,9 +20,9 @@ import pyarrow as pa
 from stagewise.llm.common import LOWER, held
 
 #: Pieces remembered in each of two generations, per Python worker, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Texts are encoded in slices of about so many bytes: a larger slice sends fewer pieces twice.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Words of letters in a line, and lines or other pieces in a call of the library.
 LINE, CALL = 200, 20
 _AFTER = re.compile(rb"[ \n\t]")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import Scratch, slices
+from stagewise.llm.common import Scratch, slices, small_batches
 from stagewise.llm.encode import TEXT_BYTES, encoder
 
 CAPACITY = 4096
@@ -143,6 +143,7 @@ def _places(plan: list[tuple[int, dict[int, int]]], capacity: int):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset`` of every piece."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.write(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), _CUT), "pieces", compression="zstd")

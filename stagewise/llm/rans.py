@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import Scratch, slices
+from stagewise.llm.common import Scratch, slices, small_batches
 from stagewise.llm.encode import TEXT_BYTES, encoder
 
 LANES = 2048
@@ -251,5 +251,6 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, with_ids: bool = True) -> DataFrame:
     """Write the files and read them back."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "rans")
     return read_token_files(write_token_files(docs, tokenizer, end_id, scratch), with_ids)

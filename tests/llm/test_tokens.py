@@ -239,3 +239,17 @@ def test_counts_are_not_written(documents, monkeypatch):
     rows = [(i, " ".join(words(i, 1 + i % 7))) for i in range(40)]
     assert len(packing.pack(documents(rows), tokenizer_file(), 1).collect()) == 40
     assert written == ["pieces"]
+
+
+def test_texts_are_read_in_small_batches(documents, spark):
+    rows, arrow = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k, None) for k in (rows, arrow)}
+    try:
+        for own, want in (("4096", "256"), ("1000", "1000")):
+            spark.conf.set(rows, own)
+            spark.conf.set(arrow, "8m")
+            packing.pack(documents([(1, "a b")]), tokenizer_file(), 1)
+            assert (spark.conf.get(rows), spark.conf.get(arrow)) == (want, "4m")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
