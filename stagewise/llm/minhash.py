@@ -12,6 +12,9 @@ component.  Only buckets that still hold several components are looked at again:
 the largest component against members of other components.  Those cells come with the full sets,
 follow the components as they grow, and give a row only for a link that joins two of them.
 
+Small tables pay for every shuffle and every written file, so rows that are grouped and joined by
+one key are dealt out by it once, and the second round links components, not texts.
+
 Defined results: null and empty texts have no shingles and are linked with nothing; rows
 without an id are never linked, keep a null component and are kept; rows that repeat an id
 share its component; an empty table gives an empty result; other columns are ignored.
@@ -39,6 +42,8 @@ AGREE = 245
 CELL = 2000
 #: Of the shingles of those texts, about so many.
 CELL_SHINGLES = 2_000_000
+#: Classes of several rows are broadcast up to so many (three numbers each), and joined by a shuffle beyond.
+SMALL_COPIES = 200_000
 
 _FACTOR = seeds(PERMUTATIONS, 11)
 _SHIFT = seeds(PERMUTATIONS, 12)
@@ -112,33 +117,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id").cast(pa.int64()), pa.array(version), ragged(flat, counts, pa.int64())], ["id", "v", "shingles"])
 
 
+def _roots(up: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(a, p)`` with ``p`` the end of the chain of parents that ``a`` hangs in; each step doubles what it spans."""
+    step = 0
+    while True:
+        top = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        up = scratch.write(up.select("a", "p").join(top, "p")
+                           .select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), f"{name}-{step}")
+        if up.filter("moved").isEmpty():
+            return up.select("a", "p")
+        step += 1
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``(id, component)`` of all ids in the links ``(a, b)``; the component is its smallest id.
 
-    Every id hangs itself below its smallest neighbour, chains are halved, and links between
-    ids of different parents go on, contracted, to the next turn.
+    Every id hangs itself below its smallest neighbour, and links between ids of different
+    parents go on, contracted, to the next turn.  Most groups are stars and end in the first
+    turn; what is left are chains, so later turns follow them to their ends, and each of those at
+    least halves the ids of a component.  No turn makes more links than it had.
     """
     label, turn = None, 0
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
         up = scratch.write(up, f"{name}-up{turn}")
-        top = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        up = scratch.write(up.join(top, "p").select("a", F.col("pp").alias("p")), f"{name}-top{turn}")
+        if turn:
+            up = _roots(up, scratch, f"{name}-roots{turn}")
         left, right = up.select("a", F.col("p").alias("pa")), up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         if label is None:
             label = up.select(F.col("a").alias("id"), F.col("p").alias("component"))
         else:
-            step = up.select(F.col("a").alias("component"), F.col("p").alias("next"))
-            label = label.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+            label = _moved(label, up.select(F.col("a").alias("id"), F.col("p").alias("component")))
         edges = (edges.join(left, "a").join(right, "b").filter("pa <> pb")
-                 .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+                 .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")))
         edges = scratch.write(edges, f"{name}-links{turn}")
         turn += 1
         if edges.isEmpty():
             return scratch.write(label, f"{name}-labels")
 
 
+def _moved(label: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after their components are joined as ``found`` tells."""
+    step = found.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return label.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+
+
 def _sized(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
@@ -148,7 +172,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("v").alias("av"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("v").alias("bv"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(one, ["a", "av"]).join(two, ["b", "bv"]).withColumn("common", common)
+    return (pairs.join(two, ["b", "bv"]).join(one, ["a", "av"]).withColumn("common", common)
             .filter(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * PERCENT)
             .select("a", "b"))
 
@@ -186,7 +210,7 @@ def _similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 def _compare(cells: pa.Table, full: pa.Table) -> pa.Table:
     """Links between components of the cells ``(key, ub, kb)``, confirmed on the full sets in ``full``.
 
-    A link is looked for only between texts whose components are not joined yet, so a cell gives
+    A link is named by the two components it joins.  It is looked for only between texts whose components are not joined yet, so a cell gives
     fewer links than it has members.  A pair that shares several buckets is looked at in the one
     of its first shared band.
     """
@@ -223,7 +247,7 @@ def _compare(cells: pa.Table, full: pa.Table) -> pa.Table:
                     root = found.roots()[found.code]
                     if root[u] != root[k]:
                         found.join(u, k)
-                        links.append((min(ids[u], ids[k]), max(ids[u], ids[k])))
+                        links.append((min(c[u], c[k]), max(c[u], c[k])))
                 if good.any():
                     root = found.roots()[found.code]
                     near = near[root[near] != root[u]]
@@ -231,7 +255,7 @@ def _compare(cells: pa.Table, full: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def _across(held: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+def _across(held: DataFrame, sign: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links across the components of a bucket: members outside the largest one against all others.
 
     Buckets of one largest component lie together, so a text comes once with its set however many
@@ -257,8 +281,10 @@ def _across(held: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
     groups = max(1, math.ceil(load or 0))
     dealt = scratch.write(single.unionByName(asked).unionByName(members)
                           .withColumn("g", F.pmod(F.xxhash64("main", "ub", "kb"), F.lit(groups))), "dealt")
-    wanted = dealt.select(F.col("g").alias("to"), F.col("id").alias("own"), F.col("v").alias("version")).distinct()
-    wanted = wanted.join(full.withColumnsRenamed({"id": "own", "v": "version"}), ["own", "version"])
+    # all three meet by id and text, so the rows wanted are dealt out by them before they are made distinct
+    wanted = dealt.select("id", "v", F.col("g").alias("to")).repartition("id", "v").distinct()
+    wanted = (wanted.join(sign, ["id", "v"]).join(sets.dropDuplicates(["id", "v"]), ["id", "v"])
+              .withColumnsRenamed({"id": "own", "v": "version"}))
     return dealt.groupBy("g").cogroup(wanted.groupBy("to")).applyInArrow(_compare, "a long, b long")
 
 
@@ -268,22 +294,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.write(texts.mapInArrow(_features, _FEATURES), "features")
 
-    copies = (feats.filter("doc_id IS NOT NULL AND d1 IS NOT NULL").groupBy("d1", "d2")
-              .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    # one row per class of texts with one shingle set, that of its representative
+    best = F.min(F.struct("doc_id", "n_shingles", "bands", "signature"))
+    classes = (feats.filter("doc_id IS NOT NULL AND d1 IS NOT NULL").groupBy("d1", "d2").agg(best.alias("r"), F.count("*").alias("many"))
+               .select(F.col("r.doc_id").alias("id"), F.col("d1").alias("v"), "d2", F.col("r.n_shingles").alias("n"),
+                       "r.bands", "r.signature", "many"))
+    classes = scratch.write(classes, "classes")
+    copies = classes.filter("many > 1").select(F.col("v").alias("d1"), "d2", F.col("id").alias("rep"))
+    copies = F.broadcast(copies) if copies.count() <= SMALL_COPIES else copies
     member = (feats.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left")
               .select("doc_id", "n_shingles",
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
     member = scratch.write(member, "members")
+    scratch.drop("features")
 
     # an id that stands on several rows with unlike texts joins their classes
     repeated = (member.filter("rep IS NOT NULL").groupBy("doc_id")
-                .agg(F.min("rep").alias("a"), F.max("rep").alias("b")))
-    same_id = (member.join(repeated.filter("a <> b OR a <> doc_id").select("doc_id"), "doc_id", "left_semi")
+                .agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id"))
+    same_id = (member.join(repeated, "doc_id", "left_semi")
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
+    unlike = not repeated.isEmpty()
 
-    reps = (feats.filter("size(bands) > 0").select("doc_id", "n_shingles", F.col("d1").alias("v"), "bands")
-            .join(member.filter("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi"))
-    keys = reps.select(F.col("doc_id").alias("id"), "v", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keys = classes.select("id", "v", "n", F.explode("bands").alias("key"))
     # one leader per bucket; buckets of one id end here
     led = (keys.groupBy("key").agg(F.min(F.struct("id", "v", "n")).alias("l"), F.max("id").alias("last"))
            .filter("l.id <> last").select("key", F.col("l.id").alias("leader"), F.col("l.v").alias("lv"), F.col("l.n").alias("ln")))
@@ -292,12 +324,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = scratch.write(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
                          .mapInArrow(_sets, "id long, v long, shingles array<long>"), "sets")
     # a text first meets two leaders: the one it shares most buckets with, and the smallest
-    lead = (buckets.filter("id <> leader").filter(_sized("n", "ln")).groupBy("id", "v", "leader", "lv").agg(F.count("*").alias("many"))
+    lead = (buckets.filter("id <> leader").filter(_sized("n", "ln")).select("id", "v", "leader", "lv").repartition("id", "v")
+            .groupBy("id", "v", "leader", "lv").agg(F.count("*").alias("many"))
             .groupBy("id", "v").agg(F.max_by(F.struct("leader", "lv"), F.struct("many", -F.col("leader"))).alias("most"),
                                     F.min(F.struct("leader", "lv")).alias("least"))
             .select("id", "v", F.explode(F.array_distinct(F.array("most", "least"))).alias("l")))
     pairs = lead.select(F.col("l.leader").alias("a"), F.col("l.lv").alias("av"), F.col("id").alias("b"), F.col("v").alias("bv"))
-    linked = scratch.write(_confirm(pairs, sets).union(same_id), "links0")
+    linked = _confirm(pairs, sets)
+    linked = scratch.write(linked.union(same_id) if unlike else linked, "links0")
     label = components(linked, scratch, "cc0")
 
     # buckets that hold several components still
@@ -307,14 +341,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = (counted.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("many"))
             .filter("many > 1").drop("many"))
     held = scratch.write(held.join(most, "key"), "open")
-    sign = (feats.filter("size(bands) > 0")
-            .select(F.col("doc_id").alias("id"), F.col("d1").alias("v"), "signature",
-                    F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
-            .join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "v"]))
-    more = scratch.write(_across(held, sign.join(sets.dropDuplicates(["id", "v"]), ["id", "v"]), scratch), "links1")
+    sign = classes.select("id", "v", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    more = scratch.write(_across(held, sign, sets, scratch), "links1")
     if not more.isEmpty():
-        label = components(linked.union(more).distinct(), scratch, "cc1")
-    scratch.drop("features", "buckets", "sets", "open", "cells", "dealt")
+        found = components(more, scratch, "cc1")
+        label = scratch.write(_moved(label, found).union(found.join(label.select("id"), "id", "left_anti")), "labels")
+    scratch.drop("classes", "buckets", "sets", "open", "cells", "dealt")
 
     rep = label.select(F.col("id").alias("rep"), "component")
     out = member.join(rep, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

@@ -129,6 +129,52 @@ def test_a_cell_gives_fewer_links_than_members():
     assert len(got) == 89 and {x for r in got for x in r.values()} == set(range(1, 91))
 
 
+def _chain(spark, first, last):
+    return spark.range(first, last).selectExpr("id AS a", "id + 1 AS b")
+
+
+def test_long_chains_of_links_end_in_few_turns(shipped, monkeypatch):
+    names, write = [], minhash.Scratch.write
+    monkeypatch.setattr(minhash.Scratch, "write", lambda self, frame, name, **o: names.append(name) or write(self, frame, name, **o))
+    got = minhash.components(_chain(shipped, 1, 60).union(_chain(shipped, 100, 130)), minhash.Scratch(shipped, "test"), "cc").collect()
+    assert {r.id: r.component for r in got} == {i: 1 if i <= 60 else 100 for i in [*range(1, 61), *range(100, 131)]}
+    assert len(got) == 91 and len(names) < 20
+
+
+def test_copies_and_settled_texts_make_no_links(documents, monkeypatch):
+    """Only representatives are linked; components that grow together later are linked by their ids alone."""
+    seen, real = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges, *rest: seen.append({x for r in edges.collect() for x in r}) or real(edges, *rest))
+    base = words(41, 80)
+    near = lambda *at: " ".join("q%d" % i if i in at else w for i, w in enumerate(base))
+    rows = [(10, near()), (20, near(5)), *((100 + i, near()) for i in range(30))]
+    assert result(documents(rows)) == brute(rows)
+    assert seen == [{10, 20}]
+
+
+def test_many_partitions_make_few_tasks(documents, shipped):
+    """Every shuffle is a task per partition, however few the rows are."""
+    base, rows = words(42, 80), []
+    for i in range(40):
+        rows.append((i, " ".join("y%dz%d" % (i, j) if j % 40 == i % 40 or j == 7 * i % 80 else w for j, w in enumerate(base))))
+    rows += [(100 + i, " ".join(base)) for i in range(10)]
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: shipped.conf.get(k) for k in settings}
+    context, tracker = shipped.sparkContext, shipped.sparkContext.statusTracker()
+    try:
+        for k, v in settings.items():
+            shipped.conf.set(k, v)
+        context.setJobGroup("minhash-tasks", "tasks of one call")
+        assert result(documents(rows)) == brute(rows)
+        stages = {s for job in tracker.getJobIdsForGroup("minhash-tasks") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            shipped.conf.set(k, v)
+    assert 0 < tasks < 1000
+
+
 def test_texts_of_one_id_are_all_looked_at(documents):
     """The second text of an id is near to others that its first is not."""
     one, two = words(31, 100), words(32, 100)
